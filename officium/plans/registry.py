@@ -1,13 +1,453 @@
-"""Queries over the driver tables, one per operator group, with the SQL that each must equal."""
+"""Queries over the driver's tables, each with the SQL that it must equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries() -> dict[str, Callable]:
-    return {}
+from ..functions import titles, urls
+from ..operators import history, tables
+from ..sources import notices
+from .bindings import EV, appointments, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _n(name: str = "n"):
+    return F.count(F.lit(1)).alias(name)
+
+
+# ---------------------------------------------------------------- feeds
+@query("""WITH page AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100),
+c AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM page) GROUP BY 1)
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(n, 0) AS n_events FROM page LEFT JOIN c ON o_orderkey = l_orderkey""")
+def notice_feed_page(spark, d):
+    page = table(spark, d, "orders").select("o_orderkey", "o_orderdate").where("o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    page = page.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).offset(100).limit(50)  # the page is the feature
+    lines = table(spark, d, "lineitem").select("l_orderkey")
+    counts = lines.join(F.broadcast(page.select("o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey").agg(_n())
+    return page.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n_events"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_events FROM orders WHERE o_orderpriority = '1-URGENT'")
+def notice_feed_correlated(spark, d):
+    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    counts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(_n())
+    return rows.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_events"))
+
+
+@query(f"""WITH {EV} SELECT id, bureau, person, action, title, dept, day, n_name AS unit, coalesce(r_name, 'unknown') AS region FROM ev JOIN nation ON bureau = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND title LIKE '%URGENT%' AND day >= '1996-01-01' AND day <= '1997-12-31'""")
+def change_feed_filtered(spark, d):
+    ev = appointments(spark, d).where(F.col("title").contains("URGENT") & F.col("day").between("1996-01-01", "1997-12-31"))
+    unit = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    unit = unit.select("n_nationkey", F.col("n_name").alias("unit"), F.coalesce("r_name", F.lit("unknown")).alias("region"))
+    return ev.join(unit, F.col("bureau") == F.col("n_nationkey")).where(F.col("region").isin("ASIA", "EUROPE")).drop("n_nationkey")
+
+
+@query(f"""WITH {EV}, p AS (SELECT *, last_value(CASE WHEN action <> 'dismiss' THEN title END IGNORE NULLS) OVER (PARTITION BY bureau, person ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_title FROM ev)
+SELECT id, prev_title, CASE WHEN action = 'dismiss' THEN 'dismiss' WHEN prev_title IS NULL THEN 'appoint' WHEN title < prev_title THEN 'promote' ELSE 'appoint' END AS change_type FROM p""")
+def change_type_classify(spark, d):
+    rows = history.with_previous(appointments(spark, d))
+    kind = F.when(F.col("action") == "dismiss", "dismiss").when(F.col("title") < F.col("prev_title"), "promote").otherwise("appoint")
+    return rows.select("id", "prev_title", kind.alias("change_type"))
+
+
+# ---------------------------------------------------------------- histories and posts
+@query(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY bureau, person ORDER BY day, id) AS n FROM ev)
+SELECT a.bureau, a.person, a.id, a.title, a.dept, a.day AS started_on, (SELECT arg_min(l.day, l.n) FROM n l WHERE l.bureau = a.bureau AND l.person = a.person AND l.action = 'dismiss' AND l.n > a.n AND l.title = a.title AND l.dept = a.dept) AS ended_on
+FROM n a WHERE a.action <> 'dismiss'""")
+def person_history_spans(spark, d):
+    return history.spans(appointments(spark, d))
+
+
+@query(f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY bureau, person ORDER BY day DESC, id DESC) AS n FROM ev),
+o AS (SELECT * FROM n a WHERE action <> 'dismiss' AND NOT EXISTS (SELECT 1 FROM n l WHERE l.bureau = a.bureau AND l.person = a.person AND l.action = 'dismiss' AND l.n < a.n AND l.title = a.title AND l.dept = a.dept))
+SELECT bureau, person, arg_min(title, n) AS title, arg_min(dept, n) AS dept, arg_min(day, n) AS since FROM o GROUP BY 1, 2""")
+def person_current(spark, d):
+    return history.current_posts(appointments(spark, d))
+
+
+@query(f"WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY day DESC, CASE action WHEN 'appoint' THEN 1 ELSE 0 END DESC, id DESC) AS n FROM ev) SELECT person, id, day, action FROM n WHERE n = 1")
+def latest_event_per_person(spark, d):
+    key = F.struct("day", (F.col("action") == "appoint").cast("int"), "id")
+    return appointments(spark, d).groupBy("person").agg(F.max_by(F.struct("id", "day", "action"), key).alias("x")).select("person", "x.*")
+
+
+_TENURES = f"""{EV}, once AS (SELECT *, row_number() OVER (PARTITION BY bureau, dept, title, person, action, day ORDER BY id) AS again FROM ev),
+num AS (SELECT *, title <> '1-URGENT' AS several, row_number() OVER (PARTITION BY bureau, dept, title ORDER BY day, id) AS n FROM once WHERE again = 1 OR action = 'dismiss'),
+nx AS (SELECT *, min(CASE WHEN action <> 'dismiss' THEN n END) OVER p AS a, min(CASE WHEN action <> 'dismiss' THEN n END) OVER o AS w, min(CASE WHEN action = 'dismiss' THEN n END) OVER o AS l FROM num
+  WINDOW p AS (PARTITION BY bureau, dept, title ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), o AS (PARTITION BY bureau, dept, title, person ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, CASE WHEN several THEN least(w, l) ELSE least(a, l) END AS en FROM nx WHERE action <> 'dismiss'),
+ten AS (SELECT e.bureau, e.dept, e.title, e.person, e.id, e.day AS started_on, x.day AS ended_on, x.n IS NULL AS is_current, CASE WHEN x.n IS NULL THEN NULL WHEN x.action = 'dismiss' THEN 'dismiss' WHEN x.person = e.person THEN 'replaced' ELSE 'succeeded' END AS end_change_type
+  FROM e LEFT JOIN num x ON x.bureau = e.bureau AND x.dept = e.dept AND x.title = e.title AND x.n = e.en)"""
+
+
+def _tenures(spark, d):
+    return history.tenures(appointments(spark, d), F.col("title") != "1-URGENT")
+
+
+@query(f"WITH {_TENURES} SELECT * FROM ten")
+def post_tenures(spark, d):
+    return _tenures(spark, d)
+
+
+@query(f"""WITH {_TENURES}, f AS (SELECT bureau, dept, title, person, row_number() OVER (PARTITION BY bureau, dept, title ORDER BY person) AS k FROM (SELECT DISTINCT bureau, dept, title, person FROM ten WHERE is_current)),
+g AS (SELECT bureau, dept, title, count(*) FILTER (is_current) AS incumbents, count(*) FILTER (NOT is_current) AS past FROM ten GROUP BY 1, 2, 3)
+SELECT bureau, dept, title, incumbents, past, coalesce((SELECT string_agg(CAST(person AS VARCHAR), '、' ORDER BY person) FROM f WHERE k <= 6 AND f.bureau = g.bureau AND f.dept = g.dept AND f.title = g.title), '') AS names FROM g""")
+def post_incumbents(spark, d):
+    return history.incumbents(_tenures(spark, d))
+
+
+@query(f"WITH {_TENURES} SELECT bureau, dept, title, count(*) AS n FROM ten WHERE is_current GROUP BY 1, 2, 3 HAVING count(*) > 5")
+def post_multi_incumbent_audit(spark, d):
+    return _tenures(spark, d).where("is_current").groupBy(*history.POST).agg(_n()).where("n > 5")
+
+
+@query(f"WITH {_TENURES} SELECT bureau, count(*) AS n FROM ten WHERE started_on = ended_on AND end_change_type = 'succeeded' GROUP BY 1")
+def zero_day_audit(spark, d):
+    return _tenures(spark, d).where("started_on = ended_on AND end_change_type = 'succeeded'").groupBy("bureau").agg(_n())
+
+
+@query(f"WITH {EV} SELECT bureau, day, title, count(DISTINCT person) AS people, count(DISTINCT dept) AS depts FROM ev WHERE action = 'appoint' GROUP BY 1, 2, 3 HAVING count(DISTINCT person) > 1")
+def same_day_audit(spark, d):
+    return appointments(spark, d).where("action = 'appoint'").groupBy("bureau", "day", "title").agg(F.count_distinct("person").alias("people"), F.count_distinct("dept").alias("depts")).where("people > 1")
+
+
+@query(f"WITH {_TENURES}, m AS (SELECT bureau, person, count(*) AS n FROM ten WHERE is_current GROUP BY 1, 2 HAVING count(*) > 3) SELECT count(*) AS people, CAST(coalesce(sum(n), 0) AS BIGINT) AS posts FROM m")
+def multi_current_people(spark, d):
+    m = _tenures(spark, d).where("is_current").groupBy("bureau", "person").agg(_n()).where("n > 3")
+    return m.agg(_n("people"), F.coalesce(F.sum("n"), F.lit(0)).alias("posts"))
+
+
+# ---------------------------------------------------------------- search
+_HITS = f"""{EV}, h AS (SELECT bureau, person, 'title' AS reason FROM ev WHERE title LIKE '%HIGH%' AND day >= '1998-01-01' UNION ALL SELECT bureau, person, 'department' FROM ev WHERE dept LIKE '%BUILD%' AND day >= '1998-01-01'
+UNION ALL SELECT s_nationkey, s_suppkey, 'supervisor' FROM supplier WHERE s_acctbal > 5000)"""
+
+
+def _hits(spark, d):
+    ev = appointments(spark, d).where("day >= '1998-01-01'")
+    parts = [ev.where(F.col("title").contains("HIGH")).select("bureau", "person", F.lit("title").alias("reason")), ev.where(F.col("dept").contains("BUILD")).select("bureau", "person", F.lit("department").alias("reason")),
+             table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("bureau"), F.col("s_suppkey").alias("person"), F.lit("supervisor").alias("reason"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_HITS} SELECT bureau, person, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM h GROUP BY 1, 2")
+def search_union_title_or_dept(spark, d):
+    return _hits(spark, d).groupBy("bureau", "person").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+@query(f"WITH {_HITS}, g AS (SELECT bureau, person, count(DISTINCT reason) AS n FROM h GROUP BY 1, 2) SELECT bureau, person, n, (SELECT count(*) FROM g) AS total, (SELECT count(*) FROM g WHERE n > 1) AS several FROM g ORDER BY n DESC, bureau, person LIMIT 20 OFFSET 10")
+def search_page_totals(spark, d):
+    g = _hits(spark, d).groupBy("bureau", "person").agg(F.count_distinct("reason").alias("n"))
+    totals = g.agg(_n("total"), F.count_if(F.col("n") > 1).alias("several"))  # one row
+    return g.orderBy(F.desc("n"), "bureau", "person").offset(10).limit(20).join(F.broadcast(totals))
+
+
+@query(f"""WITH {EV}, k AS (SELECT DISTINCT bureau, person FROM ev WHERE title LIKE '%LOW%'), r AS (SELECT DISTINCT bureau, person FROM ev WHERE day BETWEEN '1997-01-01' AND '1997-06-30'),
+s AS (SELECT DISTINCT s_nationkey AS bureau, s_suppkey AS person FROM supplier WHERE s_acctbal > 8000)
+SELECT bureau, person FROM k SEMI JOIN r USING (bureau, person) UNION SELECT bureau, person FROM s""")
+def search_date_semijoin(spark, d):
+    ev = appointments(spark, d)
+    keys = ev.where(F.col("title").contains("LOW")).select("bureau", "person")
+    near = keys.join(ev.where(F.col("day").between("1997-01-01", "1997-06-30")), ["bureau", "person"], "left_semi")
+    leaders = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("bureau"), F.col("s_suppkey").alias("person"))
+    return near.union(leaders).distinct()
+
+
+@query(f"""WITH {EV}, k AS (SELECT s_nationkey AS bureau, s_suppkey AS person FROM supplier), own AS (SELECT k.bureau, k.person, ev.id, 'own' AS origin FROM k JOIN ev USING (bureau, person)),
+e AS (SELECT * FROM k ANTI JOIN ev USING (bureau, person)) SELECT * FROM own UNION ALL SELECT e.bureau, e.person, ev.id, 'same name' FROM e JOIN ev ON ev.person = e.person""")
+def person_fallback_events(spark, d):
+    ev = appointments(spark, d).select("bureau", "person", "id")
+    keys = table(spark, d, "supplier").select(F.col("s_nationkey").alias("bureau"), F.col("s_suppkey").alias("person"))
+    own = keys.join(ev, ["bureau", "person"]).withColumn("origin", F.lit("own"))
+    other = keys.join(ev, ["bureau", "person"], "left_anti").join(ev.drop("bureau"), "person").withColumn("origin", F.lit("same name"))
+    return own.unionByName(other)
+
+
+@query("SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA' AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) INTERSECT SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def region_browse_intersection(spark, d):
+    nation = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region").where("r_name <> 'AFRICA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rich = nation.join(table(spark, d, "customer").where("c_acctbal > 9000"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_nationkey", "n_name")
+    supplied = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey", "n_name")
+    return rich.intersect(supplied)
+
+
+@query("SELECT DISTINCT p_name FROM part WHERE p_name LIKE '%a%' ORDER BY p_name LIMIT 10")
+def suggest_names(spark, d):
+    return table(spark, d, "part").where(F.col("p_name").contains("a")).select("p_name").distinct().orderBy("p_name").limit(10)
+
+
+@query("SELECT DISTINCT p_type, p_brand, CASE WHEN (SELECT count(DISTINCT q.p_brand) FROM part q WHERE q.p_type = part.p_type) > 1 THEN p_type || '（' || p_brand || '）' ELSE p_type END AS label FROM part")
+def title_labels(spark, d):
+    pairs = table(spark, d, "part").select("p_type", "p_brand").distinct()
+    several = F.count("p_brand").over(Window.partitionBy("p_type")) > 1
+    return pairs.withColumn("label", F.when(several, F.concat("p_type", F.lit("（"), "p_brand", F.lit("）"))).otherwise(F.col("p_type")))
+
+
+# ---------------------------------------------------------------- catalogs and summaries
+@query("""SELECT name, level, count(*) AS source_count, array_to_string(list_sort(list(DISTINCT p_brand))[1:12], ',') AS samples FROM
+(SELECT unnest(string_split(p_type, ' ')) AS name, CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'middle' ELSE 'large' END AS level, p_brand FROM part) GROUP BY 1, 2""")
+def dept_catalog_build(spark, d):
+    level = F.when(F.col("p_size") < 15, "small").when(F.col("p_size") < 35, "middle").otherwise("large")
+    rows = table(spark, d, "part").select(F.explode(F.split("p_type", " ")).alias("name"), level.alias("level"), "p_brand")
+    return rows.groupBy("name", "level").agg(_n("source_count"), F.array_join(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 12), ",").alias("samples"))
+
+
+@query("SELECT p_type, count(*) AS n, count(DISTINCT p_size) AS levels, count(DISTINCT p_size) > 1 AS cross_level, bool_and(p_size >= 40) AS large_only FROM part GROUP BY 1")
+def dept_level_matrix(spark, d):
+    return table(spark, d, "part").groupBy("p_type").agg(_n(), F.count_distinct("p_size").alias("levels"), (F.count_distinct("p_size") > 1).alias("cross_level"), F.bool_and(F.col("p_size") >= 40).alias("large_only"))
+
+
+@query(f"""WITH {EV}, a AS (SELECT bureau, max(day) AS latest FROM ev WHERE title = '5-LOW' AND day < '1996-01-10' GROUP BY 1), b AS (SELECT bureau, max(day) AS latest FROM ev GROUP BY 1)
+SELECT n_nationkey AS bureau, coalesce(a.latest, b.latest) AS latest, coalesce(r_name, 'unknown') AS region FROM nation LEFT JOIN a ON a.bureau = n_nationkey LEFT JOIN b ON b.bureau = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def bureau_freshness(spark, d):
+    early = (F.col("title") == "5-LOW") & (F.col("day") < "1996-01-10")
+    latest = appointments(spark, d).groupBy("bureau").agg(F.coalesce(F.max(F.when(early, F.col("day"))), F.max("day")).alias("latest"))
+    units = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return units.join(latest, F.col("n_nationkey") == F.col("bureau"), "left").select(F.col("n_nationkey").alias("bureau"), "latest", F.coalesce("r_name", F.lit("unknown")).alias("region"))
+
+
+@query(f"WITH {EV} SELECT count(*) AS events, count(DISTINCT bureau) AS bureaus, count(DISTINCT bureau || ':' || person) AS people, min(day) AS first_day, max(day) AS last_day FROM ev")
+def summary_counts(spark, d):
+    return appointments(spark, d).agg(_n("events"), F.count_distinct("bureau").alias("bureaus"), F.count_distinct(urls.person_id(F.col("bureau").cast("string"), F.col("person").cast("string"))).alias("people"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+@query(f"WITH {EV} SELECT bureau, count(*) AS n, count(*) FILTER (action = 'dismiss') AS leaves, CAST(round(count(*) FILTER (action = 'dismiss') * 100.0 / count(*), 2) AS DOUBLE) AS share, CASE WHEN count(*) FILTER (action = 'dismiss') * 2 > count(*) THEN 'HALF' WHEN count(*) FILTER (action = 'dismiss') = 0 THEN 'ZERO' ELSE 'OK' END AS bucket FROM ev GROUP BY 1")
+def coverage_report(spark, d):
+    leaves = F.count_if(F.col("action") == "dismiss")
+    return appointments(spark, d).groupBy("bureau").agg(_n(), leaves.alias("leaves")).withColumns({
+        "share": F.round(F.col("leaves") * 100.0 / F.col("n"), 2).cast("double"), "bucket": F.when(F.col("leaves") * 2 > F.col("n"), "HALF").when(F.col("leaves") == 0, "ZERO").otherwise("OK")})
+
+
+@query("SELECT o_orderpriority AS title, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, title LIMIT 25")
+def top_titles(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("title")).agg(_n()).orderBy(F.desc("n"), "title").limit(25)
+
+
+# ---------------------------------------------------------------- quality and repair
+@query("""SELECT 'orders without late lines' AS "check", count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate >= TIMESTAMP '1998-01-01')
+UNION ALL SELECT 'customers without open orders', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')
+UNION ALL SELECT 'documents without labels', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+UNION ALL SELECT 'lines without parts', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)
+UNION ALL SELECT 'nations without rich suppliers', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)""")
+def orphan_checks(spark, d):
+    t = lambda n: table(spark, d, n)
+    late = t("lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1998-01-01 00:00:00'").select(F.col("l_orderkey").alias("o_orderkey"))
+    checks = [(t("orders"), late, ["o_orderkey"], "orders without late lines"), (t("customer"), t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"], "customers without open orders"),
+              (t("documents").select("doc_id"), t("labels").select("doc_id"), ["doc_id"], "documents without labels"), (t("lineitem").select(F.col("l_partkey").alias("p_partkey")), t("part").where("p_size < 40"), ["p_partkey"], "lines without parts"),
+              (t("nation"), t("supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), ["n_nationkey"], "nations without rich suppliers")]
+    out = [tables.unmatched(*c) for c in checks]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+@query("SELECT o_orderpriority, o_orderdate::DATE::VARCHAR AS day, count(DISTINCT c_nationkey) AS units FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(DISTINCT c_nationkey) >= 3")
+def same_name_multi_unit(spark, d):
+    ev = appointments(spark, d)
+    return ev.groupBy(F.col("title").alias("o_orderpriority"), "day").agg(F.count_distinct("bureau").alias("units")).where("units >= 3")
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS first_id FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 2")
+def same_day_conflict(spark, d):
+    rows = table(spark, d, "events").where(F.col("event_type").isin("signup", "error")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    both = F.bool_or(F.col("event_type") == "signup") & F.bool_or(F.col("event_type") == "error")
+    return rows.groupBy("user_id", "day").agg(F.min("event_id").alias("first_id"), both.alias("both")).where("both").drop("both")
+
+
+@query("""WITH h AS (SELECT doc_id FROM labels WHERE toxic = 1), a AS (SELECT doc_id AS target, unnest([CASE WHEN length(text) < 50 THEN {'kind': 'missing_fields', 'severity': 'high'} END, CASE WHEN text LIKE '%!!%' THEN {'kind': 'parse_noise', 'severity': 'low'} END,
+CASE WHEN lang <> 'en' AND text LIKE '% the %' THEN {'kind': 'conflict', 'severity': 'medium'} END]) AS x FROM documents)
+SELECT x.kind AS kind, x.severity AS severity, target FROM a WHERE x IS NOT NULL AND target NOT IN (SELECT doc_id FROM h)""")
+def anomaly_scan_rules(spark, d):
+    docs = table(spark, d, "documents")
+    rules = {"missing_fields": (F.length("text") < 50, "high"), "parse_noise": (F.col("text").contains("!!"), "low"), "conflict": ((F.col("lang") != "en") & F.col("text").contains(" the "), "medium")}
+    handled = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("target"))
+    return tables.flagged(docs, rules, F.col("doc_id")).join(handled, "target", "left_anti")
+
+
+@query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS keep_part, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def event_dedupe_min_id(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("keep_part"), _n())
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_extendedprice DESC, l_partkey, l_suppkey, l_shipdate) AS r FROM lineitem) WHERE r = 1")
+def event_dedupe_richest(spark, d):
+    order = [F.desc("l_quantity"), F.desc("l_extendedprice"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_shipdate")]
+    return tables.best_per_key(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+_CANON = "rtrim('https://' || lower(regexp_extract(u, '^[A-Za-z]+://([^/]*)', 1)) || regexp_replace(u, '^[A-Za-z]+://[^/]*', ''), '/')"
+
+
+@query(f"""WITH v AS (SELECT page_id, url, length(html) AS size FROM pages UNION ALL SELECT page_id + 1000000, replace(url, 'https://', 'http://') || '/', length(html) - 1 FROM pages WHERE page_id % 3 = 0),
+c AS (SELECT page_id, size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '\\?.*$', '') AS u FROM v), k AS (SELECT page_id, size, {_CANON} AS key FROM c)
+SELECT key, arg_max(page_id, (size, -page_id)) AS keep_id, count(*) AS n FROM k GROUP BY 1""")
+def notice_merge_canonical_url(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"))
+    twins = pages.where("page_id % 3 = 0").select((F.col("page_id") + 1000000).alias("page_id"), F.concat(F.regexp_replace("url", "https://", "http://"), F.lit("/")).alias("url"), (F.col("size") - 1).alias("size"))
+    rows = pages.unionByName(twins).withColumn("key", urls.canonical_url(F.col("url")))
+    return rows.groupBy("key").agg(F.max_by("page_id", F.struct("size", -F.col("page_id"))).alias("keep_id"), _n())
+
+
+# ---------------------------------------------------------------- list heads, merges, watches
+@query(f"WITH {EV} SELECT bureau, id, day, r FROM (SELECT *, row_number() OVER (PARTITION BY bureau ORDER BY day DESC, id DESC) AS r FROM ev) WHERE r <= 2")
+def list_heads_top2(spark, d):
+    order = Window.partitionBy("bureau").orderBy(F.desc_nulls_last("day"), F.desc("id"))
+    return appointments(spark, d).withColumn("r", F.row_number().over(order).cast("long")).where("r <= 2").select("bureau", "id", "day", "r")
+
+
+@query(f"WITH {EV}, s AS (SELECT *, max(CASE WHEN day < '1998-06-01' OR id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY bureau ORDER BY day DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM ev) SELECT bureau, id, day FROM s WHERE st = 0")
+def list_new_since_baseline(spark, d):
+    stop = (F.col("day") < "1998-06-01") | (F.col("id") % 97 == 0)
+    return tables.until(appointments(spark, d), ["bureau"], [F.desc("day"), F.desc("id")], stop).select("bureau", "id", "day")
+
+
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS body FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_name AS name, c_mktsegment || c_nationkey AS body FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.name, n.name) AS name, o.id AS id, CASE WHEN length(coalesce(n.body, '')) > length(coalesce(o.body, '')) THEN n.body ELSE coalesce(o.body, n.body) END AS body, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.name IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.name = n.name""")
+def upsert_events_merge(spark, d):
+    people = table(spark, d, "customer")
+    old = people.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("body"))
+    new = people.where("c_custkey % 2 = 0").select(F.lit(None).cast("long").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("body"), F.lit(True).alias("seen"))
+    joined = old.alias("o").join(new.alias("n"), "name", "full_outer")
+    body = F.when(F.length(F.coalesce("n.body", F.lit(""))) > F.length(F.coalesce("o.body", F.lit(""))), F.col("n.body")).otherwise(F.coalesce("o.body", "n.body"))
+    state = F.when(F.col("o.id").isNull(), "inserted").when(F.col("n.seen").isNull(), "kept").otherwise("updated")
+    return joined.select("name", F.col("o.id").alias("id"), body.alias("body"), state.alias("state"))
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') USING (o_orderkey)")
+def sync_orphans(spark, d):
+    seen = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(seen, "o_orderkey", "left_anti")
+
+
+_WATCH = f"""{EV}, w AS (SELECT c_custkey AS "user", ['bureau', 'person', 'department', 'post'][1 + c_custkey % 4] AS kind, c_nationkey AS w_bureau, c_custkey AS w_person, c_mktsegment AS w_dept, CASE WHEN c_custkey % 8 = 3 THEN '2' ELSE '' END AS w_title FROM customer WHERE c_acctbal > 9900),
+m AS (SELECT "user", kind, id FROM ev JOIN w ON CASE kind WHEN 'bureau' THEN bureau = w_bureau WHEN 'person' THEN person = w_person AND bureau = w_bureau WHEN 'department' THEN bureau = w_bureau AND contains(dept, w_dept) ELSE bureau = w_bureau AND contains(dept, w_dept) AND contains(title, w_title) END)"""
+
+
+def _watched(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("bureau", "person", "department", "post")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    watches = table(spark, d, "customer").where("c_acctbal > 9900").select(
+        F.col("c_custkey").alias("user"), kind.alias("kind"), F.col("c_nationkey").alias("bureau"), F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("dept"), F.when(F.col("c_custkey") % 8 == 3, "2").otherwise("").alias("title"))
+    return tables.match_watches(appointments(spark, d), watches)
+
+
+@query(f'WITH {_WATCH} SELECT "user", kind, count(*) AS n, max(id) AS newest FROM m GROUP BY 1, 2')
+def watch_match(spark, d):
+    return _watched(spark, d).groupBy("user", "kind").agg(_n(), F.max("id").alias("newest"))
+
+
+@query(f"""WITH {_WATCH} SELECT "user", count(DISTINCT id) AS n, min(id) AS first_id FROM m WHERE id > 5000 GROUP BY 1""")
+def notify_digest(spark, d):
+    return _watched(spark, d).where("id > 5000").groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT bureau, dept, max(day) AS last FROM ev WHERE title = '5-LOW' GROUP BY 1, 2), u AS (SELECT DISTINCT c_nationkey AS bureau, c_mktsegment AS dept FROM customer)
+SELECT u.bureau, u.dept, s.last FROM u LEFT JOIN s ON s.bureau = u.bureau AND s.dept = u.dept WHERE s.last IS NULL OR CAST(s.last AS DATE) + INTERVAL 7 DAY <= DATE '2001-08-01'""")
+def due_sites(spark, d):
+    last = appointments(spark, d).where("title = '5-LOW'").groupBy("bureau", "dept").agg(F.max("day").alias("last"))
+    units = table(spark, d, "customer").select(F.col("c_nationkey").alias("bureau"), F.col("c_mktsegment").alias("dept")).distinct()
+    return units.join(last, ["bureau", "dept"], "left").where(F.col("last").isNull() | (F.date_add(F.col("last").cast("date"), 7) <= F.lit("2001-08-01").cast("date")))
+
+
+@query("SELECT r_name AS root, r_name || ' / ' || n_name AS path, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name, 0 FROM region")
+def region_tree(spark, d):
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    for name, frame in (("tree_region", region), ("tree_nation", nation)):
+        frame.createOrReplaceTempView(name)
+    return spark.sql("""WITH RECURSIVE links AS (SELECT concat('r', r_regionkey) AS code, CAST(NULL AS STRING) AS parent, r_name AS name FROM tree_region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM tree_nation),
+    t(code, root, path, depth) AS (SELECT code, name, name, 0 FROM links WHERE parent IS NULL UNION ALL SELECT l.code, t.root, concat(t.path, ' / ', l.name), t.depth + 1 FROM t JOIN links l ON l.parent = t.code)
+    SELECT root, path, depth FROM t""")
+
+
+@query(f"WITH {EV} SELECT person, bureau, arg_max(title, (day, id)) AS title, arg_max(dept, (day, id)) AS dept, max(day) AS latest, count(*) AS n_events FROM ev GROUP BY 1, 2")
+def export_rows(spark, d):
+    newest = F.struct("day", "id")
+    return appointments(spark, d).groupBy("person", "bureau").agg(F.max_by("title", newest).alias("title"), F.max_by("dept", newest).alias("dept"), F.max("day").alias("latest"), _n("n_events"))
+
+
+# ---------------------------------------------------------------- texts and pages
+@query("SELECT doc_id, count(*) AS clauses, max(length(trim(c))) AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[,;]', '.', 'g'), '.')) AS c FROM documents) WHERE trim(c) <> '' GROUP BY 1")
+def doc_clause_split(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "[.,;]")).alias("c")).where("trim(c) <> ''")
+    return rows.groupBy("doc_id").agg(_n("clauses"), F.max(F.length(F.trim("c"))).cast("long").alias("longest"))
+
+
+@query("""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '<a [^>]*href="([^"#]+)"', 1)) AS BIGINT) AS links FROM pages""")
+def page_title_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1)).alias("title"), F.size(notices.page_links(F.col("html"))).cast("long").alias("links"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS BIGINT) > 50) AS large FROM events GROUP BY 1")
+def props_json(spark, d):
+    rows = table(spark, d, "events").withColumn("k", F.from_json("props", "k long")["k"])
+    return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k") > 50).alias("large"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def events_daily_report(spark, d):
+    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_n(), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g1, CAST(grouping(l_linestatus) AS BIGINT) AS g2 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_report(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(_n(), F.grouping("l_returnflag").cast("long").alias("g1"), F.grouping("l_linestatus").cast("long").alias("g2"))
+
+
+@query("SELECT user_id, count(*) FILTER (gap IS NULL OR gap > 86400) AS sessions, count(*) AS n FROM (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY 1")
+def session_activity(spark, d):
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, d, "events").withColumn("begins", before.isNull() | (F.col("ts") > before + F.expr("INTERVAL 1 DAY")))
+    return rows.groupBy("user_id").agg(F.count_if("begins").alias("sessions"), _n())
+
+
+# ---------------------------------------------------------------- functions
+_TITLES = ["局长", "副局长、二级高级主办", "某某处处长（正处级）", "主持全面工作副主任", "科员", "", "党委书记", "一级巡视员"]
+_EXPECT = [("局长", None, 20, 10, False), ("副局长、二级高级主办", None, 50, 10, True), ("某某处处长", "正处级", 90, 6, False), ("副主任", None, 125, 8, True), ("科员", None, 800, 0, False), (None, None, 900, -1, False), ("党委书记", None, 10, 16, False), ("一级巡视员", None, 70, 14, True)]
+
+
+def _literal(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(_literal(v) for v in row)})" for i, row in enumerate(_EXPECT)) + ") v(i, canonical, rank_hint, rank, step, several)")
+def title_functions(spark, d):
+    rows = spark.createDataFrame(list(enumerate(_TITLES)), "i int, t string")
+    t = F.col("t")
+    return rows.select("i", titles.normalize_title(t)["canonical"].alias("canonical"), titles.normalize_title(t)["rank_hint"].alias("rank_hint"), titles.title_sort_rank(t).alias("rank"), titles.ladder(t).alias("step"), titles.several_holders(t).alias("several"))
+
+
+_DEPTS = [("政策法规处、货物和劳务税处", "province"), ("征管", "province"), ("征管", "district"), ("试用期一年处", "city"), ("收入核算处；联系单位某局", "city"), ("", "district")]
+
+
+@query("""SELECT * FROM (VALUES (0, '政策法规处,货物和劳务税处', '政策法规处、货物和劳务税处', 'chu'), (1, '征收管理', '征收管理处', 'chu'), (2, '征收管理', '征收管理科', 'ke'), (3, '', NULL, NULL), (4, '收入核算处', '收入核算处；联系单位某局', 'chu'), (5, '', NULL, NULL)) v(i, parts, name, kind)""")
+def department_functions(spark, d):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_DEPTS)], "i int, raw string, level string")
+    full = titles.normalize_department(F.col("raw"), F.col("level"))
+    return rows.select("i", F.array_join(titles.split_departments(F.col("raw")), ",").alias("parts"), full["name"].alias("name"), full["kind"].alias("kind"))
+
+
+@query("SELECT o_orderkey, substr(sha1(o_orderpriority || '|' || o_orderstatus || '|' || o_custkey), 1, 16) AS post_id, o_custkey || ':' || o_orderstatus AS person_id FROM orders")
+def key_functions(spark, d):
+    c = lambda n: F.col(n).cast("string")
+    return table(spark, d, "orders").select("o_orderkey", urls.post_id(c("o_orderpriority"), c("o_orderstatus"), c("o_custkey")).alias("post_id"), urls.person_id(c("o_custkey"), c("o_orderstatus")).alias("person_id"))
