@@ -28,6 +28,9 @@ from .common import U64, new_folder, shuffle_parts, slices, stage, text_column,
 from .tokens import encoder
 
 WINDOW = 8
+RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, root binary"
+MANIFEST = "start long, documents long, root binary"
+BLOCKS = "digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, root binary, kind string"
 ROWS = "kind string, key long, digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, root binary"
 _ARROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("digest", pa.binary()), ("payload", pa.binary()), ("n_ids", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary())])
 _SEEN = 200_000  # digests a task remembers, so that a passage in many documents is sent once a task
@@ -110,12 +113,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, k
     parts = shuffle_parts(spark)
     (rows.repartition(parts, "key").sortWithinPartitions("kind", "digest").mapInArrow(_once, ROWS).drop("key")
      .write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/blocks"))
-    fields = "digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, root binary, kind string"
-    recipes = spark.read.schema(fields).parquet(f"{folder}/blocks").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "sizes", "root")
+    recipes = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "sizes", "root")
     placed = stage(with_running_totals(recipes, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"start": F.col("n_tokens")}, "recipes"), "placed")
     (placed.repartitionByRange("start").sortWithinPartitions("start").select("doc_id", "start", "n_tokens", "digests", "sizes", "root")
      .write.option("compression", "zstd").parquet(f"{folder}/recipes"))
-    spark.read.parquet(f"{folder}/recipes").select("start", "root").mapInArrow(_range_roots, "start long, documents long, root binary").write.parquet(f"{folder}/manifest")
+    spark.read.schema(RECIPES).parquet(f"{folder}/recipes").select("start", "root").mapInArrow(_range_roots, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def _range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def _range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def root_of(spark: SparkSession, folder: str) -> str:
     """The store's Merkle root: the hash of the ranges' roots, of which there are as many as recipe files."""
-    rows = spark.read.parquet(f"{folder}/manifest").orderBy("start").collect()
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("start").collect()
     return hashlib.sha256(b"".join(bytes(r["root"]) for r in rows)).hexdigest()
 
 
@@ -202,9 +204,9 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     Every chunk is read once and checked against its digest; documents then join their chunks' facts, not the
     payloads. verified: all chunks are there and whole, and their ids number what the recipe says.
     """
-    chunks = spark.read.parquet(f"{folder}/blocks").where("kind = 'chunk'").select("digest", "payload")
+    chunks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'chunk'").select("digest", "payload")
     facts = chunks.mapInArrow(_chunk_facts({2: "<u2", 4: "<u4"}[id_bytes]), "digest binary, crc long, ok boolean, n long")
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     left = F.expr("aggregate(slice(sizes, pos + 2, size(sizes)), 0L, (a, x) -> a + x)")
     parts = recipes.select("start", "sizes", F.posexplode("digests").alias("pos", "digest")).select("start", "digest", left.alias("after"))
     crcs = (parts.join(facts, "digest", "left").select("start", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ok", F.lit(False)).alias("ok"), "crc", "after")
@@ -216,14 +218,14 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
 
 def read_ids(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:
     """The ids themselves: doc_id, start, ids array<int>, put together from the chunks."""
-    chunks = spark.read.parquet(f"{folder}/blocks").where("kind = 'chunk'").select("digest", "payload")
+    chunks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'chunk'").select("digest", "payload")
 
     def ids(batches):
         for batch in batches:
             out = [np.frombuffer(p, {2: "<u2", 4: "<u4"}[id_bytes]).astype(np.int32) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(out, pa.list_(pa.int32()))], names=["digest", "ids"])
 
-    parts = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
+    parts = spark.read.schema(RECIPES).parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
     return (parts.join(chunks.mapInArrow(ids, "digest binary, ids array<int>"), "digest").groupBy("doc_id", "start")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select("doc_id", "start", F.flatten("parts.ids").alias("ids")))
 
