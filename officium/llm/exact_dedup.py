@@ -45,29 +45,29 @@ def named(rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``name``: an integer, equal for equal keys only. Each row's key is read, sorted and dropped."""
     spark = rows.sparkSession
     hot = _hot_hashes(rows, F.col(key))
-    spread = F.col(key)
+    by = [key]
     if hot:
         frequent = rows.where(F.xxhash64(key).isin(hot)).groupBy(key).count()
         by_key = Window.orderBy(key)  # at most HOT_SHARE rows
         frequent = frequent.where(F.col("count") >= LEAST_HOT).select(key, (-F.row_number().over(by_key)).cast("long").alias("hot_name"))
         rows = rows.join(F.broadcast(stage(frequent, "hot_names")), key, "left")
-        spread = F.when(F.col("hot_name").isNull(), F.col(key))
-    else:
-        rows = rows.withColumn("hot_name", F.lit(None).cast("long"))
-    # A row with a hot name needs no key any more; its place among its own columns spreads it.
-    rows = rows.select(*keep, "hot_name", spread.alias(key), F.when(F.col("hot_name").isNotNull(), F.xxhash64(*keep)).alias("_at"))
-    dealt = rows.repartition(shuffle_parts(spark), key, "_at").sortWithinPartitions(key, "_at").withColumn("_place", F.monotonically_increasing_id())
-    same = Window.partitionBy(key, "_at").orderBy(key, "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dealt.select(*keep, F.coalesce("hot_name", F.first("_place").over(same)).alias("name"))
+        # A row with a hot name needs no key any more; its place among its own columns spreads it.
+        cold = F.col("hot_name").isNull()
+        rows = rows.select(*keep, "hot_name", F.when(cold, F.col(key)).alias(key), F.when(~cold, F.xxhash64(*keep)).alias("_at"))
+        by = [key, "_at"]
+    dealt = rows.repartition(shuffle_parts(spark), *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    # Rows are dealt and sorted as the window wants them: no second shuffle or sort.
+    name = F.first("_place").over(Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.select(*keep, (F.coalesce("hot_name", name) if hot else name).alias("name"))
 
 
 def block_names(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_sha256, n_blocks, name; (n_blocks, name) is equal for equal texts only."""
+    """One row per document: doc_id, text_sha256 (binary), n_blocks, name; (n_blocks, name) is equal for equal texts only."""
     norm = docs.select("doc_id", normalized(F.col("text")).alias("norm"))
     raw = F.col("norm").cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / F.lit(BLOCK)).cast("int"))
     blocks = norm.select(
-        "doc_id", F.sha2(raw, 256).alias("text_sha256"), n.alias("n_blocks"),
+        "doc_id", F.unhex(F.sha2(raw, 256)).alias("text_sha256"), n.alias("n_blocks"),
         F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK)))).alias("pos", "block"))
     keep = ["doc_id", "text_sha256", "n_blocks", "pos"]
     level = stage(named(blocks, "block", keep), "names")
@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     out = [F.col("doc_id"), F.col("k").alias("keep_id"), F.col("g").alias("group_size"), F.col("text_sha256")]
     crowded = rows.where("g is not null").select(*out)
     others = rows.where("g is null").drop("k", "g").join(groups.where(F.col("group_size") < least), ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", "text_sha256")
-    return crowded.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return crowded.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))
 
 
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
