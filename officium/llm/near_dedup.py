@@ -4,8 +4,9 @@ A document's set is its distinct shingles of ``words`` lower-cased (A-Z) words,
 one; without words it is empty and linked with nothing. Documents with equal sets are one node of the join (their
 smallest doc_id stands for them). In each of ``TREES`` independent trees a node of the tree branches on minwise tokens
 chosen by a hash of the path to it; the first ``DEPTH`` choices are taken in one step, as the nodes above hold nearly
-everything. Nodes of at most ``SMALL`` documents are compared exhaustively (by sketch), larger ones branch on, twice at
-each node; what is still large at ``DEEPEST`` is compared in tiles, so no document is left out. A pair at the
+everything. Nodes of at most ``SMALL`` documents, or with at most that many outside their main component, are compared
+exhaustively (by sketch), others branch on, twice at each node; what is still large at ``DEEPEST`` is compared in
+tiles, in the last round, so no document is left out. A pair at the
 threshold meets in a tree with probability 0.8**DEPTH at least, so TREES trees miss one in 10**7.
 
 Pairs are confirmed on full sets (100 * intersection >= percent * union). Before nodes are compared, their members are
@@ -32,6 +33,7 @@ WORDS, PERCENT = 5, 80
 FUNCTIONS = 128
 TREES, DEPTH, DEEPEST = 32, 4, 10
 SMALL = 64
+LAST = 1 << 30  # pairs a document and node in the last round: all
 SLACK = 0.15  # four standard deviations of the sketch's estimate
 _A = mix(np.arange(1, FUNCTIONS + 1).astype(U64) * _P) | U64(1)
 _SALT = U64(0x2545F4914F6CDD1D)
@@ -220,20 +222,28 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     edges = stage(confirm(tried, texts, words, percent), "edges")
     nodes = nodes.select("node", "rep", "n")
     sketch_of = reps.select("rep", "sketch").dropDuplicates(["rep"])
-    for most in (2, 8, 1 << 30):
+    for most in (2, 8, LAST):
         if not nodes.limit(1).count():
             break
         label = components(edges)
-        mixed, leaves = _mixed(nodes, label), []
+        mixed, leaves, postponed = _mixed(nodes, label), [], False
         if most == 2:
             nodes = mixed.select("node", "rep", "n")  # nodes within one component need no more looks
         for depth in range(DEPTH, DEEPEST + 1):
             leaves.append(mixed.where(F.col("size") <= SMALL).select("node", "rep", "n", "comp", F.lit(-1).cast("long").alias("tile")))
             large = mixed.where(F.col("size") > SMALL)
+            if not large.limit(1).count():
+                break
+            large = stage(_with_main(large), "large")
+            leaves.append(_tiles(large.where(F.col("rest") <= SMALL)))
+            large = large.where(F.col("rest") > SMALL)
             if not large.limit(1).count():
                 break
             if depth == DEEPEST:
-                leaves.append(_tiles(large))
+                if most < LAST:
+                    postponed = True  # most of these fall into one component before the last round
+                else:
+                    leaves.append(_tiles(large))
                 break
             mixed = _mixed(large.select("node", "rep", "n", "comp").join(sketch_of, "rep").mapInArrow(_deeper, "node long, rep long, n long, comp long"), None)
         small = leaves[0]
@@ -243,6 +253,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         pairs = rows.mapInArrow(_compared(percent, most), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if not pairs.limit(1).count():
+            if postponed:
+                continue
             break
         edges = stage(edges.unionByName(confirm(pairs, texts, words, percent)), "edges")
         tried = stage(tried.unionByName(pairs), "tried")
@@ -275,14 +287,30 @@ def _mixed(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
     return stage(nodes.join(sizes, "node"), "mixed")
 
 
+def _with_main(large: DataFrame) -> DataFrame:
+    """Adds main, the component with most members of the node, and rest, the number of members outside it."""
+    counts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
+    main = counts.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m"), F.first("size").alias("size"))
+    return large.join(main.select("node", "m.main", (F.col("size") - F.col("m.k")).alias("rest")), "node")
+
+
 def _tiles(large: DataFrame) -> DataFrame:
-    """Every pair of blocks of a node that branching left large, as a node of its own."""
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long"))
-    rows = large.withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    node = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(node.alias("node"), "rep", "n", "comp", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).cast("long").alias("tile"))
+    """Every pair of members of different components meets in one tile of blocks, which is a node of its own.
+
+    Pairs within the main component need no look, so its blocks meet only blocks of the rest, and those each other.
+    """
+    is_main = F.col("comp") == F.col("main")
+    blocks = lambda n: F.ceil(n / SMALL).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    rows = large.withColumns({"is_main": is_main, "mains": blocks(F.col("size") - F.col("rest")), "rests": blocks(F.col("rest"))})
+    rows = rows.withColumn("own", own(F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
+    other = lambda df, n: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    main, rest = rows.where("is_main"), rows.where("NOT is_main")
+    out = lambda df, node, tile: df.select(node.alias("node"), "rep", "n", "comp", tile.cast("long").alias("tile"))
+    made = out(other(main, "rests"), F.xxhash64("node", F.lit(1), "own", "other"), F.lit(1))
+    made = made.unionByName(out(other(rest, "mains"), F.xxhash64("node", F.lit(1), "other", "own"), F.lit(0)))
+    within = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    return made.unionByName(out(other(rest, "rests"), F.xxhash64("node", F.lit(2), F.least("own", "other"), F.greatest("own", "other")), within))
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
