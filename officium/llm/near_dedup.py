@@ -4,15 +4,16 @@ A document's set is its distinct shingles of ``words`` lower-cased (A-Z) words,
 one; without words it is empty and linked with nothing. Documents with equal sets are one node of the join (their
 smallest doc_id stands for them). In each of ``TREES`` independent trees a node of the tree branches on minwise tokens
 chosen by a hash of the path to it; the first ``DEPTH`` choices are taken in one step, as the nodes above hold nearly
-everything. Nodes of at most ``SMALL`` documents, or with at most that many outside their main component, are compared
-exhaustively (by sketch), others branch on, twice at each node; what is still large at ``DEEPEST`` is compared in
-tiles, in the last round, so no document is left out. A pair at the
-threshold meets in a tree with probability 0.8**DEPTH at least, so TREES trees miss one in 10**7.
+everything. Nodes of at most ``SMALL`` documents are compared exhaustively, larger ones with at most ``REST`` documents
+outside their main component too, in tiles; others branch on, twice at each node, and what is still large at
+``DEEPEST`` is compared in tiles, so no document is left out. A pair at the threshold meets in a tree with probability
+0.8**DEPTH at least, so TREES trees miss one in 10**7.
 
-Pairs are confirmed on full sets (100 * intersection >= percent * union). Before nodes are compared, their members are
-tried against the node's smallest document and joined to components, and in each later round only pairs across
-components are tried, the most alike first and all that remain last: a large group of near copies costs a few
-pairs a document instead of all pairs, and no link between components is lost.
+Links are confirmed on full sets (100 * intersection >= percent * union). First each node's members are tried against
+its smallest document and joined to components. Then only pairs across components are compared: by sketch, each pair in
+the first tree in which it meets; the documents of pairs that are alike are sent with their texts to their node, which
+compares the full sets and gives links between components only. A large group of near copies costs a few rows a
+document instead of all pairs, and no link between components is lost.
 
 Rows without a doc_id take no part: component_id is null and kept true. Rows that share a doc_id are one document, hence
 one component. Null text counts as empty. An empty table gives an empty result.
@@ -32,9 +33,9 @@ from .common import U64, Texts, _P, lower_ascii, mix, run_hashes, slices, stage,
 WORDS, PERCENT = 5, 80
 FUNCTIONS = 128
 TREES, DEPTH, DEEPEST = 32, 4, 10
-SMALL = 64
-LAST = 1 << 30  # pairs a document and node in the last round: all
+SMALL, REST = 256, 1024
 SLACK = 0.15  # four standard deviations of the sketch's estimate
+ROW = ("node", "rep", "n", "root", "comp")
 _A = mix(np.arange(1, FUNCTIONS + 1).astype(U64) * _P) | U64(1)
 _SALT = U64(0x2545F4914F6CDD1D)
 
@@ -90,15 +91,20 @@ def _step(path: np.ndarray, sketch: np.ndarray, branch: int) -> np.ndarray:
     return mix(path * _P + token + U64(branch + 1))
 
 
+def _root(tree: int, sketch: np.ndarray) -> np.ndarray:
+    """The nodes of a tree after the first DEPTH choices."""
+    path = np.full(len(sketch), mix(np.array([tree + 1], U64))[0])
+    for _ in range(DEPTH):
+        path = _step(path, sketch, 0)
+    return path
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketch = _sketch_matrix(batch.column(batch.schema.get_field_index("sketch")))
         rep, n = _column(batch, "rep"), _column(batch, "n")
         for tree in range(TREES):
-            path = np.full(len(rep), mix(np.array([tree + 1], U64))[0])
-            for _ in range(DEPTH):
-                path = _step(path, sketch, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep), pa.array(n)], names=["node", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_root(tree, sketch).view(np.int64)), pa.array(rep), pa.array(n)], names=["node", "rep", "n"])
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,59 +113,128 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _column(batch, "node").view(U64)
         for branch in (0, 1):
             node = pa.array(_step(path, sketch, branch).view(np.int64))
-            yield pa.RecordBatch.from_arrays([node, *[batch.column(batch.schema.get_field_index(c)) for c in ("rep", "n", "comp")]], names=["node", "rep", "n", "comp"])
-
-
-def _compared(percent: int, most: int):
-    """Pairs within nodes (rows come sorted by node), across components, alike enough; at most ``most`` a document
-    and node, the most alike first."""
-    least = percent / 100 - SLACK
-
-    def pairs(node, rep, n, comp, tile, sketch):
-        out = [[], [], []]
-        for d in range(1, len(node)):
-            i = np.flatnonzero(node[:-d] == node[d:])
-            if not len(i):
-                break
-            j = i + d
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[i] != comp[j]) & (100 * small >= percent * large) & ((tile[i] != tile[j]) | (tile[i] < 0))
-            i, j = i[ok], j[ok]
-            like = (sketch[i] == sketch[j]).mean(axis=1)
-            ok = like >= least
-            for x, y in zip(out, (i[ok], j[ok], like[ok])):
-                x.append(y)
-        i, j, like = (np.concatenate(x) if x else np.zeros(0) for x in out)
+            root = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([node, *[batch.column(batch.schema.get_field_index(c)) for c in ("rep", "n")], root, batch.column(batch.schema.get_field_index("comp"))], names=["node", "rep", "n", "root", "comp"])
+
+
+def _like(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sketches are alike enough for the threshold."""
+    return (sketch[i] == sketch[j]).mean(axis=1) >= percent / 100 - SLACK
+
+
+def _by_node(batches: Iterator[pa.RecordBatch], columns) -> Iterator[list[np.ndarray]]:
+    """columns(batch), the node first, joined and cut so that no node (rows come sorted by node) is split."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = columns(batch)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        others = np.flatnonzero(cols[0] != cols[0][-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield [x[:cut] for x in cols]
+        held = [x[cut:] for x in cols]
+    if held is not None:
+        yield held
+
+
+def _row_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [_column(batch, c) for c in ("node", "rep", "n", "root", "comp", "tile")] + [_sketch_matrix(batch.column(batch.schema.get_field_index("sketch")))]
+
+
+def _alike(percent: int, node, n, root, comp, tile, sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within nodes, across components, with sketches alike enough.
+
+    A pair that meets at the roots of several trees is given in the first one only; rows with root 0 give all theirs.
+    """
+    roots = np.stack([_root(tree, sketch) for tree in range(TREES)], axis=1).view(np.int64)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, len(node)):
+        i = np.flatnonzero(node[:-d] == node[d:])
         if not len(i):
-            return None
-        i, j = i.astype(np.int64), j.astype(np.int64)
-        keep = np.zeros(len(i), bool)
-        for side in (i, j):
-            order = np.lexsort((-like, side))
-            s = side[order]
-            begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            rank = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
-            keep[order[rank < most]] = True
-        a, b = rep[i[keep]], rep[j[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            break
+        j = i + d
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (comp[i] != comp[j]) & (100 * small >= percent * large) & ((tile[i] != tile[j]) | (tile[i] < 0))
+        i, j = i[ok], j[ok]
+        meet = (roots[i] == roots[j]).argmax(axis=1)
+        ok = (root[i] == 0) | (root[j] == 0) | (roots[i, meet] == root[i])
+        i, j = i[ok], j[ok]
+        ok = _like(sketch, i, j, percent)
+        first.append(i[ok])
+        second.append(j[ok])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _candidates(percent: int):
+    """The rows that have a partner in their node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            cols = [_column(batch, c) for c in ("node", "rep", "n", "comp", "tile")] + [_sketch_matrix(batch.column(batch.schema.get_field_index("sketch")))]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            node = cols[0]
-            cut = int(np.searchsorted(node != node[-1], False)) if len(node) and (node[0] == node[-1]) else int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) else 0
-            held = [x[cut:] for x in cols]
-            if cut and (made := pairs(*[x[:cut] for x in cols])) is not None:
-                yield made
-        if held is not None and len(held[0]) and (made := pairs(*held)) is not None:
-            yield made
+        for node, rep, n, root, comp, tile, sketch in _by_node(batches, _row_columns):
+            at = np.unique(np.concatenate(_alike(percent, node, n, root, comp, tile, sketch)))
+            if len(at):
+                cols = [pa.array(x[at]) for x in (node, rep, n, root, comp, tile)] + [pa.array([x.tobytes() for x in sketch[at]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "rep", "n", "root", "comp", "tile", "sketch"])
+
+    return run
+
+
+def _links(words: int, percent: int):
+    """Links (a, b) between components, confirmed on full sets, in rows with their texts sorted by node."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        sets = np.empty(batch.num_rows, object)
+        for t in slices(text_column(batch)):
+            g, first = shingle_sets(t, words)
+            for k in range(t.n):
+                sets[t.lo + k] = g[first[k] : first[k + 1]]
+        return [*_row_columns(batch), sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, rep, n, root, comp, tile, sketch, sets in _by_node(batches, columns):
+            i, j = _alike(percent, node, n, root, comp, tile, sketch)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            ends = np.searchsorted(node, node, side="right")
+            comp, links = comp.copy(), ([], [])
+            for x, partners in zip(np.unique(i), np.split(j, np.flatnonzero(np.diff(i)) + 1)):
+                partners = partners[comp[partners] != comp[x]]
+                mine = sets[x]
+                if not len(partners) or not len(mine):
+                    continue
+                theirs = [sets[y] for y in partners]
+                sizes = np.array([len(y) for y in theirs])
+                every = np.concatenate(theirs)
+                total = np.append(0, np.cumsum(mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every))
+                upto = np.append(0, np.cumsum(sizes))
+                both = total[upto[1:]] - total[upto[:-1]]
+                for y in partners[(both > 0) & (100 * both >= percent * (len(mine) + sizes - both))]:
+                    if comp[x] != comp[y]:
+                        links[0].append(max(rep[x], rep[y]))
+                        links[1].append(min(rep[x], rep[y]))
+                        own = slice(np.searchsorted(node, node[x]), ends[x])
+                        comp[own][comp[own] == comp[y]] = comp[x]
+            if links[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return run
 
 
+def _alike_pairs(pairs: DataFrame, sketch_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate([_sketch_matrix(batch.column(batch.schema.get_field_index(c))) for c in ("sketch_a", "sketch_b")])
+            at = np.arange(batch.num_rows)
+            yield batch.filter(pa.array(_like(both, at, at + batch.num_rows, percent), pa.bool_())).select(["a", "b"])
+
+    rows = pairs.join(sketch_of.toDF("a", "sketch_a"), "a").join(sketch_of.toDF("b", "sketch_b"), "b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough. texts: doc_id, text, one row each."""
 
@@ -218,46 +293,36 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     texts = stage(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
     ratio = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
-    tried = stage(nodes.where((F.col("rep") != F.col("b")) & ratio).select(F.col("rep").alias("a"), "b").distinct(), "stars")
-    edges = stage(confirm(tried, texts, words, percent), "edges")
-    nodes = nodes.select("node", "rep", "n")
     sketch_of = reps.select("rep", "sketch").dropDuplicates(["rep"])
-    for most in (2, 8, LAST):
-        if not nodes.limit(1).count():
+    stars = stage(nodes.where((F.col("rep") != F.col("b")) & ratio).select(F.col("rep").alias("a"), "b").distinct(), "stars")
+    stars = stage(_alike_pairs(stars, sketch_of, percent), "tried")
+    edges = stage(confirm(stars, texts, words, percent), "edges")
+    nodes = nodes.select("node", "rep", "n", F.col("node").alias("root"))
+    mixed, leaves, branched = _mixed(nodes, components(edges)), [], None
+    for depth in range(DEPTH, DEEPEST + 1):
+        leaves.append(mixed.where(F.col("size") <= SMALL).select(*ROW, F.lit(-1).cast("long").alias("tile")))
+        large = mixed.where(F.col("size") > SMALL)
+        if not large.limit(1).count():
             break
-        label = components(edges)
-        mixed, leaves, postponed = _mixed(nodes, label), [], False
-        if most == 2:
-            nodes = mixed.select("node", "rep", "n")  # nodes within one component need no more looks
-        for depth in range(DEPTH, DEEPEST + 1):
-            leaves.append(mixed.where(F.col("size") <= SMALL).select("node", "rep", "n", "comp", F.lit(-1).cast("long").alias("tile")))
-            large = mixed.where(F.col("size") > SMALL)
-            if not large.limit(1).count():
-                break
-            large = stage(_with_main(large), "large")
-            leaves.append(_tiles(large.where(F.col("rest") <= SMALL)))
-            large = large.where(F.col("rest") > SMALL)
-            if not large.limit(1).count():
-                break
-            if depth == DEEPEST:
-                if most < LAST:
-                    postponed = True  # most of these fall into one component before the last round
-                else:
-                    leaves.append(_tiles(large))
-                break
-            mixed = _mixed(large.select("node", "rep", "n", "comp").join(sketch_of, "rep").mapInArrow(_deeper, "node long, rep long, n long, comp long"), None)
-        small = leaves[0]
-        for more in leaves[1:]:
-            small = small.unionByName(more)
-        rows = small.join(sketch_of, "rep").repartition("node").sortWithinPartitions("node")
-        pairs = rows.mapInArrow(_compared(percent, most), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if postponed:
-                continue
+        large = stage(_with_main(large), "large")
+        ends = F.lit(True) if depth == DEEPEST else F.col("rest") <= REST
+        leaves.append(_tiles(large.where(ends)))
+        large = large.where(~ends).select(*ROW)
+        if not large.limit(1).count():
             break
-        edges = stage(edges.unionByName(confirm(pairs, texts, words, percent)), "edges")
-        tried = stage(tried.unionByName(pairs), "tried")
+        if branched is None:  # below the roots a pair may part, so these documents' pairs are taken from every tree
+            branched = large.select("rep").distinct().withColumn("deep", F.lit(True))
+        mixed = _mixed(large.join(sketch_of, "rep").mapInArrow(_deeper, "node long, rep long, n long, root long, comp long"), None)
+    rows = leaves[0]
+    for more in leaves[1:]:
+        rows = rows.unionByName(more)
+    if branched is not None:
+        rows = rows.join(branched, "rep", "left").withColumn("root", F.when(F.col("deep"), F.lit(0)).otherwise(F.col("root"))).drop("deep")
+    rows = rows.join(sketch_of, "rep").select(*ROW, "tile", "sketch").repartition("node").sortWithinPartitions("node")
+    rows = stage(rows.mapInArrow(_candidates(percent), "node long, rep long, n long, root long, comp long, tile long, sketch binary"), "candidates")
+    if rows.limit(1).count():
+        full = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*rows.columns, "text").repartition("node").sortWithinPartitions("node")
+        edges = stage(edges.unionByName(full.mapInArrow(_links(words, percent), "a long, b long")), "edges")
 
     # Rows of one doc_id with different texts are one document.
     own = sets.join(classes, same).select("doc_id", "rep")
@@ -278,9 +343,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def _mixed(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members of the nodes that hold more than one component: node, rep, n, comp, size."""
+    """Members of the nodes that hold more than one component: ROW and size."""
     if label is not None:
-        nodes = nodes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        nodes = nodes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", "root", F.coalesce("comp", "rep").alias("comp"))
     nodes = stage(nodes, "nodes")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     sizes = stage(sizes.where("lo <> hi").select("node", "size"), "sizes")
@@ -306,7 +371,7 @@ def _tiles(large: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", own(F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
     other = lambda df, n: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     main, rest = rows.where("is_main"), rows.where("NOT is_main")
-    out = lambda df, node, tile: df.select(node.alias("node"), "rep", "n", "comp", tile.cast("long").alias("tile"))
+    out = lambda df, node, tile: df.select(node.alias("node"), "rep", "n", "root", "comp", tile.cast("long").alias("tile"))
     made = out(other(main, "rests"), F.xxhash64("node", F.lit(1), "own", "other"), F.lit(1))
     made = made.unionByName(out(other(rest, "mains"), F.xxhash64("node", F.lit(1), "other", "own"), F.lit(0)))
     within = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))

@@ -133,9 +133,10 @@ def test_near_copies(spark, docs):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
-@pytest.mark.parametrize(("small", "deepest"), [(64, 10), (4, 5)])
-def test_a_large_group_of_near_copies(spark, monkeypatch, small, deepest):
+@pytest.mark.parametrize(("small", "rest", "deepest"), [(64, 1024, 10), (4, 1024, 10), (4, 4, 5)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, small, rest, deepest):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "REST", rest)
     monkeypatch.setattr(near_dedup, "DEEPEST", deepest)
     base = [f"v{i}" for i in range(120)]
     rows = [(i, " ".join(base[: i % 110] + [f"n{i}"] + base[i % 110 + 1 :])) for i in range(150)] + [(1000 + i, " ".join(f"z{i}_{j}" for j in range(50))) for i in range(20)]
