@@ -1,11 +1,16 @@
 """Language-model scoring by Brown's class-based bigrams.
 
 P(text) = product over tokens of P(class | class before) * P(word | class). Classes come from the exchange algorithm:
-starting from classes by frequency, each unit is moved to the class that gives the training bigrams the largest
-likelihood, in turn, until a round moves few. Units are the end of a text, every word with at least one in
-``SHARE`` of the training tokens (so at most ``SHARE`` words, at any corpus size), and the shapes that all rarer words fall
-into; so each word, however rare, has a class. Word counts cover all training texts: they are summed by word hash in
-buckets whose number follows the input, and each document's sum of log10(count + 0.5) comes back from them.
+from each of a few starts, each unit is moved to the class that gives the training bigrams the largest
+likelihood, in turn, until a round moves few. Its units are the end of a text, every word with at least one in
+``SHARE`` of the training tokens (so at most ``SHARE`` words, at any corpus size), and the shapes of all rarer words. Then
+each rarer word of the training texts gets the class of its own that suits its neighbours best: its counts of
+(word, neighbour's class) are summed by word hash in ``BUCKETS`` buckets and scored against the exchange's class table.
+Only words that no training text has are left with the class of their shape. The class bigrams are counted again with
+the classes of all words; the number of classes follows the training tokens.
+
+Texts are cut into words once, in slices that are written down. A slice sends its distinct words to the buckets and gets
+their classes and counts back, so the rows between them follow the slices, not texts times buckets.
 
 Training rows are those whose crc32(doc_id as text) modulo 5 is not 1. Texts: A-Z lower-cased, words
 ``[^\\x20\\x09-\\x0D]+``, then one end token. Null text counts as empty: the end alone. Repeated rows and repeated or null
@@ -14,21 +19,27 @@ doc_ids are scored row by row. Without training tokens counts are 0 and scores f
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, Words, lower_ascii, mix, run_hashes, slices, stage, text_column, words_of
+from .common import U64, Texts, Words, lower_ascii, mix, per_text, run_hashes, slices, stage, text_column, words_of
 
 FOLDS, HELD = 5, 1
 SHARE = 4000
 CLASSES = 32
 ROUNDS = 8
+STARTS = 3
+SEED = 5
 SHAPES = 16
+BUCKETS = 512
+BLOCK = 16_384  # words whose neighbours are counted at once
 _SALT = U64(0x5851F42D4C957F2D)
 
 
@@ -36,18 +47,60 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple[Texts, Words, np.ndarray, np.ndarray, list]]:
-    """Slices of lower-cased texts: the slice, its words, their keys, which texts train, and their doc_ids.
+@dataclass
+class Slice:
+    """A slice of texts as words: distinct keys in the order of their buckets, and each token's place among them."""
 
-    A word's key is its hash, with its shape in the lowest bits.
-    """
-    ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-    for t in slices(text_column(batch)):
-        t = Texts(t.lo, lower_ascii(t.data), t.offsets)
-        w = words_of(t)
-        own = ids[t.lo : t.lo + t.n]
-        key = (run_hashes(t.data, w.starts, w.ends) & ~U64(SHAPES - 1)) | shapes(t, w).astype(U64)
-        yield t, w, key, np.array([not held_out(i) for i in own], bool), own
+    slice: int
+    ids: list
+    trains: np.ndarray
+    first: np.ndarray
+    keys: np.ndarray
+    at: np.ndarray
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.trains)), np.diff(self.first))
+
+    @property
+    def n(self) -> np.ndarray:
+        """How often each key stands in the training texts."""
+        return np.bincount(self.at[self.trains[self.doc]], minlength=len(self.keys))
+
+
+_SLICE = "slice long, ids array<long>, trains binary, first binary, keys binary, at binary"
+
+
+def bucket_of(key: np.ndarray) -> np.ndarray:
+    return (mix(key ^ _SALT) % U64(BUCKETS)).astype(np.int64)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of lower-cased texts as words. A word's key is its hash, with its shape in the lowest bits."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+        for t in slices(text_column(batch)):
+            t = Texts(t.lo, lower_ascii(t.data), t.offsets)
+            w = words_of(t)
+            own = ids[t.lo : t.lo + t.n]
+            key = (run_hashes(t.data, w.starts, w.ends) & ~U64(SHAPES - 1)) | shapes(t, w).astype(U64)
+            keys, at = np.unique(key, return_inverse=True)
+            order = np.argsort(bucket_of(keys), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            trains = np.array([not held_out(i) for i in own], bool)
+            values = [trains, w.first.astype(np.int64), keys[order], place[at]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([own], pa.list_(pa.int64())), *[pa.array([v.tobytes()], pa.binary()) for v in values]],
+                names=["slice", "ids", "trains", "first", "keys", "at"])
+
+
+def _slices(rows) -> Iterator[Slice]:
+    """The slices in a batch or table of them."""
+    cols = [rows.column(c) for c in ("slice", "ids", "trains", "first", "keys", "at")]
+    for i in range(rows.num_rows):
+        k, ids, trains, first, keys, at = (c[i].as_py() for c in cols)
+        yield Slice(k, ids, np.frombuffer(trains, bool), np.frombuffer(first, np.int64), np.frombuffer(keys, U64), np.frombuffer(at, np.int32))
 
 
 def shapes(t: Texts, w: Words) -> np.ndarray:
@@ -63,8 +116,9 @@ def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Words with at least one in 2*SHARE of this task's training tokens, and (hash 0) the number of those tokens."""
     keys, counts, total, since = np.zeros(0, U64), np.zeros(0, np.int64), 0, 0
     for batch in batches:
-        for _, w, h, trains, _ in _read(batch):
-            k, n = np.unique(h[trains[w.doc]], return_counts=True)
+        for s in _slices(batch):
+            n = s.n
+            k, n = s.keys[n > 0], n[n > 0]
             total += int(n.sum())
             since += int(n.sum())
             keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
@@ -78,13 +132,13 @@ def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
 
-def candidates(docs: DataFrame) -> np.ndarray:
+def candidates(sliced: DataFrame) -> np.ndarray:
     """A superset, at most 4*SHARE hashes, of the words with one in SHARE of the training tokens.
 
     A word with that share overall has at least half of its tokens in tasks where it has half the share, so the counts
     that the tasks report for it add up to half the share at least.
     """
-    seen = stage(docs.mapInArrow(_frequent_here, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    seen = stage(sliced.mapInArrow(_frequent_here, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     total = seen.where("word = 0").agg(F.sum("n")).first()[0] or 0
     found = seen.where(f"word <> 0 AND n * {4 * SHARE} >= {total}").select("word").collect() if total else []
     return np.sort(np.array([r["word"] for r in found], np.int64).view(U64))
@@ -99,38 +153,73 @@ def units_of(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return unit
 
 
-def sequence(unit: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' units with an end (0) after each text; and each token's text."""
-    n = len(w.first) - 1
-    out = np.zeros(len(unit) + n, np.int64)
-    out[np.arange(len(unit)) + w.doc] = unit
-    return out, np.repeat(np.arange(n), w.counts + 1)
+def sequence(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' values with an end (0) after each text; and each token's text."""
+    n = len(first) - 1
+    out = np.zeros(len(values) + n, np.int64)
+    out[np.arange(len(values)) + np.repeat(np.arange(n), np.diff(first))] = values
+    return out, np.repeat(np.arange(n), np.diff(first) + 1)
 
 
-def _bigrams(words: np.ndarray):
-    width = 1 + SHAPES + len(words)
+class _Pairs:
+    """Counts of pairs a, b below width."""
+
+    def __init__(self, width: int):
+        self.width, self.keys, self.counts = width, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, s: np.ndarray, used: np.ndarray) -> None:
+        before = np.append(0, s[:-1])  # a text begins after an end
+        k, n = np.unique((before * self.width + s)[used], return_counts=True)
+        self.keys, back = np.unique(np.concatenate([self.keys, k]), return_inverse=True)
+        self.counts = np.bincount(back, weights=np.concatenate([self.counts, n])).astype(np.int64)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.keys // self.width), pa.array(self.keys % self.width), pa.array(self.counts)], names=["a", "b", "n"])
+
+
+def _summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    return tuple(np.asarray(rows.column(c)) for c in ("a", "b", "n"))
 
+
+def _bigrams(words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs = _Pairs(1 + SHAPES + len(words))
         for batch in batches:
-            for t, w, h, trains, _ in _read(batch):
-                s, doc = sequence(units_of(h, words), w)
-                before = np.append(0, s[:-1])  # a text begins after an end
-                k, n = np.unique((before * width + s)[trains[doc]], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                counts = np.bincount(back, weights=np.concatenate([counts, n])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(counts)], names=["a", "b", "n"])
+            for s in _slices(batch):
+                unit, doc = sequence(units_of(s.keys, words)[s.at], s.first)
+                pairs.add(unit, s.trains[doc])
+        yield pairs.rows()
 
     return run
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """A class for each unit; pairs[a, b]: how often b follows a. Unit 0 (the end) keeps class 0 to itself."""
+def classes_for(tokens: float, units: int) -> int:
+    """The fourth root of the training tokens, so far as four units a class are there; CLASSES at least."""
+    return max(CLASSES, min(round(tokens**0.25), units // 4))
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS, starts: int = STARTS) -> np.ndarray:
+    """A class for each unit; pairs[a, b]: how often b follows a. Unit 0 (the end) keeps class 0 to itself.
+
+    Single moves end in the nearest summit, so the best of several starts is taken: classes dealt by frequency, then dealt
+    in seeded random orders.
+    """
+    order = np.argsort(-pairs.sum(axis=0)[1:], kind="stable") + 1
+    rng = np.random.default_rng(SEED)
+    best, most = None, -np.inf
+    for start in range(starts):
+        of = np.zeros(len(pairs), np.int64)
+        of[rng.permutation(order) if start else order] = 1 + np.arange(len(order)) % (classes - 1)
+        value = _climb(pairs, of, order, classes, rounds)
+        if value > most:
+            best, most = of, value
+    return best
+
+
+def _climb(pairs: np.ndarray, of: np.ndarray, order: np.ndarray, classes: int, rounds: int) -> float:
+    """Moves units in turn, in place, to their best classes; the part of the log likelihood that depends on classes."""
     n = len(pairs)
-    count = pairs.sum(axis=0)
-    order = np.argsort(-count[1:], kind="stable") + 1
-    of = np.zeros(n, np.int64)
-    of[order] = 1 + np.arange(len(order)) % (classes - 1)
     xlog = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
     onehot = np.zeros((n, classes))
     onehot[np.arange(n), of] = 1
@@ -146,7 +235,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             table[old, old] += own
             r[old] -= own
             l[old] -= own  # without the unit itself
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            rows, cols = table.sum(axis=1) + l, table.sum(axis=0) + r  # these tokens stay, whatever u's class
             base = xlog(table)
             gain = (xlog(table + r[None, :]) - base).sum(axis=1) + (xlog(table + l[:, None]) - base).sum(axis=0)
             diagonal = np.diag(table)
@@ -167,86 +256,145 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
                 left[:, new] += pairs[u]
         if moved <= n // 200:
             break
-    return of
+    return float(xlog(table).sum() - xlog(table.sum(axis=1)).sum() - xlog(table.sum(axis=0)).sum())
+
 
+def _neighbours(frequent: np.ndarray, of: np.ndarray, classes: int):
+    """Rows for the buckets: of each slice and bucket the words, and for rarer ones the classes beside them.
 
-def _counted(buckets: int):
-    """Rows for the buckets: of each slice and bucket the (text, word) pairs with their numbers."""
+    A place's column is the class before it, or ``classes`` and the class after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, w, h, trains, ids in _read(batch):
-                key, doc = np.append(h, np.full(t.n, _SALT)), np.append(w.doc, np.arange(t.n))  # and the ends
-                order = np.argsort(mix(key) + doc.astype(U64) * _SALT)  # equal pairs together
-                key, doc = key[order], doc[order]
-                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-                times = np.diff(np.append(new, len(key))).astype(np.uint32)
-                key, doc = key[new], doc[new].astype(np.int32)
-                bucket = (mix(key ^ _SALT) % U64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, bucket))
-                key, doc, times, cut = key[order], doc[order], times[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                text = [zlib.crc32(t.data[t.offsets[i] : t.offsets[i + 1]].tobytes()) for i in range(t.n)]
-                facts = pa.array(ids, pa.int64()), np.array(text, np.int64), trains
-                some = np.flatnonzero(np.diff(cut))
-                part = lambda x: pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())
-                lists = [pa.array([facts[0].to_pylist()] * len(some), pa.list_(pa.int64())), pa.array([facts[1]] * len(some), pa.list_(pa.int64())), pa.array([facts[2]] * len(some), pa.list_(pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([pa.array(some), part(key), part(doc), part(times), *lists], names=["bucket", "keys", "docs", "times", "doc_ids", "texts", "trains"])
+            for s in _slices(batch):
+                if not len(s.keys):
+                    continue
+                unit = units_of(s.keys, frequent)
+                c, doc = sequence(of[unit][s.at], s.first)
+                mine = np.arange(len(s.at)) + s.doc  # the tokens' places among the ends
+                before, after = np.append(0, c[:-1])[mine], c[mine + 1]  # an end is always after
+                used = s.trains[s.doc] & (unit[s.at] <= SHAPES)
+                code = s.at[used].astype(np.int64) * (2 * classes)
+                code, times = np.unique(np.concatenate([code + before[used], code + classes + after[used]]), return_counts=True)
+                key, col = code // (2 * classes), (code % (2 * classes)).astype(np.uint16)
+                several = np.bincount(key, minlength=len(s.keys)).astype(np.uint16)
+                bucket = bucket_of(s.keys)
+                some = np.unique(bucket)
+                cut = np.append(np.searchsorted(bucket, some), len(bucket))
+                at = np.searchsorted(key, cut)
+                part = lambda x, cut: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array(np.full(len(some), s.slice)), part(s.keys, cut), part(s.n.astype(np.uint32), cut), part(several, cut), part(col, at), part(times.astype(np.uint32), at)],
+                    names=["bucket", "slice", "keys", "n", "several", "cols", "times"])
 
     return run
 
 
-def _looked_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One bucket: counts of its words over all training rows, then each text's share of the sums."""
-    cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    keys = [np.frombuffer(k, U64) for k in cols["keys"]]
-    docs = [np.frombuffer(d, np.int32) for d in cols["docs"]]
-    times = [np.frombuffer(n, np.uint32) for n in cols["times"]]
-    used = [n * np.array(tr, bool)[d] for n, d, tr in zip(times, docs, cols["trains"])]
-    words, back = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(back, weights=np.concatenate(used), minlength=len(words))
-    known = count > 0
-    by_shape = np.bincount((words[known & (words != _SALT)] & U64(SHAPES - 1)).astype(np.int64), minlength=SHAPES)
-    logs = np.log10(count + 0.5)
-    at, out = 0, {"doc_id": [], "text": [], "sum_log": [], "n_known": []}
-    for k, d, n, ids, text in zip(keys, docs, times, cols["doc_ids"], cols["texts"]):
-        i = back[at : at + len(k)]
-        at += len(k)
-        touched = np.unique(d)
-        out["sum_log"].append(np.bincount(d, weights=n * logs[i], minlength=len(ids))[touched])
-        out["n_known"].append(np.bincount(d, weights=n * known[i], minlength=len(ids))[touched])
-        out["doc_id"] += [ids[j] for j in touched]
-        out["text"].append(np.array(text, np.int64)[touched])
-    n = len(out["doc_id"])
-    rows = {"doc_id": pa.array(out["doc_id"], pa.int64()), "text": pa.array(np.concatenate(out["text"])), "sum_log": pa.array(np.concatenate(out["sum_log"])), "n_known": pa.array(np.concatenate(out["n_known"]).astype(np.int64)), "types": pa.nulls(n, pa.list_(pa.int64()))}
-    fact = {"doc_id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.int64()), "sum_log": pa.nulls(1, pa.float64()), "n_known": pa.array([int(known.sum())]), "types": pa.array([by_shape], pa.list_(pa.int64()))}
-    return pa.concat_tables([pa.table(rows), pa.table(fact)])
-
-
-def _class_scores(words: np.ndarray, of: np.ndarray, step: np.ndarray, spread: np.ndarray):
-    """Per text: tokens, and the sum of log10 P(class | before) less log10 of the class's smoothed size."""
+def suits(table: np.ndarray) -> np.ndarray:
+    """[column, class]: what one neighbour gives to a word's likelihood in the class (columns as in _neighbours)."""
+    log = np.log(table + 0.5)
+    rows, cols = np.log(table.sum(axis=1) + 0.5 * len(table)), np.log(table.sum(axis=0) + 0.5 * len(table))
+    return np.concatenate([log - cols[None, :], log.T - rows[None, :]])
+
+
+def best_classes(word: np.ndarray, col: np.ndarray, times: np.ndarray, n: int, suit: np.ndarray) -> np.ndarray:
+    """The best class of each of n words from its neighbours: entries (word, col, times)."""
+    order = np.argsort(word, kind="stable")
+    word, col, times = word[order], col[order].astype(np.int64), times[order]
+    out, width = np.zeros(n, np.int64), len(suit)
+    suit = suit[:, 1:]  # class 0 is the end's own
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        i, j = np.searchsorted(word, [lo, hi])
+        beside = np.bincount((word[i:j] - lo) * width + col[i:j], weights=times[i:j], minlength=(hi - lo) * width).reshape(hi - lo, width)
+        out[lo:hi] = 1 + np.argmax(beside @ suit, axis=1)
+    return out
+
+
+def _classed(frequent: np.ndarray, of: np.ndarray, suit: np.ndarray):
+    """One bucket: each word's count in all training rows and its class, sent back to the slices that asked."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kinds = {"keys": U64, "n": np.uint32, "several": np.uint16, "cols": np.uint16, "times": np.uint32}
+        got = {c: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in kinds.items()}
+        words, back = np.unique(np.concatenate(got["keys"]), return_inverse=True)
+        count = np.zeros(len(words), np.int64)
+        np.add.at(count, back, np.concatenate(got["n"]))
+        unit = units_of(words, frequent)
+        c = of[unit]
+        own = (count > 0) & (unit <= SHAPES)
+        place = np.cumsum(own) - 1
+        word = place[np.repeat(back, np.concatenate(got["several"]))]
+        c[own] = best_classes(word, np.concatenate(got["cols"]), np.concatenate(got["times"]), int(own.sum()), suit)
+        at = np.append(0, np.cumsum([len(k) for k in got["keys"]]))
+        part = lambda x: pa.array([x[back[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])] + [None], pa.binary())
+        size = np.bincount(c[count > 0], minlength=suit.shape[1])
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()] * len(at), pa.int64()), "slice": pa.array(table.column("slice").to_pylist() + [None], pa.int64()),
+            "classes": part(c.astype(np.uint16)), "counts": part(count), "vocabulary": pa.array([None] * (len(at) - 1) + [size], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _answered(ends: int):
+    """A slice with its words' classes and counts: its tokens' classes, and each text's sums."""
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        (s,) = _slices(own)
+        answers = answers.sort_by("bucket")
+        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in answers.column(c).to_pylist()]])
+        classes, count = joined("classes", np.uint16), joined("counts", np.int64)
+        c, _ = sequence(classes[s.at], s.first)
+        logs = per_text(np.log10(count + 0.5)[s.at], s.first) + np.log10(ends + 0.5)
+        known = per_text((count > 0)[s.at].astype(np.int64), s.first) + int(ends > 0)
+        return pa.table({
+            "ids": pa.array([s.ids], pa.list_(pa.int64())), "trains": pa.array([s.trains.tobytes()], pa.binary()), "first": pa.array([s.first.tobytes()], pa.binary()),
+            "classes": pa.array([c.astype(np.uint16).tobytes()], pa.binary()), "logs": pa.array([logs.astype(np.float64).tobytes()], pa.binary()), "known": pa.array([known.astype(np.int64).tobytes()], pa.binary())})
+
+    return run
+
+
+def _scored_slices(batch: pa.RecordBatch) -> Iterator[tuple]:
+    kinds = {"trains": bool, "first": np.int64, "classes": np.uint16, "logs": np.float64, "known": np.int64}
+    for i in range(batch.num_rows):
+        yield batch.column("ids")[i].as_py(), *[np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in kinds.items()]
+
+
+def _class_bigrams(classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs(classes)
+        for batch in batches:
+            for _, trains, first, c, *_ in _scored_slices(batch):
+                pairs.add(c.astype(np.int64), np.repeat(trains, np.diff(first) + 1))
+        yield pairs.rows()
+
+    return run
+
 
+def _scores(step: np.ndarray, spread: np.ndarray, floor: float, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, w, h, trains, ids in _read(batch):
-                s, doc = sequence(units_of(h, words), w)
-                c = of[s]
+            for ids, trains, first, c, logs, known in _scored_slices(batch):
+                c = c.astype(np.int64)
                 value = step[np.append(0, c[:-1]), c] - spread[c]
-                text = [zlib.crc32(t.data[t.offsets[i] : t.offsets[i + 1]].tobytes()) for i in range(t.n)]
+                score = per_text(value, first + np.arange(len(first))) + logs
+                n = np.diff(first) + 1
+                values = [~trains, n, known, np.full(len(n), total), logs - n * floor, score, -score / n]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(text, pa.int64()), pa.array(~trains), pa.array(w.counts + 1, pa.int64()), pa.array(np.bincount(doc, weights=value, minlength=t.n))],
-                    names=["doc_id", "text", "held_out", "n_tokens", "class_sum"])
+                    [pa.array(ids, pa.int64()), *[pa.array(v) for v in values]],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "log10_perplexity"])
 
     return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_perplexity for each row of docs."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    maybe = candidates(docs)
+    sliced = stage(docs.mapInArrow(_sliced, _SLICE), "slices")
+    maybe = candidates(sliced)
     width = 1 + SHAPES + len(maybe)
-    rows = docs.mapInArrow(_bigrams(maybe), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most (4*SHARE + 17)**2, in practice few
-    a, b, n = (np.asarray(rows.column(c)) for c in ("a", "b", "n"))
+    a, b, n = _summed(sliced.mapInArrow(_bigrams(maybe), "a long, b long, n long"))  # at most (4*SHARE + 17)**2, in practice few
     count = np.bincount(b, weights=n, minlength=width)
     total = float(count.sum())
     # Only now are the counts exact: candidates below the share go back to their shapes.
@@ -258,35 +406,29 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = np.zeros((width, width))
     np.add.at(pairs, (new[a], new[b]), n)
     count = pairs.sum(axis=0)
-    of = exchange(pairs)
-
-    buckets = max(16, 2 * docs.rdd.getNumPartitions())
-    sums = stage(docs.mapInArrow(_counted(buckets), "bucket long, keys binary, docs binary, times binary, doc_ids array<long>, texts array<long>, trains array<boolean>")
-                 .groupBy("bucket").applyInArrow(_looked_up, "doc_id long, text long, sum_log double, n_known long, types array<long>"), "sums")
-    facts = sums.where("types IS NOT NULL")
-    per_shape = facts.select(F.posexplode("types")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-    types = int(facts.agg(F.sum("n_known")).first()[0] or 0)
-    by_shape = np.zeros(SHAPES)
-    for r in per_shape:
-        by_shape[r["pos"]] = r["n"]
-    by_shape -= np.bincount((frequent & U64(SHAPES - 1)).astype(np.int64), minlength=SHAPES)
-    vocabulary = np.bincount(of, weights=np.concatenate([[1], by_shape, np.ones(len(frequent))]), minlength=CLASSES)
-    onehot = np.zeros((width, CLASSES))
+    ends = int(count[0])
+    classes = classes_for(total, width)
+    of = exchange(pairs, classes)
+    onehot = np.zeros((width, classes))
     onehot[np.arange(width), of] = 1
-    table = onehot.T @ pairs @ onehot
-    step = np.log10((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * CLASSES))
-    spread = np.log10(np.bincount(of, weights=count, minlength=CLASSES) + 0.5 * (vocabulary + 1))
-
-    by_class = docs.mapInArrow(_class_scores(frequent, of, step, spread), "doc_id long, text long, held_out boolean, n_tokens long, class_sum double")
-    # Rows with equal doc_id and text have equal sums: the bucket table holds one row for each of them and bucket.
-    copies = by_class.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("class_sum").alias("class_sum"))
-    summed = sums.where("types IS NULL").groupBy("doc_id", "text").agg(F.sum("sum_log").alias("sum_log"), F.sum("n_known").alias("n_known"))
-    joined = copies.alias("c").join(summed.alias("s"), F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.text") == F.col("s.text")))
-    joined = joined.select("c.doc_id", "held_out", "n_tokens", (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("sum_log") / F.col("copies")).alias("sum_log"), "class_sum", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    floor = float(np.log10(total + 0.5 * (types + 1)))
-    out = joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
-                        (F.col("sum_log") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("class_sum") + F.col("sum_log")).alias("score"))
-    return out.withColumn("log10_perplexity", -F.col("score") / F.col("n_tokens"))
+    suit = suits(onehot.T @ pairs @ onehot)
+
+    asked = sliced.mapInArrow(_neighbours(frequent, of, classes), "bucket long, slice long, keys binary, n binary, several binary, cols binary, times binary")
+    answers = stage(asked.groupBy("bucket").applyInArrow(_classed(frequent, of, suit), "bucket long, slice long, classes binary, counts binary, vocabulary array<long>"), "answers")
+    vocabulary = np.zeros(classes)
+    vocabulary[0] = ends > 0
+    for r in answers.where("vocabulary IS NOT NULL").select(F.posexplode("vocabulary")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        vocabulary[r["pos"]] += r["n"]
+    back = answers.where("vocabulary IS NULL").select("slice", "bucket", "classes", "counts")
+    found = stage(sliced.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_answered(ends), "ids array<long>, trains binary, first binary, classes binary, logs binary, known binary"), "classes")
+
+    a, b, n = _summed(found.mapInArrow(_class_bigrams(classes), "a long, b long, n long"))
+    table = np.zeros((classes, classes))
+    table[a, b] = n
+    step = np.log10((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * classes))
+    spread = np.log10(table.sum(axis=0) + 0.5 * (vocabulary + 1))
+    floor = float(np.log10(total + 0.5 * (vocabulary.sum() + 1)))
+    return found.mapInArrow(_scores(step, spread, floor, int(total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, log10_perplexity double")
 
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

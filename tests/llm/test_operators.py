@@ -254,6 +254,31 @@ def test_exchange_finds_alternating_classes():
     assert len(set(of[1:5])) == len(set(of[5:])) == 1 and of[1] != of[5]
 
 
+def test_rare_words_get_classes_of_their_own(spark):
+    """Words of one shape and count, some beside nouns and some beside verbs: the text where the word fits scores higher."""
+    rng = np.random.default_rng(3)
+    spelled = lambda i: "qz" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    kinds, rare = (["na", "nb", "nc", "nd"], ["va", "vb", "vc", "vd"]), ([spelled(i) for i in range(20)], [spelled(i) for i in range(20, 40)])
+    texts = [[kinds[j % 2][rng.integers(4)] for j in range(60)] for _ in range(400)]
+    for k in (0, 1):
+        for i, w in enumerate(rare[k]):
+            for t in (2 * i, 2 * i + 1):  # each of them twice in the training texts, as its kind
+                texts[t + 100 * k][10 + k] = w
+    train = [i for i in range(10_000) if not class_lm.held_out(i)]
+    held = [i for i in range(10_000) if class_lm.held_out(i)]
+    rows = [(i, " ".join(t)) for i, t in zip(train, texts)]
+    asked = [(i, f"na {w} nb") for i, w in zip(held, rare[0] + rare[1])]
+    got = by_id(class_lm.score(spark.createDataFrame(rows + asked, "doc_id long, text string")))
+    assert 4 * 2 * class_lm.SHARE > got[held[0]]["train_tokens"] > 2 * class_lm.SHARE  # so they are too rare for the exchange
+    noun, verb = ([got[i]["score"] for i in held[lo : lo + 20]] for lo in (0, 20))
+    assert min(verb) > max(noun) + 0.5
+    assert len({round(got[i]["base_score"], 9) for i in held[:40]}) == 1
+
+
+def test_class_number_follows_the_tokens():
+    assert [class_lm.classes_for(n, 400) for n in (0, 1e6, 1.6e7, 1e12)] == [32, 32, 63, 100]
+
+
 # ---------------------------------------------------------------- 6 and 9
 def auc(pairs):
     pos, neg = [s for y, s in pairs if y], [s for y, s in pairs if not y]
