@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], longest: tuple[str, ...] = ()) -> DataFrame:
-    """Upsert: new values win where they are not null, of the columns in ``longest`` the longer text; old ids stay."""
-    joined = old.alias("o").join(new.alias("n"), keys, "full_outer")
+    """Upsert: new values win where they are not null, of the columns in ``longest`` the longer text; old ids stay.
+
+    Which side a key is in is marked on the rows, since incoming rows can be without ids.
+    """
+    joined = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer")
 
     def value(c: str) -> Column:
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
@@ -18,7 +21,7 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], longest: tuple[str, .
             return F.when(F.length(F.coalesce(n, F.lit(""))) > F.length(F.coalesce(o, F.lit(""))), n).otherwise(F.coalesce(o, n))
         return F.coalesce(n, o)
 
-    state = F.when(F.col("o.id").isNull(), "inserted").when(F.col("n.id").isNull(), "kept").otherwise("updated")
+    state = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "kept").otherwise("updated")
     return joined.select(*keys, *[value(c).alias(c) for c in old.columns if c not in keys], state.alias("state"))
 
 
@@ -54,6 +57,20 @@ def match_watches(events: DataFrame, watches: DataFrame) -> DataFrame:
     return out
 
 
+def since(matches: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The matches whose id is beyond their user's cursor; a user without one is at 0. cursors: user, last_id."""
+    at = cursors.withColumnsRenamed({"user": "_user", "last_id": "_last"})
+    rows = matches.join(at, F.col("user") == F.col("_user"), "left").where(F.col("id") > F.coalesce("_last", F.lit(0)))
+    return rows.drop("_user", "_last")
+
+
+def new_heads(rows: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Each bureau's rows, newest first, above its baseline (bureau, last_day, last_id); all of a bureau without one."""
+    rows = rows.join(F.broadcast(baseline), "bureau", "left")
+    stop = (F.col("day") < F.col("last_day")) | (F.col("id") == F.col("last_id"))
+    return until(rows, ["bureau"], [F.desc("day"), F.desc("id")], stop).drop("last_day", "last_id")
+
+
 def unmatched(left: DataFrame, right: DataFrame, on: list[str], name: str) -> DataFrame:
     """One row: how many rows of left have no partner."""
     return left.join(right, on, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")

@@ -323,16 +323,35 @@ def list_new_since_baseline(spark, d):
     return tables.until(appointments(spark, d), ["bureau"], [F.desc("day"), F.desc("id")], stop).select("bureau", "id", "day")
 
 
+@query(f"""WITH {EV}, b AS (SELECT bureau, max(day) AS last_day, arg_max(id, (day, id)) AS last_id FROM ev WHERE day < '1998-06-01' GROUP BY 1),
+s AS (SELECT ev.*, max(CASE WHEN day < last_day OR id = last_id THEN 1 ELSE 0 END) OVER (PARTITION BY bureau ORDER BY day DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM ev LEFT JOIN b USING (bureau)) SELECT bureau, id, day FROM s WHERE st = 0""")
+def list_new_since_own_baseline(spark, d):
+    """Each bureau's events above its own baseline: its newest event before the day of the last scan."""
+    events = appointments(spark, d)
+    baseline = events.where("day < '1998-06-01'").groupBy("bureau").agg(F.max("day").alias("last_day"), F.max_by("id", F.struct("day", "id")).alias("last_id"))
+    return tables.new_heads(events, baseline).select("bureau", "id", "day")
+
+
 @query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS body FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_name AS name, c_mktsegment || c_nationkey AS body FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(o.name, n.name) AS name, o.id AS id, CASE WHEN length(coalesce(n.body, '')) > length(coalesce(o.body, '')) THEN n.body ELSE coalesce(o.body, n.body) END AS body, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.name IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.name = n.name""")
 def upsert_events_merge(spark, d):
     people = table(spark, d, "customer")
     old = people.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("body"))
-    new = people.where("c_custkey % 2 = 0").select(F.lit(None).cast("long").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("body"), F.lit(True).alias("seen"))
-    joined = old.alias("o").join(new.alias("n"), "name", "full_outer")
-    body = F.when(F.length(F.coalesce("n.body", F.lit(""))) > F.length(F.coalesce("o.body", F.lit(""))), F.col("n.body")).otherwise(F.coalesce("o.body", "n.body"))
-    state = F.when(F.col("o.id").isNull(), "inserted").when(F.col("n.seen").isNull(), "kept").otherwise("updated")
-    return joined.select("name", F.col("o.id").alias("id"), body.alias("body"), state.alias("state"))
+    new = people.where("c_custkey % 2 = 0").select(F.lit(None).cast("long").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("body"))
+    return tables.merge(old, new, ["name"], ("body",))
+
+
+@query("""WITH e AS (SELECT o_custkey, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1), p AS (SELECT * FROM customer LEFT JOIN e ON o_custkey = c_custkey),
+o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS body FROM p WHERE first < TIMESTAMP '1993-01-01'), n AS (SELECT c_name AS name, c_mktsegment || c_nationkey AS body FROM p WHERE first IS NULL OR first >= TIMESTAMP '1993-01-01' OR last >= TIMESTAMP '1998-01-01')
+SELECT coalesce(o.name, n.name) AS name, o.id AS id, CASE WHEN length(coalesce(n.body, '')) > length(coalesce(o.body, '')) THEN n.body ELSE coalesce(o.body, n.body) END AS body, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.name IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.name = n.name""")
+def upsert_everyone_merge(spark, d):
+    """Every customer: those with events before 1993 are stored; those without, or with events from 1998 on, come in."""
+    spans = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    people = table(spark, d, "customer").join(spans, F.col("o_custkey") == F.col("c_custkey"), "left")
+    stored, comes = "first < TIMESTAMP_NTZ '1993-01-01 00:00:00'", "first IS NULL OR first >= TIMESTAMP_NTZ '1993-01-01 00:00:00' OR last >= TIMESTAMP_NTZ '1998-01-01 00:00:00'"
+    old = people.where(stored).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("body"))
+    new = people.where(comes).select(F.lit(None).cast("long").alias("id"), F.col("c_name").alias("name"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("body"))
+    return tables.merge(old, new, ["name"], ("body",))
 
 
 @query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') USING (o_orderkey)")
@@ -345,9 +364,12 @@ _WATCH = f"""{EV}, w AS (SELECT c_custkey AS "user", ['bureau', 'person', 'depar
 m AS (SELECT "user", kind, id FROM ev JOIN w ON CASE kind WHEN 'bureau' THEN bureau = w_bureau WHEN 'person' THEN person = w_person AND bureau = w_bureau WHEN 'department' THEN bureau = w_bureau AND contains(dept, w_dept) ELSE bureau = w_bureau AND contains(dept, w_dept) AND contains(title, w_title) END)"""
 
 
-def _watched(spark, d):
+_WATCH_ALL = _WATCH.replace(" WHERE c_acctbal > 9900", "").replace('SELECT "user", kind, id FROM', 'SELECT "user", kind, id, day FROM')
+
+
+def _watched(spark, d, who="c_acctbal > 9900"):
     kind = F.element_at(F.array(*[F.lit(k) for k in ("bureau", "person", "department", "post")]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    watches = table(spark, d, "customer").where("c_acctbal > 9900").select(
+    watches = table(spark, d, "customer").where(who).select(
         F.col("c_custkey").alias("user"), kind.alias("kind"), F.col("c_nationkey").alias("bureau"), F.col("c_custkey").alias("person"), F.col("c_mktsegment").alias("dept"), F.when(F.col("c_custkey") % 8 == 3, "2").otherwise("").alias("title"))
     return tables.match_watches(appointments(spark, d), watches)
 
@@ -362,6 +384,21 @@ def notify_digest(spark, d):
     return _watched(spark, d).where("id > 5000").groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"))
 
 
+@query(f'WITH {_WATCH_ALL} SELECT "user", kind, count(*) AS n, max(id) AS newest FROM m GROUP BY 1, 2')
+def watch_match_everyone(spark, d):
+    """A watch for every customer."""
+    return _watched(spark, d, "true").groupBy("user", "kind").agg(_n(), F.max("id").alias("newest"))
+
+
+@query(f"""WITH {_WATCH_ALL}, c AS (SELECT "user", max(id) AS last_id FROM m WHERE day < '1992-07-01' GROUP BY 1)
+SELECT m."user" AS "user", count(DISTINCT id) AS n, min(id) AS first_id FROM m LEFT JOIN c ON c."user" = m."user" WHERE id > coalesce(last_id, 0) GROUP BY 1""")
+def notify_digest_by_cursor(spark, d):
+    """Each user's matches beyond their own cursor: their last matched event before the day of the last digest."""
+    matches = _watched(spark, d, "true")
+    cursors = matches.where("day < '1992-07-01'").groupBy("user").agg(F.max("id").alias("last_id"))
+    return tables.since(matches, cursors).groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"))
+
+
 @query(f"""WITH {EV}, s AS (SELECT bureau, dept, max(day) AS last FROM ev WHERE title = '5-LOW' GROUP BY 1, 2), u AS (SELECT DISTINCT c_nationkey AS bureau, c_mktsegment AS dept FROM customer)
 SELECT u.bureau, u.dept, s.last FROM u LEFT JOIN s ON s.bureau = u.bureau AND s.dept = u.dept WHERE s.last IS NULL OR CAST(s.last AS DATE) + INTERVAL 7 DAY <= DATE '2001-08-01'""")
 def due_sites(spark, d):

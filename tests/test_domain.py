@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from officium.functions import titles, urls
 from officium.operators import history, tables
+from officium.plans import registry
 from officium.sources import notices
 from officium.streaming import feeds
 
@@ -92,6 +93,30 @@ def test_merge_keeps_ids_and_longer_text(spark):
     assert {tuple(r) for r in tables.merge(old, new, ["k"], ("body",)).select("k", "id", "body", "state").collect()} == {("a", 1, "long body", "updated"), ("b", 2, "x", "kept"), ("c", 3, None, "inserted")}
 
 
+def test_merge_takes_rows_without_ids(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (None, "b", "y")], "id long, k string, body string")
+    new = spark.createDataFrame([(None, "a", "longer"), (None, "b", "z"), (None, "c", "w")], "id long, k string, body string")
+    assert {tuple(r) for r in tables.merge(old, new, ["k"], ("body",)).select("k", "id", "body", "state").collect()} == {("a", 1, "longer", "updated"), ("b", None, "y", "updated"), ("c", None, "w", "inserted")}
+
+
+def test_cursors_and_baselines_are_each_ones_own(spark):
+    matches = spark.createDataFrame([(u, i) for u in (1, 2, 3) for i in (1, 2, 3)], "user long, id long")
+    cursors = spark.createDataFrame([(1, 2), (2, 3)], "user long, last_id long")
+    assert sorted(tuple(r) for r in tables.since(matches, cursors).collect()) == [(1, 3), (3, 1), (3, 2), (3, 3)]
+    rows = spark.createDataFrame([(b, i, f"2020-01-0{i}") for b in ("p", "q", "r") for i in (1, 2, 3)], "bureau string, id long, day string")
+    baseline = spark.createDataFrame([("p", "2020-01-02", 2), ("q", "2020-01-03", 3)], "bureau string, last_day string, last_id long")
+    assert sorted(tuple(r)[:2] for r in tables.new_heads(rows, baseline).collect()) == [("p", 3), ("r", 1), ("r", 2), ("r", 3)]
+
+
+def test_digest_merge_and_watch_reach_everyone(spark):
+    sf, got = "/root/testdata/sf0.001", registry.queries()
+    people = spark.read.parquet(f"{sf}/customer.parquet")
+    assert got["notify_digest_by_cursor"](spark, sf).count() > 0
+    assert got["upsert_everyone_merge"](spark, sf).count() == people.count()
+    watched = {r["user"] for r in got["watch_match_everyone"](spark, sf).where("kind = 'bureau'").collect()}
+    assert {r["c_custkey"] for r in people.where("c_custkey % 4 = 0").collect()} >= watched and len(watched) > people.where("c_custkey % 4 = 0 AND c_acctbal > 9900").count()
+
+
 def test_list_items(spark):
     page = '<ul><li><a href="/n/2.html">关于 甲 任职&amp;</a><span>2025-01-02</span></li><li><a href="/n/2.html">again</a></li><li><a href="/n/2025-01-01-1.html">乙</a></li></ul>'
     got = [tuple(r) for r in notices.list_items(spark.createDataFrame([("p", page)], "path string, html string")).orderBy("at").collect()]
