@@ -1,11 +1,18 @@
 r"""Quality rules: a linear-chain conditional random field marks each line as content or boilerplate.
 
 Lines are what \n splits off that has a word. Each has a few yes/no features (symbols, capitals, repetition, length,
-ending). The field's weights are learned by gradient ascent on the conditional likelihood (forward-backward in numpy)
-from a bounded sample: at most ``PER_LABEL`` rows of each quality label, ``MOST_LINES`` lines of each, a row's lines
-taking the row's label. Viterbi decoding then labels all lines of every document, and a document is kept if at
-least ``CONTENT_SHARE`` of its words stand in content lines. Fixed base rules go first: too few words, or too many
-in repeated 3-word windows.
+ending). Only documents are labelled, so the lines' states are latent: they start from a field without transitions
+learned on every line under its document's label, and then the field is learned and the states are decoded in turns
+(``TURNS`` times). Decoded states are held to the label: content lines keep at least ``CONTENT_SHARE`` of the words of a
+good document, and less in a bad one; where they don't, the lines nearest to the other side change over. So a good document
+may have boilerplate lines, a bad one content, and transitions are learned from sequences that switch. Weights are learned
+by gradient ascent on the conditional likelihood (forward-backward in numpy).
+
+The sample is bounded: at most ``PER_LABEL`` whole rows of each quality label and, in their seeded order, no more rows once
+they have ``LINES`` lines. For learning a row is cut into runs of ``RUN`` lines, all of which count.
+
+Viterbi decoding then labels all lines of every document, and a document is kept if at least ``CONTENT_SHARE`` of its
+words stand in content lines. Fixed base rules go first: too few words, or too many in repeated 3-word windows.
 
 Null text counts as empty: no words, so it fails the base rules. Repeated rows and repeated or null doc_ids are judged
 row by row. Without labels of both kinds ``PRIOR`` weights stand in for learned ones.
@@ -20,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, is_space, labelled, lines_of, per_text, repeated_words, run_hashes, slices, text_column, words_of
+from .common import Texts, Words, is_space, labelled, lines_of, per_text, repeated_words, run_hashes, slices, stage, text_column, words_of
 
-PER_LABEL, MOST_LINES = 1000, 100
+PER_LABEL, LINES, RUN, TURNS = 1000, 200_000, 64, 3
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 NAMES = ("bias", "symbols>0", "symbols>=2%", "symbols>=8%", "capitals>=30%", "capitals>=70%", "line again", "repeats>=20%", "repeats>=60%", "words<4", "words>=12", "ends a sentence", "digits>=20%", "word length>=12")
@@ -60,50 +67,93 @@ def measured(t: Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, n
     return counts, lines.doc[keep], x, words
 
 
-def train(rows: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, decay: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of boilerplate (state 1) against content (state 0), and transition scores, from (features, state) per row."""
-    rows = [r for r in rows if len(r[0])]
-    if len({s for _, s in rows}) < 2:
-        return PRIOR
-    longest = max(len(x) for x, _ in rows)
-    n, f = len(rows), rows[0][0].shape[1]
-    x, mask = np.zeros((n, longest, f)), np.zeros((n, longest), bool)
-    for i, (a, _) in enumerate(rows):
-        x[i, : len(a)], mask[i, : len(a)] = a, True
-    state = np.array([s for _, s in rows])
-    share = np.where(state == 1, 0.5 / (state == 1).sum(), 0.5 / (state == 0).sum()) / mask.sum(axis=1)
-    sure = share[:, None] * mask
+def field(x: list[np.ndarray], state: list[np.ndarray], share: np.ndarray, moves: bool = True, steps: int = 150, rate: float = 0.1, decay: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of boilerplate (state 1) against content (state 0), and transition scores, from sequences of features and
+    states; share: each sequence's weight a line. Without moves the transition scores stay 0."""
+    order = np.argsort([-len(a) for a in x], kind="stable")
+    sizes = np.array([len(x[i]) for i in order])
+    mask = np.arange(sizes[0]) < sizes[:, None]
+    flat, y, share = np.concatenate([x[i] for i in order]), np.zeros(mask.shape, np.int64), share[order]
+    y[mask] = np.concatenate([state[i] for i in order])
+    f, both = flat.shape[1], mask[:, 1:]
+    each = np.repeat(share, sizes)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), np.broadcast_to(share[:, None], both.shape)[both])
     w, tr = np.zeros(f), np.zeros((2, 2))
     mean, var = np.zeros(f + 4), np.zeros(f + 4)
-    moves = mask[:, 1:].sum(axis=1)
     for step in range(1, steps + 1):
-        e = np.zeros((n, longest, 2))
-        e[:, :, 1] = x @ w
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, longest):
-            a = np.logaddexp(alpha[:, k - 1, :1] + tr[:1], alpha[:, k - 1, 1:] + tr[1:]) + e[:, k]
-            alpha[:, k] = np.where(mask[:, k, None], a, alpha[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            nxt = e[:, k + 1] + beta[:, k + 1]
-            b = np.logaddexp(tr[None, :, 0] + nxt[:, :1], tr[None, :, 1] + nxt[:, 1:])
-            beta[:, k] = np.where(mask[:, k + 1, None], b, 0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-        g = np.einsum("nk,nkf->f", sure * (state[:, None] - p1), x) - decay * w * (np.arange(f) > 0)
-        pair = alpha[:, :-1, :, None] + tr + (e + beta)[:, 1:, None, :] - z[:, None, None, None]
-        pair = np.where(mask[:, 1:, None, None], np.exp(np.minimum(pair, 0)), 0)
-        seen = np.zeros((2, 2))
-        for s in (0, 1):
-            seen[s, s] = (share * moves)[state == s].sum()
+        e = np.zeros(mask.shape)
+        e[mask] = flat @ w
+        p1, pair = marginals(e, sizes, tr)
+        g = flat.T @ (each * (y - p1)[mask]) - decay * w * (np.arange(f) > 0)
         gt = seen - np.einsum("n,nkab->ab", share, pair) - decay * tr
-        g = np.append(g, gt.ravel())
+        g = np.append(g, gt.ravel() * moves)
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
         w, tr = w + move[:f], tr + move[f:].reshape(2, 2)
     return w, tr
 
 
+def marginals(e1: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences, longest first, the probability of state 1 at each line, and of each pair of states at each move.
+
+    e1: scores of state 1, a row each, of which the first ``sizes`` count.
+    """
+    n, longest = e1.shape
+    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # how many go beyond k lines
+    e = np.stack([np.zeros_like(e1), e1], axis=2)
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    alpha[:, 0] = e[:, 0]
+    for k in range(1, longest):
+        m = live[k]
+        alpha[:m, k] = np.logaddexp(alpha[:m, k - 1, :1] + tr[:1], alpha[:m, k - 1, 1:] + tr[1:]) + e[:m, k]
+    for k in range(longest - 2, -1, -1):
+        m = live[k + 1]
+        nxt = e[:m, k + 1] + beta[:m, k + 1]
+        beta[:m, k] = np.logaddexp(tr[None, :, 0] + nxt[:, :1], tr[None, :, 1] + nxt[:, 1:])
+    ends = alpha[np.arange(n), sizes - 1]
+    z = np.logaddexp(ends[:, 0], ends[:, 1])
+    mask = np.arange(longest) < sizes[:, None]
+    p1 = np.where(mask, np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - z[:, None], 0)), 0)
+    pair = alpha[:, :-1, :, None] + tr + (e + beta)[:, 1:, None, :] - z[:, None, None, None]
+    return p1, np.where(mask[:, 1:, None, None], np.exp(np.minimum(pair, 0)), 0)
+
+
+def held_to_label(state: np.ndarray, lean: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+    """One document's states, changed as little as can be to agree with its label (1: boilerplate).
+
+    lean: how far each line leans to boilerplate; those that lean most change first.
+    """
+    state = state.copy()
+    for i in np.argsort(-lean if label else lean, kind="stable"):
+        content = words[state == 0].sum()
+        if (content < CONTENT_SHARE * words.sum()) == bool(label):
+            break
+        state[i] = label
+    return state
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The field from documents (features, words a line, label; 1: boilerplate)."""
+    rows = [r for r in rows if len(r[0])]
+    label = np.array([y for _, _, y in rows])
+    if len(set(label.tolist())) < 2:
+        return PRIOR
+    sizes = np.array([len(x) for x, _, _ in rows])
+    each = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum()) / sizes
+    runs = [(i, lo, min(n, lo + RUN)) for i, n in enumerate(sizes.tolist()) for lo in range(0, n, RUN)]
+    share = np.array([each[i] for i, _, _ in runs])
+    x = [rows[i][0][lo:hi] for i, lo, hi in runs]
+    every, doc = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+    ends = np.cumsum(sizes)[:-1]
+    model = field(x, [np.full(hi - lo, label[i]) for i, lo, hi in runs], share, moves=False)
+    for _ in range(TURNS):
+        lean = np.split(every @ model[0], ends)
+        state = [held_to_label(s, l, r[1], r[2]) for s, l, r in zip(np.split(viterbi(every, doc, model).astype(np.int64), ends), lean, rows)]
+        model = field(x, [state[i][lo:hi] for i, lo, hi in runs], share)
+    return model
+
+
 def viterbi(x: np.ndarray, doc: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The best state of every line; all documents of the slice move down their lines together."""
     w, tr = model
@@ -138,19 +188,29 @@ def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     bits = 1 << np.arange(len(NAMES))
     for batch in batches:
         for t in slices(text_column(batch)):
-            _, doc, x, _ = measured(t)
-            codes = np.split((x @ bits).astype(np.int32), np.searchsorted(doc, np.arange(1, t.n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), pa.array([c[:MOST_LINES] for c in codes], pa.list_(pa.int32()))], names=["doc_id", "lines"])
+            _, doc, x, words = measured(t)
+            cut = np.searchsorted(doc, np.arange(1, t.n))
+            cols = [np.split((x @ bits).astype(np.int32), cut), np.split(words.astype(np.int32), cut)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), *[pa.array(c, pa.list_(pa.int32())) for c in cols]], names=["doc_id", "lines", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    picked = dict(labelled(docs, labels, "quality", 1, 1, PER_LABEL))
-    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(picked)], "doc_id long")
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sampled_lines, "doc_id long, lines array<int>").collect()
-    rows = sorted({r["doc_id"]: r["lines"] for r in rows}.items())
+    order = {d: (k, y) for k, (d, y) in enumerate(labelled(docs, labels, "quality", 1, 1, PER_LABEL))}
+    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted(order)], "doc_id long")
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sampled_lines, "doc_id long, lines array<int>, words array<int>")
+    rows = stage(rows.withColumn("n", F.size("lines")), "sampled")
+    # A row longer than all that may be learned from is left out whole; so nothing unbounded comes to the driver.
+    found = {r["doc_id"]: r for r in rows.where(f"n BETWEEN 1 AND {LINES}").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n")).collect()}
+    chosen, left = [], {0: LINES // 2, 1: LINES // 2}
+    for d, (_, y) in sorted(order.items(), key=lambda o: o[1][0]):
+        if d in found and found[d]["n"] <= left[y]:
+            chosen.append(d)
+            left[y] -= found[d]["n"]
+    rows = rows.where(F.col("n") <= LINES).join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in chosen], "doc_id long")), "doc_id", "left_semi")
+    rows = {r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: (r["n"], r["lines"]))}
     shift = np.arange(len(NAMES))
-    return train([((np.array(codes, np.int64)[:, None] >> shift & 1).astype(float), 1 - picked[d]) for d, codes in rows if codes])
+    return train([((np.array(rows[d]["lines"], np.int64)[:, None] >> shift & 1).astype(float), np.array(rows[d]["words"], np.int64), 1 - order[d][1]) for d in sorted(rows)])
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
