@@ -1,13 +1,13 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set is its distinct shingles of ``words`` lower-cased (A-Z) words, with fewer words the whole sequence as
-one; without words it is empty and linked with nothing. Documents with equal sets are one node of the join (their
-smallest doc_id stands for them). In each of ``TREES`` independent trees a node of the tree branches on minwise tokens
+one; without words it is empty and linked with nothing. Documents with equal sets are one class, and the join is of
+classes: a number stands for each, the text of its smallest doc_id for its texts. In each of ``TREES`` independent trees a node of the tree branches on minwise tokens
 chosen by a hash of the path to it; the first ``DEPTH`` choices are taken in one step, as the nodes above hold nearly
 everything. Nodes of at most ``SMALL`` documents are compared exhaustively, larger ones with at most ``REST`` documents
 outside their main component too, in tiles; others branch on, twice at each node, and what is still large at
 ``DEEPEST`` is compared in tiles, so no document is left out. A pair at the threshold meets in a tree with probability
-0.8**DEPTH at least, so TREES trees miss one in 10**7.
+0.8**DEPTH at least, so TREES trees miss one in 10**7; the test of sketches below misses one in 10**5 at the threshold.
 
 Links are confirmed on full sets (100 * intersection >= percent * union). First each node's members are tried against
 its smallest document and joined to components. Then only pairs across components are compared: by sketch, each pair in
@@ -15,8 +15,8 @@ the first tree in which it meets; the documents of pairs that are alike are sent
 compares the full sets and gives links between components only. A large group of near copies costs a few rows a
 document instead of all pairs, and no link between components is lost.
 
-Rows without a doc_id take no part: component_id is null and kept true. Rows that share a doc_id are one document, hence
-one component. Null text counts as empty. An empty table gives an empty result.
+Rows without a doc_id take no part: component_id is null and kept true. Rows that share a doc_id are one document with
+all their texts' links, hence one component. Null text counts as empty. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ def _sketches(words: int):
                     for j in range(FUNCTIONS):
                         sketch[full, j] = (mix(np.minimum.reduceat(g * _A[j], at)) & U64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(t.lo, t.n), pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    names=["doc_id", "n_shingles", "sig_a", "sig_b", "sketch"])
+                    [*[batch.column(batch.schema.get_field_index(c)).slice(t.lo, t.n) for c in ("doc_id", "text_hash")], pa.array(size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "sig_a", "sig_b", "sketch"])
 
     return run
 
@@ -278,22 +278,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = stage(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, sig_a long, sig_b long, sketch binary"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    sketches = stage(docs.mapInArrow(_sketches(words), "doc_id long, text_hash long, n_shingles long, sig_a long, sig_b long, sketch binary"), "sketches")
     sets = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["sig_a", "sig_b", "n_shingles"]
-    classes = stage(sets.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = sets.join(classes, [sets[c] == classes[c] for c in same] + [sets["doc_id"] == classes["rep"]]).select("rep", classes["n_shingles"].alias("n"), "sketch")
-    reps = stage(reps.dropDuplicates(["rep", "n"]), "reps")
+    row = ["doc_id", "text_hash"]
+    classes = sets.groupBy(*same).agg(F.min(F.struct(*row)).alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(classes.select(*same, "least.*", "copies", F.monotonically_increasing_id().alias("rep")), "classes")
+    # Of equal rows of a doc_id any one will do: their texts have one hash, hence one sketch.
+    first = classes.select(*row, "rep", F.col("n_shingles").alias("n"))
+    reps = stage(first.join(sketches.select(*row, "sketch"), row).dropDuplicates(["rep"]).select("rep", "n", "sketch"), "reps")
 
     nodes = stage(reps.mapInArrow(_roots, "node long, rep long, n long"), "nodes")
     shared = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("least")).where("size > 1"), "shared")
     nodes = stage(nodes.join(shared, "node").select("node", "rep", "n", F.col("least.rep").alias("b"), F.col("least.n").alias("bn")), "members")
-    involved = nodes.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stage(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    involved = first.join(nodes.select("rep").distinct(), "rep").select(*row, "rep")
+    texts = stage(docs.join(involved, row).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
     ratio = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
-    sketch_of = reps.select("rep", "sketch").dropDuplicates(["rep"])
+    sketch_of = reps.select("rep", "sketch")
     stars = stage(nodes.where((F.col("rep") != F.col("b")) & ratio).select(F.col("rep").alias("a"), "b").distinct(), "stars")
     stars = stage(_alike_pairs(stars, sketch_of, percent), "tried")
     edges = stage(confirm(stars, texts, words, percent), "edges")
@@ -324,18 +327,22 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         full = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*rows.columns, "text").repartition("node").sortWithinPartitions("node")
         edges = stage(edges.unionByName(full.mapInArrow(_links(words, percent), "a long, b long")), "edges")
 
-    # Rows of one doc_id with different texts are one document.
-    own = sets.join(classes, same).select("doc_id", "rep")
-    split = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
+    # Rows of one doc_id with different sets are one document: only such rows, not the groups of copies, join their classes.
+    kinds = sets.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi"))
+    several = sets.join(kinds.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", *same).distinct()
+    several = stage(several.join(classes.select(*same, "rep"), same).select("doc_id", "rep"), "several")
+    split = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     label = components(edges.unionByName(split))
-    # Large classes by broadcast: of classes with at least one document in a thousand there are at most a thousand.
-    out = sketches.select("doc_id", "n_shingles", "sig_a", "sig_b")
-    named = classes.join(label, classes["rep"] == label["id"], "left").select(*same, "copies", F.coalesce("comp", "rep").alias("c"))
+    # A component goes by the smallest doc_id of its classes. Large classes meet their rows by broadcast: of classes with
+    # at least one document in a thousand there are at most a thousand.
+    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "copies", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     named = stage(named, "named")
+    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("c"))
+    named = stage(named.join(smallest, "comp").select(*same, "copies", "c"), "named")
     least = max(1000, sketches.count() // 1000)
     big = F.broadcast(named.where(F.col("copies") >= least).select(*same, F.col("c").alias("c1")))
     rest = named.where(F.col("copies") < least).select(*same, F.col("c").alias("c2"))
-    out = stage(out.join(big, same, "left"), "out")
+    out = stage(sketches.select("doc_id", *same).join(big, same, "left"), "out")
     crowded = out.where("c1 IS NOT NULL").select("doc_id", "n_shingles", F.col("c1").alias("component_id"))
     others = out.where("c1 IS NULL").drop("c1").join(rest, same, "left").select("doc_id", "n_shingles", F.coalesce("c2", "doc_id").alias("component_id"))
     every = crowded.unionByName(others).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
