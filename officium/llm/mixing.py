@@ -8,7 +8,8 @@ first, then documents up to the quota; the document at its edge is cut to its fi
 whole if that is nearer (``edge="whole"``).
 
 Null text has size 0 and is taken 0 times. A null source is a source of its own, last in order. Repeated rows and
-repeated or null doc_ids are documents of their own. An empty table gives no rows.
+repeated or null doc_ids are documents of their own; among them the text's hash orders. A document without sources
+(empty array) is taken 0 times; so is one whose sources' quotas are full. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def shares(sizes: dict, weights: dict, total: float, most: float = MOST) -> dict
 
 
 def route(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tuple, int]:
-    """Words to take of each pattern: a flow of least repetition that fills the quotas as far as can be.
+    """Words that go from each pattern to each source (keys: pattern, source): a flow of least repetition that fills the
+    quotas as far as can be.
 
     Repetition costs are the same for all patterns, so paths of equal cost are found together: a maximum flow with
     each pattern's words once, carried on with each twice, and so on (successive shortest paths).
@@ -85,47 +87,62 @@ def route(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
                 flow[(a, b) if ka == "p" else (b, a)] += amount if ka == "p" else -amount
             used[path[0][1]] += amount
             filled[end[1]] += amount
-    return used
+    return flow
+
+
+OUT = ("_members", "_size", "_taken", "_targets", "_source_sizes", "_filled")
 
 
 def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, edge: str = "cut", max_patterns: int = 10_000) -> DataFrame:
-    """docs with _members, _size, _taken (words), _targets (an array beside _members) and _source_sizes (likewise).
+    """docs without the text, with _members, _size, _taken (words) and, beside _members, the arrays _targets,
+    _source_sizes and _filled (how many words of this membership pattern fill each source's quota).
 
     ``members``: array<string> of a document's sources. Weights are given to the sources in code point order, null
-    last, and repeat. docs is written once, narrowly if the caller selects few columns.
+    last, and repeat. A column of docs that has one of these six names is replaced. docs is written once, narrowly if the
+    caller selects few columns.
     """
     spark = docs.sparkSession
-    rows = stage(docs.withColumns({"_members": members, "_size": words_in(F.col("text"))}).drop("text"), "sizes")
-    found = rows.groupBy("_members").agg(F.sum("_size").alias("n")).limit(max_patterns + 1).collect()
+    facts = docs.withColumns({"_members": members, "_size": words_in(F.col("text")), "_filled": F.xxhash64("text")})
+    others = docs.drop("text", *OUT)
+    kept = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in others.columns]) if others.columns else F.struct(F.lit(None).cast("int").alias("none"))
+    id_ = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    rows = stage(facts.select(kept.alias("row"), id_.alias("id"), F.col("_members").alias("members"), F.col("_size").alias("size"), F.col("_filled").alias("tie")), "sizes")
+    found = rows.groupBy("members").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns; raise max_patterns if the driver has room")
     key = lambda p: tuple((s is None, s or "") for s in p)
-    found = sorted(((tuple(sorted(set(r["_members"]), key=lambda s: (s is None, s or ""))), list(r["_members"]), r["n"]) for r in found), key=lambda x: (key(x[0]), str(x[1])))
+    found = sorted(((tuple(sorted(set(r["members"]), key=lambda s: (s is None, s or ""))), list(r["members"]), r["n"]) for r in found), key=lambda x: (key(x[0]), str(x[1])))
     capacity: dict[tuple, int] = {}
     for p, _, n in found:
         capacity[p] = capacity.get(p, 0) + n
     sources = sorted({s for p in capacity for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(n for p, n in capacity.items() if s in p) for s in sources}
+    sizes = dict.fromkeys(sources, 0)
+    for p, n in capacity.items():
+        for s in p:
+            sizes[s] += n
     weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
     target = shares(sizes, weight, share * sum(capacity.values()), most)
-    used = route(capacity, target, most)
+    flow = route(capacity, target, most)
     ids = {p: i for i, p in enumerate(capacity)}
     begin, total = {}, 0
     for p, n in capacity.items():
         begin[p], total = total, total + n
-    facts = spark.createDataFrame(
-        [(raw, ids[p], begin[p], capacity[p], used[p], [target[s] for s in raw], [sizes[s] for s in raw]) for p, raw, _ in found],
-        "_members array<string>, _pattern int, _begin long, _capacity long, _flow long, _targets array<double>, _source_sizes array<long>")
-    rows = rows.join(F.broadcast(facts), F.sort_array(rows["_members"]).eqNullSafe(F.sort_array(facts["_members"])) & rows["_members"].eqNullSafe(facts["_members"])).drop(facts["_members"])
-    order = [F.col("_pattern"), F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("_size")]
-    rows = with_running_totals(stage(rows, "patterns"), order, {"_before": F.col("_size")}, "mixed")
-    before, rounds = F.col("_before") - F.col("_begin"), F.expr("CASE WHEN _capacity > 0 THEN _flow DIV _capacity ELSE 0 END")
-    rest = F.col("_flow") - rounds * F.col("_capacity")
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), rest - before))
+    patterns = spark.createDataFrame(
+        [(raw, ids[p], begin[p], capacity[p], sum(flow[p, s] for s in p), [target[s] for s in raw], [sizes[s] for s in raw], [flow[p, s] for s in raw]) for p, raw, _ in found],
+        "raw array<string>, pattern int, begin long, capacity long, flow long, targets array<double>, source_sizes array<long>, filled array<long>")
+    # The sorted arrays can be keys of a join by hash; null-safe equality holds for null sources inside.
+    rows = rows.join(F.broadcast(patterns), F.sort_array("members").eqNullSafe(F.sort_array("raw")) & F.col("members").eqNullSafe(F.col("raw"))).drop("raw")
+    order = [F.col("pattern"), F.xxhash64(F.lit(seed), "id"), F.col("id"), F.col("size"), F.col("tie")]
+    rows = with_running_totals(stage(rows, "patterns"), order, {"before": F.col("size")}, "mixed")
+    before, rounds = F.col("before") - F.col("begin"), F.expr("CASE WHEN capacity > 0 THEN flow DIV capacity ELSE 0 END")
+    rest = F.col("flow") - rounds * F.col("capacity")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     if edge == "whole":
-        part = F.when(2 * (rest - before) >= F.col("_size"), F.col("_size")).otherwise(F.lit(0))
-    part = F.when(F.col("_size") > 0, part).otherwise(F.lit(0))
-    return rows.withColumn("_taken", (rounds * F.col("_size") + part).cast("long")).drop("_pattern", "_begin", "_capacity", "_flow", "_before")
+        part = F.when(2 * (rest - before) >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+    part = F.when(F.col("size") > 0, part).otherwise(F.lit(0))
+    taken = (rounds * F.col("size") + part).cast("long")
+    made = [F.col("members").alias("_members"), F.col("size").alias("_size"), taken.alias("_taken"), F.col("targets").alias("_targets"), F.col("source_sizes").alias("_source_sizes"), F.col("filled").alias("_filled")]
+    return rows.select(*(["row.*"] if others.columns else []), *made)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .common import U64, fold, label_shares, labelled, lower_ascii, mix, run_hashes, slices, text_column
 
@@ -60,7 +61,7 @@ def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             bucket, doc = features(t.data, t.offsets)
             key, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
             cut = np.searchsorted(key // BUCKETS, np.arange(1, t.n))
-            parts = [np.split(x, cut) for x in ((key % BUCKETS).astype(np.int32), np.minimum(times, 255).astype(np.uint8))]
+            parts = [np.split(x, cut) for x in ((key % BUCKETS).astype(np.int32), times.astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.n), *[pa.array([x.tobytes() for x in p], pa.binary()) for p in parts]], names=["doc_id", "words", "times"])
 
 
@@ -116,13 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     rest = [r["doc_id"] for r in others.collect()]
     ids = spark.createDataFrame([(d,) for d in sorted({*picked, *rest})], "doc_id long")  # at most POSITIVES + UNLABELLED
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sampled_words, "doc_id long, words binary, times binary").collect()
-    words = {r["doc_id"]: (np.frombuffer(bytes(r["words"]), np.int32), np.frombuffer(bytes(r["times"]), np.uint8)) for r in rows}
+    words = {r["doc_id"]: (np.frombuffer(bytes(r["words"]), np.int32), np.frombuffer(bytes(r["times"]), np.uint32)) for r in rows}
     prior = min(0.99, max(0.001, toxic / max(1, toxic + clean)))
     return train([words[d] for d in sorted(set(picked)) if d in words], [words[d] for d in sorted(set(rest)) if d in words], prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, and _score, _toxic."""
+    """All columns of docs, and _score, _toxic; columns of docs with these names are replaced."""
+    docs = docs.drop("_score", "_toxic")
     chosen, weights, bias = model
     table = np.zeros(BUCKETS, np.float32)
     table[chosen] = weights
@@ -138,13 +140,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 bucket, doc = features(t.data, t.offsets)
                 hit = known[bucket]
                 key, times = np.unique(doc[hit] * BUCKETS + bucket[hit], return_counts=True)
-                x = bias + np.bincount(key // BUCKETS, weights=table[key % BUCKETS] * np.log1p(np.minimum(times, 255)), minlength=t.n)
+                x = bias + np.bincount(key // BUCKETS, weights=table[key % BUCKETS] * np.log1p(times), minlength=t.n)
                 out.append(1 / (1 + np.exp(-np.clip(x, -40, 40))))
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold)], names=[*batch.schema.names, "_score", "_toxic"])
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, _score double, _toxic boolean")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_toxic", BooleanType())]))
 
 
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
