@@ -45,7 +45,7 @@ def shares(sizes: dict, weights: dict, total: float, most: float = MOST) -> dict
     return out
 
 
-def route(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tuple, int]:
+def flows(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tuple, int]:
     """Words that go from each pattern to each source (keys: pattern, source): a flow of least repetition that fills the
     quotas as far as can be.
 
@@ -90,6 +90,12 @@ def route(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
     return flow
 
 
+def route(capacity: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tuple, int]:
+    """Words to take of each pattern."""
+    flow = flows(capacity, quotas, most)
+    return {p: sum(flow[p, s] for s in p) for p in capacity}
+
+
 OUT = ("_members", "_size", "_taken", "_targets", "_source_sizes", "_filled")
 
 
@@ -122,7 +128,7 @@ def mix(docs: DataFrame, members: Column, weights: tuple[int, ...] = WEIGHTS, sh
             sizes[s] += n
     weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
     target = shares(sizes, weight, share * sum(capacity.values()), most)
-    flow = route(capacity, target, most)
+    flow = flows(capacity, target, most)
     ids = {p: i for i, p in enumerate(capacity)}
     begin, total = {}, 0
     for p, n in capacity.items():

@@ -43,7 +43,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space, self.mask = keeps_space, U64(slots - 1)
         self.keys, self.at, self.size = np.zeros(slots, U64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
         self.ids, self.used, self.kept_ids = np.zeros(1 << 16, np.uint32), 0, kept_ids
