@@ -4,9 +4,12 @@ Layout of a store folder (all Parquet, written by Spark):
 
 * ``blocks/kind=chunk``: ``digest`` (SHA-256 of the payload), ``payload`` (ids as little-endian unsigned integers
   of ``id_bytes`` bytes), ``n_ids``. Each distinct chunk is stored once.
-* ``recipes``: a row per document in ascending ``doc_id`` order (nulls first, then by Merkle root; part files and
-  rows both ascend): ``doc_id``, ``start``, ``n_tokens``, ``digests``, ``sizes``, ``root``.
-* ``manifest``: a row per recipe range with the hash of its documents' roots; ``root_of`` hashes those.
+* ``recipes``: a row per document in ascending ``doc_id`` order (nulls first, then by root; part files and rows both
+  ascend): ``doc_id``, ``start``, ``n_tokens``, ``digests``, ``after`` (how many ids follow each chunk), ``root`` (SHA-256
+  of the digests as hexadecimal text) and ``place``, the number of documents before it.
+* ``manifest``: the Merkle tree above the roots. A node stands for ``FANOUT`` documents next to each other or, above level 0,
+  as many nodes: ``level``, ``node``, ``documents``, ``root``. Nodes are cut by place, so the tree follows from the table
+  alone, whatever the partitions; it ends in one node, ``root_of``.
 
 A chunk ends where a rolling hash of the last ``WINDOW`` ids is 0 modulo the wanted mean size, so equal passages
 give equal chunks wherever they stand. Null text counts as empty: its ids are the end id alone. Repeated rows and
@@ -21,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, new_folder, shuffle_parts, slices, stage, text_column, window_hashes, with_running_totals
 from .tokens import encoder
 
 WINDOW = 8
-RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, root binary"
-MANIFEST = "start long, documents long, root binary"
-BLOCKS = "digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, root binary, kind string"
-ROWS = "kind string, key long, digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, sizes array<int>, root binary"
-_ARROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("digest", pa.binary()), ("payload", pa.binary()), ("n_ids", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary())])
+FANOUT = 1024
+RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>, root binary, place long"
+MANIFEST = "level int, node long, documents long, root binary"
+BLOCKS = "digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, after array<long>, root binary, kind string"
+ROWS = "kind string, key long, digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, after array<long>, root binary"
+_ARROW = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("digest", pa.binary()), ("payload", pa.binary()), ("n_ids", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("after", pa.list_(pa.int64())), ("root", pa.binary())])
 _SEEN = 200_000  # digests a task remembers, so that a passage in many documents is sent once a task
 
 
@@ -75,20 +79,20 @@ def _chunks(path: str, keeps_space: bool, end_id: int, mean: int, id_type: str):
                         col.append(values.get(n))
 
                 for i, ends in enumerate(chunk_ends(ids, first, mean)):
-                    at, digests, sizes = int(first[i]), [], []
+                    at, last, digests, after = int(first[i]), int(first[i + 1]), [], []
                     for end in ends:
                         payload = raw[at:end].tobytes()
                         digest = hashlib.sha256(payload).digest()
                         digests.append(digest)
-                        sizes.append(end - at)
+                        after.append(last - end)
                         if digest not in seen:
                             if len(seen) >= _SEEN:
                                 seen.clear()
                             seen.add(digest)
                             row(kind="chunk", key=int.from_bytes(digest[:7], "big"), digest=digest, payload=payload, n_ids=end - at)
                         at = end
-                    root = hashlib.sha256(b"".join(digests)).digest()
-                    row(kind="recipe", key=int.from_bytes(root[:7], "big") ^ t.lo + i, doc_id=doc_ids[t.lo + i], n_tokens=int(first[i + 1] - first[i]), digests=digests, sizes=sizes, root=root)
+                    root = hashlib.sha256(b"".join(digests).hex().upper().encode()).digest()
+                    row(kind="recipe", key=int.from_bytes(root[:7], "big") ^ t.lo + i, doc_id=doc_ids[t.lo + i], n_tokens=last - int(first[i]), digests=digests, after=after, root=root)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols.values(), _ARROW)], schema=_ARROW)
 
     return run
@@ -113,28 +117,57 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, k
     parts = shuffle_parts(spark)
     (rows.repartition(parts, "key").sortWithinPartitions("kind", "digest").mapInArrow(_once, ROWS).drop("key")
      .write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/blocks"))
-    recipes = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "sizes", "root")
-    placed = stage(with_running_totals(recipes, [F.col("doc_id").asc_nulls_first(), F.col("root")], {"start": F.col("n_tokens")}, "recipes"), "placed")
-    (placed.repartitionByRange("start").sortWithinPartitions("start").select("doc_id", "start", "n_tokens", "digests", "sizes", "root")
+    recipes = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "after", "root")
+    order, sums = [F.col("doc_id").asc_nulls_first(), F.col("root")], {"start": F.col("n_tokens"), "place": F.lit(1)}
+    placed = stage(with_running_totals(recipes, order, sums, "recipes"), "placed")
+    (placed.repartitionByRange("start").sortWithinPartitions("start").select(*[c.split()[0] for c in RECIPES.split(", ")])
      .write.option("compression", "zstd").parquet(f"{folder}/recipes"))
-    spark.read.schema(RECIPES).parquet(f"{folder}/recipes").select("start", "root").mapInArrow(_range_roots, MANIFEST).write.parquet(f"{folder}/manifest")
+    _write_tree(spark.read.schema(RECIPES).parquet(f"{folder}/recipes").select("place", F.lit(1).alias("documents"), "root"), folder)
 
 
-def _range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, start, n = hashlib.sha256(), None, 0
-    for batch in batches:
-        for s, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            start = s if start is None else start
-            n += 1
-            h.update(r)
-    if n:
-        yield pa.RecordBatch.from_pydict({"start": [start], "documents": [n], "root": [h.digest()]})
+def _hashed(digests: Column) -> Column:
+    """SHA-256 of an array of digests as hexadecimal text."""
+    return F.unhex(F.sha2(F.array_join(F.transform(digests, F.hex), ""), 256))
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """The nodes (node, documents, root) above rows (place, documents, root): FANOUT rows each at most."""
+    within = F.array_sort(F.collect_list(F.struct("place", "root")))["root"]
+    return rows.groupBy(F.expr(f"place DIV {FANOUT}").alias("node")).agg(F.sum("documents").cast("long").alias("documents"), _hashed(within).alias("root"))
+
+
+def _write_tree(rows: DataFrame, folder: str) -> None:
+    spark, level = rows.sparkSession, 0
+    while True:
+        _nodes(rows).select(F.lit(level).alias("level"), "node", "documents", "root").write.mode("append").parquet(f"{folder}/manifest")
+        nodes = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").where(f"level = {level}")
+        if nodes.count() <= 1:
+            return
+        rows, level = nodes.select(F.col("node").alias("place"), "documents", "root"), level + 1
 
 
 def root_of(spark: SparkSession, folder: str) -> str:
-    """The store's Merkle root: the hash of the ranges' roots, of which there are as many as recipe files."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("start").collect()
-    return hashlib.sha256(b"".join(bytes(r["root"]) for r in rows)).hexdigest()
+    """The store's Merkle root; of an empty store the hash of nothing."""
+    top = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("level")).select("root").first()
+    return (bytes(top["root"]) if top else hashlib.sha256(b"").digest()).hex()
+
+
+def verify_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest's nodes (level, node) that the recipes, or the nodes below, do not give, or that the manifest lacks.
+
+    No rows: no recipe is lost or more, none has another root, and the root of the store follows from them.
+    """
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes").select("place", F.lit(1).alias("documents"), "root")
+    levels = manifest.agg(F.max("level")).first()[0]
+    bad = None
+    for level in range(1 + (levels or 0)):
+        below = recipes if not level else manifest.where(F.col("level") == level - 1).select(F.col("node").alias("place"), "documents", "root")
+        given = manifest.where(F.col("level") == level).select("node", F.struct("documents", "root").alias("given"))
+        made = _nodes(below).select("node", F.struct("documents", "root").alias("made"))
+        wrong = given.join(made, "node", "full").where(~F.col("given").eqNullSafe(F.col("made"))).select(F.lit(level).alias("level"), "node")
+        bad = wrong if bad is None else bad.unionByName(wrong)
+    return bad
 
 
 _POLY = 0xEDB88320
@@ -202,18 +235,27 @@ def read_store(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified.
 
     Every chunk is read once and checked against its digest; documents then join their chunks' facts, not the
-    payloads. verified: all chunks are there and whole, and their ids number what the recipe says.
+    payloads. verified: all chunks are there and whole, their ids number what the recipe says, the recipe's root follows
+    from its digests, and the Merkle node over the document from the roots of all its documents and, up to the store's root,
+    the nodes above from those below.
     """
     chunks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where("kind = 'chunk'").select("digest", "payload")
     facts = chunks.mapInArrow(_chunk_facts({2: "<u2", 4: "<u4"}[id_bytes]), "digest binary, crc long, ok boolean, n long")
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
-    left = F.expr("aggregate(slice(sizes, pos + 2, size(sizes)), 0L, (a, x) -> a + x)")
-    parts = recipes.select("start", "sizes", F.posexplode("digests").alias("pos", "digest")).select("start", "digest", left.alias("after"))
+    parts = recipes.select("start", F.explode(F.arrays_zip("digests", "after")).alias("part")).select("start", F.col("part.digests").alias("digest"), F.col("part.after").alias("after"))
     crcs = (parts.join(facts, "digest", "left").select("start", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ok", F.lit(False)).alias("ok"), "crc", "after")
             .mapInArrow(_shifted, "start long, n long, ok boolean, crc long")
             .groupBy("start").agg(F.sum("n").alias("read"), F.bool_and("ok").alias("ok"), F.bit_xor("crc").alias("ids_crc32")))
-    return recipes.select("doc_id", "start", "n_tokens").join(crcs, "start").select(
-        "doc_id", "start", F.col("read").alias("n_tokens"), "ids_crc32", (F.col("ok") & (F.col("read") == F.col("n_tokens"))).alias("verified"))
+    # A node above level 0 that does not follow spoils the documents below it: node / FANOUT ** level, brought down by a range.
+    bad = stage(verify_tree(spark, folder).select((F.col("node") * F.pow(F.lit(FANOUT), F.col("level") + 1)).cast("long").alias("lo"), F.pow(F.lit(FANOUT), F.col("level") + 1).cast("long").alias("width")), "bad")
+    own = recipes.select("doc_id", "start", "n_tokens", "place", (F.col("root") == _hashed(F.col("digests"))).alias("own"))
+    if bad.limit(1).count():  # a store without damage, the usual one, needs no join
+        widths = [r["width"] for r in bad.select("width").distinct().collect()]  # one for each level
+        for width in widths:
+            spoilt = bad.where(F.col("width") == width).select(F.expr(f"lo DIV {width}").alias("at"), F.lit(True).alias("spoilt")).distinct()
+            own = own.withColumn("at", F.expr(f"place DIV {width}")).join(spoilt, "at", "left").withColumn("own", F.col("own") & F.col("spoilt").isNull()).drop("at", "spoilt")
+    return own.join(crcs, "start").select(
+        "doc_id", "start", F.col("read").alias("n_tokens"), "ids_crc32", (F.col("ok") & F.col("own") & (F.col("read") == F.col("n_tokens"))).alias("verified"))
 
 
 def read_ids(spark: SparkSession, folder: str, id_bytes: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ white space outside ``[\\x20\\x09-\\x0D]`` are encoded whole.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -26,15 +27,14 @@ def encoder(path: str, keeps_space: bool) -> "PieceEncoder":
 
 def _odd_space(data: np.ndarray) -> np.ndarray:
     """Places of Unicode white space beyond ASCII."""
-    if len(data) < 2 or data.max() < 0xC2:
-        return np.zeros(0, np.int64)
-    a, b = data[:-1], data[1:]
-    c = np.append(data[2:], 0)
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    at = at[at < len(data) - 1]
+    a, b, c = data[at], data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
     odd = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
     odd |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
     odd |= (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
     odd |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
-    return np.flatnonzero(odd)
+    return at[odd]
 
 
 class PieceEncoder:
@@ -50,7 +50,7 @@ class PieceEncoder:
     def _store(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        new = np.fromiter((i for ids in made for i in ids), np.uint32, int(sizes.sum()))
+        new = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(new)] = new

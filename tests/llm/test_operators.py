@@ -57,9 +57,7 @@ def words(text):
 
 @functools.lru_cache
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def encoded(name, text, end):
