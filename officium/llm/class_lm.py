@@ -39,6 +39,7 @@ STARTS = 3
 SEED = 5
 SHAPES = 16
 BUCKETS = 512
+SLICE = 2 << 20  # bytes of text; a slice sends each bucket a row
 BLOCK = 16_384  # words whose neighbours are counted at once
 _SALT = U64(0x5851F42D4C957F2D)
 
@@ -79,7 +80,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of lower-cased texts as words. A word's key is its hash, with its shape in the lowest bits."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        for t in slices(text_column(batch)):
+        for t in slices(text_column(batch), SLICE):
             t = Texts(t.lo, lower_ascii(t.data), t.offsets)
             w = words_of(t)
             own = ids[t.lo : t.lo + t.n]

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
 _PINV = U64(pow(int(_P), -1, 1 << 64))

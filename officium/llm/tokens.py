@@ -44,8 +44,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space, self.mask = keeps_space, U64(slots - 1)
-        self.keys, self.at, self.size = np.zeros(slots, U64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
-        self.ids, self.used, self.kept_ids = np.zeros(1 << 16, np.uint32), 0, kept_ids
+        self.keys, self.at, self.size = np.zeros(slots, U64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.ids, self.used, self.kept_ids = np.zeros(1 << 16, np.uint16 if small else np.uint32), 0, kept_ids
 
     def _store(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,7 +92,7 @@ class PieceEncoder:
         starts, ends, first = self.pieces(t)
         h = run_hashes(t.data, starts, ends)
         slot = (h & self.mask).astype(np.int64)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)

@@ -72,7 +72,12 @@ def train(positive: list[Sample], unlabelled: list[Sample], prior: float, steps:
     """Chosen buckets, their weights and the bias. Samples are distinct buckets and how often each stands in the text."""
     if not positive or not unlabelled:
         return np.zeros(0, np.int64), np.zeros(0, np.float64), -50.0
-    share = [np.bincount(np.concatenate([words for words, _ in x]), minlength=BUCKETS) / len(x) for x in (positive, unlabelled)]
+    share = []
+    for x in (positive, unlabelled):
+        n = np.zeros(BUCKETS)
+        for words, _ in x:
+            n[words] += 1  # a sample's buckets are distinct
+        share.append(n / len(x))
     n = len(unlabelled)
     z = (share[0] - share[1]) / np.sqrt((share[1] + 2.0 / n) / len(positive))
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
