@@ -8,12 +8,15 @@ white space outside ``[\\x20\\x09-\\x0D]`` are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
 import numpy as np
 
-from .common import Texts, U64, run_hashes, words_of
+from .common import Texts, U64, is_space, run_hashes, words_of
+
+JOINED = 64
 
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -44,14 +47,53 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space, self.mask = keeps_space, U64(slots - 1)
+        self.widths = self._widths()
         self.keys, self.at, self.size = np.zeros(slots, U64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.ids, self.used, self.kept_ids = np.zeros(1 << 16, np.uint16 if small else np.uint32), 0, kept_ids
 
-    def _store(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _widths(self) -> np.ndarray | None:
+        """The number of a text's bytes that each id stands for, where the tokenizer changes no byte; else None."""
+        kind = json.loads(self.tokenizer.to_str())
+        if not self.keeps_space or kind["normalizer"] or kind["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            return None
+        widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            widths[i] = len(token)  # a character for each byte; special tokens are ASCII
+        return widths
+
+    def _encoded(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has.
+
+        Where ids tell their widths, pieces that begin with white space and end without are encoded ``JOINED`` at a time: no
+        token reaches from one into the next, and the widths tell where each ends.
+        """
+        texts, sizes = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], np.zeros(len(starts), np.int64)
+        if self.widths is None:
+            return self._one_by_one(texts)
+        bytes_ = np.frombuffer(raw, np.uint8)
+        joins = is_space(bytes_[starts]) & ~is_space(bytes_[ends - 1]) & (ends - starts < 64)
+        some, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        groups = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+        made, sizes_alone = self._one_by_one([b"".join([texts[k] for k in g]) for g in groups] + [texts[k] for k in alone])
+        cut = int(sizes_alone[: len(groups)].sum())
+        ends_of = np.cumsum(self.widths[made[:cut]])
+        if cut and ends_of[-1] != (ends - starts)[some].sum():  # bytes that are no UTF-8 were replaced
+            return self._one_by_one(texts)
+        upto = np.searchsorted(ends_of, np.cumsum((ends - starts)[some]), side="left") + 1
+        sizes[some], sizes[alone] = np.diff(np.append(0, upto)), sizes_alone[len(groups) :]
+        if len(alone):  # back in the order of the pieces
+            order = np.argsort(np.concatenate([np.repeat(some, sizes[some]), np.repeat(alone, sizes[alone])]), kind="stable")
+            made = made[order]
+        return made, sizes
+
+    def _one_by_one(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        new = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+
+    def _store(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, sizes = self._encoded(raw, starts, ends)
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(new)] = new
@@ -96,9 +138,8 @@ class PieceEncoder:
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            raw = t.data.tobytes()
             one = miss[where]
-            new_at, new_size = self._store([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist())])
+            new_at, new_size = self._store(t.data.tobytes(), starts[one], ends[one])
             at[miss], size[miss] = new_at[back], new_size[back]
             into = (new & self.mask).astype(np.int64)
             self.keys[into], self.at[into], self.size[into] = new, new_at, new_size
