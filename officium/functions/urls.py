@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 
 def canonical_url(url: Column) -> Column:
-    """https, lower-case host, no fragment, no tracking query, no slash at the end."""
+    """A notice's address: https for http, lower-case host, no fragment, and of the query all but the key xxgkhide.
+
+    An address without a scheme is taken as https. Null for an empty one, so that empty addresses never match each other.
+    """
     text = F.regexp_replace(F.trim(url), "#.*$", "")
-    text = F.regexp_replace(text, r"\?.*$", "")
-    host = F.lower(F.regexp_extract(text, "^[A-Za-z]+://([^/]*)", 1))
-    return F.regexp_replace(F.concat(F.lit("https://"), host, F.regexp_replace(text, "^[A-Za-z]+://[^/]*", "")), "/+$", "")
+    scheme = F.lower(F.regexp_extract(text, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rest = F.regexp_replace(text, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    query = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda kv: (kv != "") & (F.lower(F.split_part(kv, F.lit("="), F.lit(1))) != "xxgkhide"))
+    full = F.concat(
+        F.when(scheme.isin("", "http"), "https").otherwise(scheme), F.lit("://"), F.lower(F.regexp_extract(rest, "^[^/?]*", 0)), F.regexp_extract(rest, "^[^/?]*([^?]*)", 1),
+        F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.when(text != "", full)
+
+
+def source_key(url: Column) -> Column:
+    """Lower-case host and path alone, without a slash at the end: equal for a page and its variants in a list."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(url), "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return F.nullif(F.regexp_replace(F.concat(F.lower(F.regexp_extract(text, "^[^/]*", 0)), F.regexp_extract(text, "^[^/]*(.*)$", 1)), "/+$", ""), F.lit(""))
 
 
 def person_id(bureau: Column, name: Column) -> Column:

@@ -1,6 +1,8 @@
 """People's histories, posts and tenures as window operations over appointment events.
 
-Events: id, bureau, person, action (appoint or dismiss), title, dept, day (ISO text).
+Events: id, bureau, person, action (appoint or dismiss), title, dept, day (ISO text); where they have notice_title or clause
+too, these texts say which rows are leaves (a retirement, or a dismissal that the action doesn't name). A null title or
+department counts as an empty one, a null bureau or person as a key of its own.
 """
 
 from __future__ import annotations
@@ -8,46 +10,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.titles import classify_change, title_sort_rank
+
 PERSON = ["bureau", "person"]
 POST = ["bureau", "dept", "title"]
 
 
+def is_leave(events: DataFrame) -> Column:
+    """Whether a row ends a post: its change type is retire or dismiss, which no earlier row decides."""
+    text = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    kind = classify_change(F.col("action"), text("title"), text("dept"), text("notice_title"), text("clause"), none, none)
+    return kind.isin("retire", "dismiss")
+
+
 def with_previous(events: DataFrame) -> DataFrame:
     """The title and department of the person's last event that was no leave."""
     before = Window.partitionBy(*PERSON).orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.last(F.when(F.col("action") != "dismiss", F.nullif(c, F.lit(""))), ignorenulls=True).over(before)
+    stays = ~is_leave(events)
+    last = lambda c: F.last(F.when(stays, F.nullif(c, F.lit(""))), ignorenulls=True).over(before)
     return events.withColumns({"prev_title": last(F.col("title")), "prev_dept": last(F.col("dept"))})
 
 
-def _closes(leave_title: Column, leave_dept: Column, title: Column, dept: Column) -> Column:
-    """A leave closes its own post; one without a post closes any, one without a department any of its title."""
-    none = lambda c: F.coalesce(c, F.lit("")) == ""
-    return (none(leave_title) & none(leave_dept)) | (none(leave_dept) & (leave_title == title)) | ((leave_title == title) & (leave_dept == dept))
+def _first_leave(rows: DataFrame, after: bool) -> DataFrame:
+    """rows (leave, n, day) with end: n and day of the first leave after, or the nearest before, that closes the row's post.
+
+    A leave closes its own post; one with a title alone any of its title; one without a post any. That makes three windows
+    within a person's rows, so they are shuffled once, and none is joined with another.
+    """
+    title, dept = F.coalesce("title", F.lit("")), F.coalesce("dept", F.lit(""))
+    rows = rows.withColumns({"_title": title, "_dept": dept})
+    frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    event, pick = F.struct("n", "day"), F.min if after else F.max
+
+    def within(keys: list[str], closes: Column) -> Column:
+        return pick(F.when(F.col("leave") & closes, event)).over(Window.partitionBy(*PERSON, *keys).orderBy("n").rowsBetween(*frame))
+
+    blank = (F.col("_title") == "") & (F.col("_dept") == "")
+    rows = rows.withColumns({"_own": within(["_title", "_dept"], F.lit(True)), "_same": within(["_title"], (F.col("_dept") == "") & ~blank), "_any": within([], blank)})
+    end = (F.least if after else F.greatest)("_own", "_same", "_any")
+    return rows.withColumn("end", end).drop("_title", "_dept", "_own", "_same", "_any")
 
 
 def spans(events: DataFrame) -> DataFrame:
-    """Appointments with ended_on: the day of the first later leave that closes them.
+    """Appointments with ended_on: the day of the first later leave that closes them."""
+    rows = events.withColumns({"n": F.row_number().over(Window.partitionBy(*PERSON).orderBy("day", "id")), "leave": is_leave(events)})
+    return _first_leave(rows, True).where("NOT leave").select(*PERSON, "id", "title", "dept", F.col("day").alias("started_on"), F.col("end.day").alias("ended_on"))
 
-    The join is on the person, so it shuffles on the person's key once and its groups are single careers.
-    """
-    numbered = events.withColumn("n", F.row_number().over(Window.partitionBy(*PERSON).orderBy("day", "id")))
-    starts = numbered.where("action <> 'dismiss'")
-    leaves = numbered.where("action = 'dismiss'").select(*PERSON, F.col("n").alias("ln"), F.col("title").alias("lt"), F.col("dept").alias("ld"), F.col("day").alias("lday"))
-    later = starts.select(*PERSON, "id", "n", "title", "dept").join(leaves, PERSON).where((F.col("ln") > F.col("n")) & _closes(F.col("lt"), F.col("ld"), F.col("title"), F.col("dept")))
-    ends = later.groupBy(*PERSON, "id").agg(F.min_by("lday", "ln").alias("ended_on"))
-    return starts.join(ends, [*PERSON, "id"], "left").select(*PERSON, "id", "title", "dept", F.col("day").alias("started_on"), "ended_on")
+
+def shown(events: DataFrame) -> DataFrame:
+    """Events with n, their place in a person's history as it is shown: newest day first, on a day the highest title."""
+    order = Window.partitionBy(*PERSON).orderBy(F.col("day").desc(), title_sort_rank(F.col("title")), F.col("id").desc())
+    return events.withColumns({"n": F.row_number().over(order), "leave": is_leave(events)})
 
 
 def current_posts(events: DataFrame) -> DataFrame:
-    """Per person the newest appointment that no newer leave closes."""
-    order = Window.partitionBy(*PERSON).orderBy(F.col("day").desc(), F.col("id").desc())
-    shown = events.withColumn("n", F.row_number().over(order))
-    leaves = shown.where("action = 'dismiss'").select(*PERSON, F.col("n").alias("ln"), F.col("title").alias("lt"), F.col("dept").alias("ld"))
-    open_ = shown.where("action <> 'dismiss'").alias("a").join(
-        leaves.alias("l"), [F.col("a.bureau") == F.col("l.bureau"), F.col("a.person") == F.col("l.person"), F.col("ln") < F.col("n"), _closes(F.col("lt"), F.col("ld"), F.col("title"), F.col("dept"))], "left_anti")
+    """Per person the first appointment as shown that no newer leave closes."""
+    open_ = _first_leave(shown(events), False).where("NOT leave AND end IS NULL")
     return open_.groupBy(*PERSON).agg(F.min_by(F.struct("title", "dept", "day"), "n").alias("p")).select(*PERSON, "p.title", "p.dept", F.col("p.day").alias("since"))
 
 
+def newest_is_leave(events: DataFrame) -> DataFrame:
+    """Per person whether the first row as shown is a leave."""
+    return shown(events).groupBy(*PERSON).agg(F.min_by("leave", "n").alias("newest_is_leave"))
+
+
 def tenures(events: DataFrame, several: Column) -> DataFrame:
     """Who held each post from when to when, in windows over the post's events.
 

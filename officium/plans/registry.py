@@ -26,10 +26,14 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import facades  # noqa: F401  (adds its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import facades  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -297,16 +301,19 @@ def event_dedupe_richest(spark, d):
     return tables.best_per_key(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
-_CANON = "rtrim('https://' || lower(regexp_extract(u, '^[A-Za-z]+://([^/]*)', 1)) || regexp_replace(u, '^[A-Za-z]+://[^/]*', ''), '/')"
+_CANON = """'https://' || lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)) || regexp_replace(regexp_replace(regexp_replace(u, '^[A-Za-z]+://[^/?]*', ''), '(\\?)(xxgkhide=[^&]*&?)', '\\1'), '(&xxgkhide=[^&]*)|\\?$', '')"""
 
 
-@query(f"""WITH v AS (SELECT page_id, url, length(html) AS size FROM pages UNION ALL SELECT page_id + 1000000, replace(url, 'https://', 'http://') || '/', length(html) - 1 FROM pages WHERE page_id % 3 = 0),
-c AS (SELECT page_id, size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '\\?.*$', '') AS u FROM v), k AS (SELECT page_id, size, {_CANON} AS key FROM c)
+@query(f"""WITH v AS (SELECT page_id, url, length(html) AS size FROM pages UNION ALL SELECT page_id + 1000000, replace(url, 'https://', 'http://') || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'xxgkhide=1#top', length(html) - 1 FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id + 2000000, url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'id=' || page_id, length(html) FROM pages WHERE page_id % 3 = 1),
+c AS (SELECT page_id, size, regexp_replace(trim(url), '#.*$', '') AS u FROM v), k AS (SELECT page_id, size, {_CANON} AS key FROM c)
 SELECT key, arg_max(page_id, (size, -page_id)) AS keep_id, count(*) AS n FROM k GROUP BY 1""")
 def notice_merge_canonical_url(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"))
-    twins = pages.where("page_id % 3 = 0").select((F.col("page_id") + 1000000).alias("page_id"), F.concat(F.regexp_replace("url", "https://", "http://"), F.lit("/")).alias("url"), (F.col("size") - 1).alias("size"))
-    rows = pages.unionByName(twins).withColumn("key", urls.canonical_url(F.col("url")))
+    more = F.when(F.col("url").contains("?"), "&").otherwise("?")
+    twins = pages.where("page_id % 3 = 0").select((F.col("page_id") + 1000000).alias("page_id"), F.concat(F.regexp_replace("url", "https://", "http://"), more, F.lit("xxgkhide=1#top")).alias("url"), (F.col("size") - 1).alias("size"))
+    others = pages.where("page_id % 3 = 1").select((F.col("page_id") + 2000000).alias("page_id"), F.concat("url", more, F.lit("id="), F.col("page_id")).alias("url"), "size")
+    rows = pages.unionByName(twins).unionByName(others).withColumn("key", urls.canonical_url(F.col("url")))
     return rows.groupBy("key").agg(F.max_by("page_id", F.struct("size", -F.col("page_id"))).alias("keep_id"), _n())
 
 

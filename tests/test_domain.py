@@ -84,7 +84,51 @@ def test_change_types(spark):
 
 def test_addresses_and_days(spark):
     row = spark.range(1).select(urls.canonical_url(F.lit("http://Ex.CN/a/b/?x=1#y")).alias("u"), urls.title_date(F.lit("任免（2025年12月1日）")).alias("d"), urls.title_date(F.lit("2025年13月1日")).alias("bad"), urls.is_day(F.lit("2025-02-30")).alias("no"), urls.json_list(F.lit("{")).alias("j")).first()
-    assert tuple(row) == ("https://ex.cn/a/b", "2025-12-01", None, False, [])
+    assert tuple(row) == ("https://ex.cn/a/b/?x=1", "2025-12-01", None, False, [])
+
+
+def test_addresses_keep_their_query(spark):
+    given = ["http://A.cn/x?id=1&xxgkhide=1", "https://a.cn/x?XXGKHIDE=1&id=2#t", "HTTP://a.cn/X", "a.cn/x", "", " ", None, "http://a.cn?xxgkhide=1", "https://a.cn/x/?id="]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, u string").orderBy("i").select(urls.canonical_url(F.col("u")).alias("c"), urls.source_key(F.col("u")).alias("k")).collect()
+    assert [r["c"] for r in rows] == ["https://a.cn/x?id=1", "https://a.cn/x?id=2", "https://a.cn/X", "https://a.cn/x", None, None, None, "https://a.cn", "https://a.cn/x/?id="]
+    assert [r["k"] for r in rows] == ["a.cn/x", "a.cn/x", "a.cn/X", "a.cn/x", None, None, None, "a.cn", "a.cn/x"]
+
+
+def test_leaves_close_posts_without_titles_and_by_text(spark):
+    ev = events(spark, ("A", "appoint", None, "D", "2023-01-01"), ("A", "dismiss", None, "D", "2024-01-01"), ("B", "appoint", "处长", "D", "2023-01-01"), ("B", "dismiss", "处长", None, "2024-02-01"), ("C", "appoint", "处长", "D", "2023-01-01"), ("C", "dismiss", "科长", None, "2024-02-01"))
+    assert {r["person"]: r["ended_on"] for r in history.spans(ev).collect()} == {"A": "2024-01-01", "B": "2024-02-01", "C": None}
+    told = ev.where("person = 'C'").withColumn("clause", F.when(F.col("action") == "dismiss", "到龄退休")).withColumn("action", F.lit("appoint")).withColumn("title", F.lit("处长")).withColumn("dept", F.lit("D"))
+    assert history.spans(told).first()["ended_on"] == "2024-02-01"
+    assert {r["person"]: r["newest_is_leave"] for r in history.newest_is_leave(ev).collect()} == {"A": True, "B": True, "C": True}
+
+
+def test_the_highest_title_of_a_day_is_current(spark):
+    ev = events(spark, ("A", "appoint", "副局长", "D", "2023-01-01"), ("A", "appoint", "科长", "D", "2023-01-01"), (None, "appoint", "科长", "D", "2023-01-01"), (None, "dismiss", "科长", "D", "2023-05-01"))
+    assert {r["person"]: r["title"] for r in history.current_posts(ev).collect()} == {"A": "副局长"}
+
+
+def test_spans_and_current_posts_equal_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(i, "u", rng.choice("ABC"), rng.choice(["appoint", "appoint", "dismiss"]), rng.choice(["局长", "科长", None, ""]), rng.choice(["X", "Y", None]), f"2024-01-{rng.randint(1, 28):02d}") for i in range(150)]
+    ev = spark.createDataFrame(rows, EVENT)
+    rank = {"局长": 20, "科长": 140}
+    text = lambda r: (r[4] or "", r[5] or "")
+    closes = lambda l, a: text(l) == text(a) or text(l) == ("", "") or (text(l)[1] == "" and text(l)[0] != "" and text(l)[0] == text(a)[0])
+    ended, now = {}, {}
+    for p in "ABC":
+        mine = sorted((r for r in rows if r[2] == p), key=lambda r: (r[6], r[0]))
+        for k, r in enumerate(mine):
+            if r[3] == "appoint":
+                ended[r[0]] = next((x[6] for x in mine[k + 1 :] if x[3] == "dismiss" and closes(x, r)), None)
+        mine = sorted(mine, key=lambda r: -r[0])
+        mine.sort(key=lambda r: rank.get(r[4], 900))
+        mine.sort(key=lambda r: r[6], reverse=True)
+        for k, r in enumerate(mine):
+            if r[3] == "appoint" and not any(x[3] == "dismiss" and closes(x, r) for x in mine[:k]):
+                now[p] = (r[4], r[5], r[6])
+                break
+    assert {r["id"]: r["ended_on"] for r in history.spans(ev).collect()} == ended
+    assert {r["person"]: (r["title"], r["dept"], r["since"]) for r in history.current_posts(ev).collect()} == now
 
 
 def test_merge_keeps_ids_and_longer_text(spark):
