@@ -337,7 +337,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     # at least one document in a thousand there are at most a thousand.
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "copies", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     named = stage(named, "named")
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("c"))
+    smallest = stage(named.groupBy("comp").agg(F.min("doc_id").alias("c")), "smallest")  # written, so that a hub's join can be split
     named = stage(named.join(smallest, "comp").select(*same, "copies", "c"), "named")
     least = max(1000, sketches.count() // 1000)
     big = F.broadcast(named.where(F.col("copies") >= least).select(*same, F.col("c").alias("c1")))
