@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.urls import title_date
+
 NOTICE = "bureau_code string, title string, source_url string, published_at string, doc_no string, issuer string, issued_on string, raw_text string"
 EVENT = "person_name string, action string, department_raw string, title_raw string, probation_years int, effective_on string, source_url string, notice_title string, raw_clause string"
 PAYLOAD = f"bureau string, notices array<struct<{NOTICE.replace(' string', ':string')}>>, events array<struct<{EVENT.replace(' string', ':string').replace(' int', ':int')}>>"
@@ -80,6 +82,42 @@ def list_items(pages: DataFrame) -> DataFrame:
     return first.select("path", "url", "x.at", "x.title", "x.day")
 
 
+def _labelled(text: Column, label: str) -> Column:
+    return text_day(F.regexp_extract(text, f"{label}[:：]?\\s*([0-9]{{4}}[-/.年][0-9]{{1,2}}[-/.月][0-9]{{1,2}})", 1))
+
+
+def text_day(text: Column) -> Column:
+    """The first day written in a text, as ISO text; null for none or an impossible one."""
+    part = lambda i: F.regexp_extract(text, "([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})", i)
+    return F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")).try_cast("date").cast("string")
+
+
+def issued_on(title: Column, text: Column, meta: Column, published: Column) -> Column:
+    """The day of a notice: in its title, else as labelled in its text, else the page's, else the list's."""
+    return F.coalesce(title_date(title), *[_labelled(text, x) for x in ("发文日期", "发布日期", "发布时间")], text_day(meta), F.substring(published, 1, 10))
+
+
+def doc_number(raw: Column) -> Column:
+    """A document's number such as 沪税任〔2026〕117号, without what stands around it; null for anything else."""
+    text = F.regexp_replace(raw, "(?U)\\s+", "")
+    found = F.regexp_extract(text, "([一-龥A-Za-z]{2,20}[〔\\[][0-9]{4}[〕\\]][0-9]{1,5}号)", 1)
+    return F.nullif(F.when(~found.rlike("打印|微信|字号"), found).otherwise(""), F.lit(""))
+
+
+def plain_title(title: Column) -> Column:
+    """A notice's title without tags and without the decision's day at its end."""
+    text = F.regexp_replace(F.regexp_replace(title, "<[^>]*>", ""), "(?U)\\s+", " ")
+    return F.trim(F.regexp_replace(text, "\\s*[（(][0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日[）)].*$", ""))
+
+
+def details(pages: DataFrame) -> DataFrame:
+    """path, title, issued_on, doc_no, text of notices' pages (path, html), ready for extract.appointment_events."""
+    meta = lambda name: F.nullif(F.regexp_extract("html", f'(?i)<meta[^>]*name="{name}"[^>]*content="([^"]*)"', 1), F.lit(""))
+    rows = pages.withColumns({"_text": unescape(visible_text(F.col("html"))), "_title": unescape(F.coalesce(meta("ArticleTitle"), page_title(F.col("html"))))})
+    day = issued_on(F.col("_title"), F.col("_text"), meta("PubDate"), F.lit(None).cast("string"))
+    return rows.select("path", plain_title(F.col("_title")).alias("title"), day.alias("issued_on"), doc_number(F.col("_text")).alias("doc_no"), F.col("_text").alias("text"))
+
+
 def write_export(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 

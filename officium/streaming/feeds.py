@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions.urls import canonical_url
 from ..operators.tables import merge
@@ -30,3 +33,85 @@ def merge_batches(spark: SparkSession, updates: DataFrame, table: str, keys: lis
 def daily_changes(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Numbers of events per day and kind of a stream: ts, kind."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "kind", "n")
+
+
+def merge_touched(spark: SparkSession, updates: DataFrame, table: str, keys: list[str], checkpoint: str, longest: tuple[str, ...] = (), buckets: int = 64):
+    """Upserts a stream into a table dealt into buckets by key: a batch rewrites only the buckets that its keys touch.
+
+    A bucket's rows lie in ``bucket=b/v=n``, n being one more than the batch that wrote them; the newest counts (``latest``).
+    A batch reads what stood before it, so one that runs again writes the same, and a bucket's versions before the one it
+    read are deleted then: of each bucket at most two stay. Returns the running query.
+    """
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.dropDuplicates(keys).withColumn("bucket", bucket).persist()
+        try:
+            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets`
+            if not touched:
+                return
+            path, fs = _folder(spark, table)
+            versions = _versions(spark, table, number) if fs.exists(path) else {}
+            old = _read(spark, table, {b: versions[b] for b in touched if b in versions}, batch.drop("bucket"))
+            rows = merge(old, batch.drop("bucket"), keys, longest).drop("state").withColumns({"bucket": bucket, "v": F.lit(number + 1)})
+            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(table)
+            for b in touched:
+                for status in fs.listStatus(_folder(spark, f"{table}/bucket={b}")[0]):
+                    v = int(status.getPath().getName().split("=")[1])
+                    if v < versions.get(b, 0):
+                        fs.delete(status.getPath(), True)
+        finally:
+            batch.unpersist()
+
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, table: str, upto: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, of those that batches before ``upto`` wrote. Folders are listed, not rows."""
+    path, fs = _folder(spark, table)
+    out: dict[int, int] = {}
+    for status in fs.globStatus(_folder(spark, f"{table}/bucket=*/v=*")[0]) or []:
+        b, v = (int(p.getName().split("=")[1]) for p in (status.getPath().getParent(), status.getPath()))
+        if upto is None or v <= upto:
+            out[b] = max(v, out.get(b, 0))
+    return out
+
+
+def _read(spark: SparkSession, table: str, versions: dict[int, int], like: DataFrame) -> DataFrame:
+    if not versions:
+        return like.limit(0)
+    return spark.read.schema(like.schema).parquet(*[f"{table}/bucket={b}/v={v}" for b, v in sorted(versions.items())])
+
+
+def latest(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """The rows of a table of merge_touched as they are now."""
+    return _read(spark, table, _versions(spark, table), spark.createDataFrame([], schema))
+
+
+def new_heads(items: DataFrame) -> DataFrame:
+    """Of a stream of lists' items (bureau, url, day) those above their bureau's baseline: its newest item of the batch before.
+
+    A list's items of a batch go newest day first, undated ones last. Nothing is new where the newest is the baseline or
+    older; else all down to the baseline's address or an older day. Then the newest is the baseline. The state is two
+    texts a bureau; a bureau's items of one batch are one list, which sites keep to a few hundred.
+    """
+
+    def above(key: tuple, frames, state):
+        rows = pd.concat(list(frames), ignore_index=True)
+        rows["_day"] = rows["day"].fillna("").str.slice(0, 10)
+        rows = rows.sort_values(["_day", "url"], ascending=False, kind="stable")
+        url, day = state.get if state.exists else (None, None)
+        stop = (rows["url"] == url) | ((rows["_day"] != "") & (rows["_day"] < (day or "")))
+        fresh = rows[~stop.cummax()]
+        if not len(fresh) and len(rows) and rows["url"].iloc[0] != url:
+            yield fresh[["bureau", "url", "day"]]
+            return
+        state.update((rows["url"].iloc[0], rows["_day"].iloc[0]))
+        yield fresh[["bureau", "url", "day"]]
+
+    return items.groupBy("bureau").applyInPandasWithState(above, "bureau string, url string, day string", "url string, day string", "append", GroupStateTimeout.NoTimeout)
