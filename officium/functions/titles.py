@@ -55,8 +55,9 @@ def title_sort_rank(raw: Column) -> Column:
     text = _bare(raw)
     head = F.regexp_replace(F.split_part(text, F.lit("、"), F.lit(1)), "^[，,；; ]+|[，,；; ]+$", "")
     head = F.when(head != "", head).otherwise(text)
-    known = sorted(TITLE_RANKS.items(), key=lambda x: -len(x[0]))
-    return F.when(F.coalesce(raw, F.lit("")) == "", 900).otherwise(_first([(head.endswith(t), r) for t, r in known], 800))
+    ending = F.regexp_extract(head, f"(?:{'|'.join(TITLE_RANKS)})$", 0)  # the leftmost match is the longest ending
+    ranks = F.create_map(*[F.lit(x) for kv in TITLE_RANKS.items() for x in kv])
+    return F.when(F.coalesce(raw, F.lit("")) == "", 900).otherwise(F.coalesce(F.try_element_at(ranks, ending), F.lit(800)))
 
 
 def level_rank(level: Column) -> Column:
@@ -102,6 +103,19 @@ def normalize_department(raw: Column, level: Column) -> Column:
     return F.when(full.isNotNull(), F.struct(full.alias("name"), kind.alias("kind")))
 
 
+RETIRES, CONFIRMS = "退休|离休|到龄", "试用期(?:已?满|期满)?.*转正|转正任职|期满转正"
+
+
+def leaves_post(action: Column, *texts: Column) -> Column:
+    """Whether a change ends a post, that is whether classify_change gives retire or dismiss; earlier posts don't matter.
+
+    texts as there: notice title, clause, title, department.
+    """
+    blob = F.concat(*[F.coalesce(t, F.lit("")) for t in texts])
+    act = F.lower(F.trim(F.coalesce(action, F.lit(""))))
+    return blob.rlike(RETIRES) | (~blob.rlike(CONFIRMS) & ((act == "dismiss") | F.substring(blob, 1, 20).contains("免去")))
+
+
 def classify_change(action: Column, title: Column, dept: Column, notice_title: Column, clause: Column, prev_title: Column, prev_dept: Column) -> Column:
     """retire, probation_confirm, dismiss, transfer, promote, appoint or unknown; the order of the tests counts."""
     text = lambda c: F.coalesce(c, F.lit(""))
@@ -110,8 +124,8 @@ def classify_change(action: Column, title: Column, dept: Column, notice_title: C
     cur, prev = F.trim(text(dept)), F.trim(text(prev_dept))
     known = (act == "appoint") & (text(prev_title) != "")
     return _first([
-        (blob.rlike("退休|离休|到龄"), "retire"),
-        (blob.rlike("试用期(?:已?满|期满)?.*转正|转正任职|期满转正"), "probation_confirm"),
+        (blob.rlike(RETIRES), "retire"),
+        (blob.rlike(CONFIRMS), "probation_confirm"),
         ((act == "dismiss") | F.substring(blob, 1, 20).contains("免去"), "dismiss"),
         (blob.rlike("调任|交流|挂职|兼任"), "transfer"),
         (blob.rlike("提任|晋升|提拔"), "promote"),

@@ -113,18 +113,21 @@ def appointment_events(notices: DataFrame) -> DataFrame:
     found = F.concat(*[_matches(F.col("clause"), p, act, i) for i, (p, act) in enumerate(patterns)])
     listed = _matches(F.col("body"), ROSTER, "appoint", roster)
     rows = rows.withColumn("m", F.explode(F.when(F.col("clause_no") == 0, listed).otherwise(found))).select("notice_id", "clause_no", "clause", "body", "m.*")
-    rows = rows.withColumn("person", clean_name(F.col("raw"))).where(plausible_name(F.col("person")))
-    is_bare, is_listed = F.col("trial") == bare, F.col("trial") == roster
+    rows = rows.withColumn("person", clean_name(F.col("raw")))
+    dismissed, is_bare, is_listed = F.col("action") == "dismiss", F.col("trial") == bare, F.col("trial") == roster
     after_leave = F.col("clause").contains(F.concat(F.lit("免去"), "match")) | F.col("match").startswith("免去") | (F.col("match").startswith("去") & F.col("clause").contains(F.concat(F.lit("免"), "match")))
     good = looks_like_post(F.col("post")) & ~((F.col("trial") == len(DISMISS) + APPOINT.index(AS)) & F.col("post").startswith("任"))
     good &= ~(is_bare & (F.coalesce(after_leave, F.lit(False)) | F.col("raw").rlike("[担兼聘]$") | F.col("post").startswith("职试用期") | F.col("post").rlike(_NO_ACT)))
-    rows = split_posts(rows.where((F.col("action") == "dismiss") | good), "post")
-    rows = rows.where((F.col("action") == "dismiss") | F.coalesce("title", "dept").isNotNull())
+    # What fails a test is only marked until the end: a filter here would be moved below the steps and repeat them all.
+    rows = split_posts(rows.withColumn("ok", plausible_name(F.col("person")) & (dismissed | good)), "post")
+    rows = rows.withColumn("ok", F.col("ok") & (dismissed | F.coalesce("title", "dept").isNotNull()))
     clause, notice = Window.partitionBy("notice_id", "clause_no"), Window.partitionBy("notice_id")
-    rows = rows.withColumn("sure", F.max((F.col("action") == "appoint") & ~is_bare & ~is_listed).over(clause))
-    rows = rows.where(~is_bare | ~F.col("sure")).withColumn("read", F.max(~is_listed).over(notice)).where(~is_listed | ~F.col("read"))
+    rows = rows.withColumn("sure", F.max(F.col("ok") & ~dismissed & ~is_bare & ~is_listed).over(clause))
+    rows = rows.withColumn("ok", F.col("ok") & ~(is_bare & F.col("sure")))
+    rows = rows.withColumn("read", F.max(F.col("ok") & ~is_listed).over(notice))
+    rows = rows.withColumn("ok", F.col("ok") & ~(is_listed & F.col("read")))
     key = ["notice_id", "person", "action", F.coalesce("title", F.lit("")), F.coalesce("dept", F.lit(""))]
     order = ["clause_no", "trial", "at"]
-    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("again = 1")
-    years = F.when(F.col("action") == "appoint", probation_years(F.when(is_listed, F.expr("substring(body, locate(match, body) + length(match), 24)")).otherwise(F.col("clause"))))
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ok"), *order))).where("again = 1 AND ok")
+    years = F.when(~dismissed, probation_years(F.when(is_listed, F.expr("substring(body, locate(match, body) + length(match), 24)")).otherwise(F.col("clause"))))
     return rows.select("notice_id", F.row_number().over(notice.orderBy(*order)).cast("long").alias("n"), "person", "action", "unit", "dept", "title", years.alias("probation_years"), F.substring(F.when(is_listed, F.col("match")).otherwise(F.col("clause")), 1, 500).alias("clause"))

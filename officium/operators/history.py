@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.titles import classify_change, title_sort_rank
+from ..functions.titles import leaves_post, title_sort_rank
 
 PERSON = ["bureau", "person"]
 POST = ["bureau", "dept", "title"]
@@ -19,9 +19,7 @@ POST = ["bureau", "dept", "title"]
 def is_leave(events: DataFrame) -> Column:
     """Whether a row ends a post: its change type is retire or dismiss, which no earlier row decides."""
     text = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
-    none = F.lit(None).cast("string")
-    kind = classify_change(F.col("action"), text("title"), text("dept"), text("notice_title"), text("clause"), none, none)
-    return kind.isin("retire", "dismiss")
+    return leaves_post(F.col("action"), text("notice_title"), text("clause"), text("title"), text("dept"))
 
 
 def with_previous(events: DataFrame) -> DataFrame:
