@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.persons import plausible_name
-from ..functions.urls import canonical_url, is_day
+from ..functions.persons import clean_name, plausible_name
+from ..functions.titles import compact
+from ..functions.urls import canonical_url, is_day, person_id
+from . import extract, units
 
 NOISE = "任命|免去|通知|决定|欢迎|试用期"
 SEMANTIC = ("bureau", "person", "action", "dept", "title", "day")
@@ -92,3 +94,104 @@ def merge_notices(notices: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     first = Window.partitionBy(*act).orderBy(F.desc(F.col("notice_id") == F.col("keep")), "id")
     moved = moved.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return kept, moved.select(*[F.col("keep").alias(c) if c == "notice_id" else F.col(c) for c in events.columns])
+
+
+def misnamed(events: DataFrame) -> DataFrame:
+    """events (person, clause) where a name that can't be one is replaced by the first that the clause's patterns give."""
+    clause = F.coalesce("clause", F.lit(""))
+    names = F.array(*[clean_name(F.regexp_extract(clause, p, 1)) for p in (extract.AS, extract.BARE, extract.ROSTER)])
+    wrong = (F.trim(F.coalesce("person", F.lit(""))) != "") & ~plausible_name(F.col("person"))
+    return events.withColumn("person", F.when(wrong, F.coalesce(F.get(F.filter(names, plausible_name), F.lit(0)), F.col("person"))).otherwise(F.col("person")))
+
+
+FULL_NAME = "(?:任命|聘任|免去)([一-龥·]{2,4})同志"
+
+
+def full_names(events: DataFrame) -> DataFrame:
+    """events (person, clause) with full: the longest name before 同志 in the clause that ends in a cut name; null for none."""
+    found = F.regexp_extract_all(F.coalesce("clause", F.lit("")), F.lit(FULL_NAME), F.lit(1))
+    old = F.trim("person")
+    longer = F.filter(found, lambda n: n.endswith(old) & (F.length(n) > F.length(old)) & plausible_name(n))
+    best = F.array_max(F.transform(longer, lambda n, i: F.struct(F.length(n).alias("size"), (-i).alias("first"), n.alias("name"))))
+    return events.withColumn("full", F.when(old != "", best["name"]))
+
+
+def rename(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """rows (bureau, person) under new names; moves: bureau, person, full, each person once."""
+    to = moves.select(F.col("bureau").alias("_bureau"), F.col("person").alias("_person"), "full")
+    rows = rows.join(to, (F.col("bureau") == F.col("_bureau")) & (F.col("person") == F.col("_person")), "left")
+    return rows.withColumn("person", F.coalesce("full", "person")).drop("_bureau", "_person", "full")
+
+
+def complete_names(events: DataFrame, duties: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """events with cut names completed, duties and people (bureau, person) following them; a person who is there already stays once.
+
+    Events without the full name in their clause keep theirs, and with it their person.
+    """
+    rows = full_names(events)
+    moves = rows.where("full IS NOT NULL").groupBy("bureau", "person").agg(F.max_by("full", "id").alias("full"))
+    kept = rows.withColumn("person", F.coalesce("full", "person")).drop("full")
+    left = kept.select("bureau", "person").distinct()
+    stays = people.join(moves, ["bureau", "person"], "left_semi").join(left, ["bureau", "person"], "left_semi").select(*people.columns)
+    return kept, rename(duties, moves), rename(people, moves).unionByName(stays).dropDuplicates(["bureau", "person"])
+
+
+def remap_local(events: DataFrame, sites: DataFrame) -> DataFrame:
+    """events (bureau, unit) of the head office that name a registered bureau go to that one."""
+    head = sites.where("level = 'headquarters'").select(F.col("code").alias("bureau"), F.lit(True).alias("_of_head"))
+    rows = units.named_bureaus(events, sites).join(F.broadcast(head), "bureau", "left")
+    return rows.withColumn("bureau", F.when(F.col("_of_head"), F.coalesce("named", "bureau")).otherwise(F.col("bureau"))).drop("named", "_of_head").select(*events.columns)
+
+
+def unregistered(tables: dict[str, tuple[DataFrame, str]], sites: DataFrame) -> DataFrame:
+    """Codes that tables (name: table and its column of codes) have and the registry lacks: source, code, n."""
+    out = None
+    for name, (rows, column) in tables.items():
+        part = rows.groupBy(F.col(column).alias("code")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sites.select("code")), "code", "left_anti").select(F.lit(name).alias("source"), "code", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def purge(tables: dict[str, tuple[DataFrame, str]], codes: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the rows of junk codes (code), a fixed list of a few."""
+    return {name: rows.join(F.broadcast(codes.select(F.col("code").alias(column))), column, "left_anti").select(*rows.columns) for name, (rows, column) in tables.items()}
+
+
+def sourced_people(people: DataFrame, events: DataFrame, duties: DataFrame) -> DataFrame:
+    """People (bureau, person) who have an event or a duty."""
+    known = events.select("bureau", "person").union(duties.select("bureau", "person")).distinct()
+    return people.join(known, ["bureau", "person"], "left_semi")
+
+
+def clean_names(rows: DataFrame) -> DataFrame:
+    """rows (person) without white space in names; those without a name go."""
+    return rows.withColumn("person", compact(F.col("person"))).where("person <> ''")
+
+
+def identities(people: DataFrame) -> DataFrame:
+    """People (bureau, person, identity_id) with an identity each: the one they have, else their own key. Namesakes in other
+    bureaus are not merged; whoever shares an identity got it from someone who knew."""
+    return people.withColumn("identity_id", F.coalesce(F.nullif(F.trim("identity_id"), F.lit("")), person_id(F.col("bureau"), F.col("person"))))
+
+
+def appearances(people: DataFrame) -> DataFrame:
+    """Each person with the others of their identity: bureau, person, other_bureau, other_person."""
+    other = people.select("identity_id", F.col("bureau").alias("other_bureau"), F.col("person").alias("other_person"))
+    same = (F.col("bureau") == F.col("other_bureau")) & (F.col("person") == F.col("other_person"))
+    return people.join(other, "identity_id").where(~same).select("identity_id", "bureau", "person", "other_bureau", "other_person")
+
+
+def richest_duties(duties: DataFrame) -> DataFrame:
+    """One duty a leader: most departments, then with a summary, then the longest title, then the newest."""
+    rich = F.struct(F.greatest(F.coalesce(F.size("departments"), F.lit(0)), F.lit(0)), F.coalesce("duty_summary", F.lit("")) != "", F.length(F.coalesce("title", F.lit(""))), "id")
+    rest = [c for c in duties.columns if c not in ("bureau", "person")]
+    return duties.groupBy("bureau", "person").agg(F.max_by(F.struct(*rest), rich).alias("x")).select("bureau", "person", "x.*")
+
+
+def clean(events: DataFrame, duties: DataFrame, people: DataFrame, sites: DataFrame, junk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, duties and people cleaned in order: junk codes purged, local events remapped, names repaired and completed, people
+    without a source dropped, identities given."""
+    kept = purge({"events": (events, "bureau"), "duties": (duties, "bureau"), "people": (people, "bureau")}, junk)
+    events = misnamed(clean_names(remap_local(kept["events"], sites)))
+    events, duties, people = complete_names(events, kept["duties"], kept["people"])
+    return events, duties, identities(sourced_people(people, events, duties))

@@ -59,17 +59,21 @@ def prefer_exact(rows: DataFrame, title: str | None, dept: str | None) -> DataFr
     t = F.coalesce(F.col("title") == title, F.lit(False)) if title else F.lit(False)
     d = F.coalesce(F.col("dept") == dept, F.lit(False)) if dept else F.lit(False)
     rows = rows.withColumn("_quality", F.when(t & d, 2).when(t, 1).otherwise(0))
-    best = rows.agg(F.max("_quality").alias("_best"), F.lit(1).alias("_one"))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one").where("_quality = _best").drop("_quality", "_best", "_one")
+    return beside(rows, rows.agg(F.max("_quality").alias("_best"))).where("_quality = _best").drop("_quality", "_best")
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of one row."""
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int | None = 50) -> DataFrame:
     """A page of rows in order, with total, the number of all rows; limit None or 0 gives all from the offset on."""
-    total = rows.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("_one"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     out = rows.orderBy(*order)
     out = out.offset(offset) if offset else out
     out = out.limit(limit) if limit else out
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    return beside(out, total)
 
 
 def changes(events: DataFrame, types: list[str] | None = None, bureaus: list | None = None, start: str | None = None, end: str | None = None, q: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.urls import canonical_url
-from ..operators.tables import merge
+from ..operators.tables import match_watches, merge, since
 
 
 def new_notices(landed: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -115,3 +115,22 @@ def new_heads(items: DataFrame) -> DataFrame:
         yield fresh[["bureau", "url", "day"]]
 
     return items.groupBy("bureau").applyInPandasWithState(above, "bureau string, url string, day string", "url string, day string", "append", GroupStateTimeout.NoTimeout)
+
+
+def digests(spark: SparkSession, events: DataFrame, watches: DataFrame, folder: str, checkpoint: str):
+    """A digest for each user and batch of a stream of events: user, n, first_id, last_id, below ``folder/digests``.
+
+    A user's cursor is the id of their last matched event; what is not beyond it is not told again. A batch reads the cursors
+    that the one before left and writes the next, so one that runs again gives the same. watches as in match_watches.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        empty = spark.createDataFrame([], StructType([watches.schema["user"], batch.schema["id"]])).withColumnRenamed("id", "last_id")
+        cursors = spark.read.parquet(f"{folder}/cursors/v={number}") if number else empty
+        fresh = since(match_watches(batch, watches), cursors).groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        fresh.write.mode("overwrite").parquet(f"{folder}/digests/batch={number}")
+        told = spark.read.schema(fresh.schema).parquet(f"{folder}/digests/batch={number}")
+        rows = cursors.unionByName(told.select("user", "last_id")).groupBy("user").agg(F.max("last_id").alias("last_id"))
+        rows.write.mode("overwrite").parquet(f"{folder}/cursors/v={number + 1}")
+
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

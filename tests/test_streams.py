@@ -46,3 +46,15 @@ def test_pages_become_events(spark):
     assert [(r["title"], r["issued_on"], r["doc_no"]) for r in rows] == [("甲市税务局任免工作人员", "2026-02-25", "沪税任〔2026〕117号"), ("通知", "2025-01-02", None), (None, None, None)]
     made = extract.appointment_events(spark.createDataFrame([(r["path"], r["text"]) for r in rows], "notice_id string, text string")).collect()
     assert [(r["notice_id"], r["person"], r["unit"], r["dept"], r["title"]) for r in made] == [("p", "张小三", "甲市税务局", "办公室", "主任")]
+
+
+def test_digests_tell_each_event_once(spark, tmp_path):
+    schema = "id long, bureau string, person string, dept string, title string"
+    watches = spark.createDataFrame([("u", "bureau", "a", None, None, None), ("u", "person", None, "王甲", None, None), ("v", "post", "b", None, "法制", "局长")], "user string, kind string, bureau string, person string, dept string, title string")
+    batches = [[(1, "a", "王甲", "x", "y"), (2, "b", "王乙", "法制科", "副局长")], [(1, "a", "王甲", "x", "y"), (3, "b", "王甲", "z", "y")], [(4, "c", "王丙", "x", "y")]]
+    got = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feeds.digests(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), watches, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got.append(sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"out/digests/batch={i}")).collect()))
+    assert got == [[("u", 1, 1, 1), ("v", 1, 2, 2)], [("u", 1, 3, 3)], []]
