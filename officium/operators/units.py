@@ -151,8 +151,13 @@ def staff(people: DataFrame, duties: DataFrame, sites: DataFrame, department: st
         rows = rows.where(F.col("level").isin(*levels))
     if not department:
         return rows
-    leads = F.coalesce(F.exists("departments", lambda d: department_matches(d, department, F.col("level"))), F.lit(False))
-    rows = rows.withColumn("source", F.when(department_matches(F.col("dept"), department, F.col("level")), "appointee").when(leads, "leader"))
+    # Departments repeat: each distinct one is tested once.
+    led = rows.select("bureau", "person", "level", F.explode("departments").alias("_raw"))
+    asked = rows.select(F.col("dept").alias("_raw"), "level").union(led.select("_raw", "level")).where("_raw IS NOT NULL").distinct()
+    asked = asked.where(department_matches(F.col("_raw"), department, F.col("level")))
+    leaders = led.join(asked, ["_raw", "level"], "left_semi").select("bureau", "person").distinct().withColumn("_leads", F.lit(True))
+    rows = rows.join(asked.select(F.col("_raw").alias("dept"), "level", F.lit(True).alias("_works")), ["dept", "level"], "left").join(leaders, ["bureau", "person"], "left")
+    rows = rows.withColumn("source", F.when(F.col("_works"), "appointee").when(F.col("_leads"), "leader")).drop("_works", "_leads")
     return first_source(rows.where("source IS NOT NULL"), ["appointee", "leader"]).drop("source")
 
 
