@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -74,12 +75,21 @@ def several_holders(title: Column) -> Column:
     return F.split_part(F.trim(F.coalesce(title, F.lit(""))), F.lit("、"), F.lit(1)).rlike(SEVERAL_HOLDERS)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda's parameter is no copy of the expression, which each use would be otherwise."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def clean_department(raw: Column) -> Column:
     """A department's name, or null for what isn't one."""
     text = F.regexp_replace(compact(raw), "^[、，,；;。的：:]+|[、，,；;。的：:]+$", "")
     text = F.regexp_replace(F.regexp_replace(text, "^国家税务总局", ""), r"^[（）()【】\[\]]+|[（）()【】\[\]]+$", "")
-    bad = (text == "") | text.isin(*NOT_DEPARTMENTS) | text.rlike(CLAUSE_WORDS) | text.rlike(TITLE_WORDS) | ~F.length(text).between(2, 24)
-    return F.when(~bad, F.when(text.rlike(UNIT_WORDS), text).otherwise(_first([(text.startswith(s), full) for s, full in STEMS.items()], None)))
+
+    def named(text: Column) -> Column:
+        bad = (text == "") | text.isin(*NOT_DEPARTMENTS) | text.rlike(CLAUSE_WORDS) | text.rlike(TITLE_WORDS) | ~F.length(text).between(2, 24)
+        return F.when(~bad, F.when(text.rlike(UNIT_WORDS), text).otherwise(_first([(text.startswith(s), full) for s, full in STEMS.items()], None)))
+
+    return once(text, named)
 
 
 def split_departments(raw: Column) -> Column:
@@ -94,13 +104,17 @@ def department_from_title(title: Column) -> Column:
     return clean_department(F.nullif(found, F.lit("")))
 
 
+def department_name(raw: Column, level: Column) -> Column:
+    """A department's cleaned name; one without a unit word gets the level's."""
+    unit = F.when(level.isin("headquarters", "province", "city"), "处").otherwise("科")
+    return once(clean_department(raw), lambda text: F.when(text.rlike("处|科|司|所|局|办公室|中心|分局"), text).otherwise(F.concat(text, unit)))
+
+
 def normalize_department(raw: Column, level: Column) -> Column:
-    """STRUCT(name, kind): a name without a unit word gets the level's."""
-    text = clean_department(raw)
-    full = F.when(text.rlike("处|科|司|所|局|办公室|中心|分局"), text).otherwise(F.concat(text, F.when(level.isin("headquarters", "province", "city"), "处").otherwise("科")))
+    """STRUCT(name, kind): department_name and the kind of unit that it says, else that of the level."""
     default = _first([(level == "headquarters", "si"), (level.isin("province", "city"), "chu"), (level == "district", "ke")], "other")
-    kind = _first([(full.contains(w), k) for w, k in KINDS.items()], default)
-    return F.when(full.isNotNull(), F.struct(full.alias("name"), kind.alias("kind")))
+    kind = lambda full: _first([(full.contains(w), k) for w, k in KINDS.items()], default)
+    return once(department_name(raw, level), lambda full: F.when(full.isNotNull(), F.struct(full.alias("name"), kind(full).alias("kind"))))
 
 
 RETIRES, CONFIRMS = "退休|离休|到龄", "试用期(?:已?满|期满)?.*转正|转正任职|期满转正"

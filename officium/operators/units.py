@@ -95,9 +95,8 @@ def codes_of_category(sites: DataFrame, category: str, level: str | None = None)
 def department_matches(raw: Column, asked: Column | str, level: Column) -> Column:
     """Whether a department's raw text is the one asked for: holds it, or one of its parts does under its normal name."""
     q = F.lit(asked) if isinstance(asked, str) else asked
-    name = lambda c: titles.normalize_department(c, level)["name"]
-    part = lambda p: F.coalesce(p.contains(q) | name(p).contains(q) | q.contains(name(p)), F.lit(False))
-    return F.coalesce(raw.contains(q), F.lit(False)) | F.exists(titles.split_departments(raw), part) | F.coalesce(name(raw).contains(q), F.lit(False))
+    part = lambda p: titles.once(titles.department_name(p, level), lambda name: F.coalesce(p.contains(q) | name.contains(q) | q.contains(name), F.lit(False)))
+    return F.coalesce(raw.contains(q), F.lit(False)) | F.exists(titles.split_departments(raw), part) | F.coalesce(titles.department_name(raw, level).contains(q), F.lit(False))
 
 
 def supervisors(duties: DataFrame, sites: DataFrame, department: str, levels: list[str] | None = None, bureau: str | None = None) -> DataFrame:
@@ -151,13 +150,8 @@ def staff(people: DataFrame, duties: DataFrame, sites: DataFrame, department: st
         rows = rows.where(F.col("level").isin(*levels))
     if not department:
         return rows
-    # Departments repeat: each distinct one is tested once.
-    led = rows.select("bureau", "person", "level", F.explode("departments").alias("_raw"))
-    asked = rows.select(F.col("dept").alias("_raw"), "level").union(led.select("_raw", "level")).where("_raw IS NOT NULL").distinct()
-    asked = asked.where(department_matches(F.col("_raw"), department, F.col("level")))
-    leaders = led.join(asked, ["_raw", "level"], "left_semi").select("bureau", "person").distinct().withColumn("_leads", F.lit(True))
-    rows = rows.join(asked.select(F.col("_raw").alias("dept"), "level", F.lit(True).alias("_works")), ["dept", "level"], "left").join(leaders, ["bureau", "person"], "left")
-    rows = rows.withColumn("source", F.when(F.col("_works"), "appointee").when(F.col("_leads"), "leader")).drop("_works", "_leads")
+    asked = lambda raw: F.coalesce(department_matches(raw, department, F.col("level")), F.lit(False))
+    rows = rows.withColumn("source", F.when(asked(F.col("dept")), "appointee").when(F.exists("departments", asked), "leader"))
     return first_source(rows.where("source IS NOT NULL"), ["appointee", "leader"]).drop("source")
 
 
