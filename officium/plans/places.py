@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history, repair, units
+from ..operators import sites as audits
 from ..sources import adapters, leaders
 from .bindings import table
 from .facades import _LETTERS, _NOW, ZH, zh_events
@@ -213,3 +214,38 @@ def leaders_read(spark, d):
         .when(k == 2, say("<li>", a, "（党委书记、局长）</li><li>李敏（副局长）</li>")).otherwise("<p>副局长：李敏</p>"))
     rows = leaders.leaders(table(spark, d, "customer").select(F.col("c_custkey").alias("path"), html.alias("html")))
     return rows.select("path", "person", "title", "gender", "duty_summary", F.array_join("departments", ",").alias("departments"))
+
+
+# ---------------------------------------------------------------- audits of the registry
+@query("""WITH c AS (SELECT c_custkey AS code, CASE WHEN c_custkey % 4 > 0 THEN 'u' END AS url, count(*) FILTER (o_orderstatus = 'F') AS events, count(*) FILTER (o_orderstatus = 'P') AS notices, count(*) FILTER (o_orderkey % 2 = 0) AS heads
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT code, events, notices, heads, CASE WHEN code % 11 = 0 THEN 'known_no_appt' WHEN events + notices = 0 AND url IS NULL THEN 'no_url_no_data' WHEN events + notices + heads = 0 THEN 'zero_appt_data' ELSE 'real_failure' END AS failure,
+CASE WHEN code % 11 = 0 THEN 'known' WHEN url IS NULL THEN 'no_url' WHEN events + notices = 0 THEN 'zero_data' ELSE 'monitor' END AS monitoring FROM c""")
+def site_failures(spark, d):
+    """Why sites (customers) have no data, by their events, notices and heads of lists (orders)."""
+    orders, code = table(spark, d, "orders"), F.col("c_custkey").alias("code")
+    sites = table(spark, d, "customer").select(code, F.when(F.col("c_custkey") % 4 > 0, "u").alias("list_url"))
+    of = lambda kind: (orders.where(kind), "o_custkey")
+    found = audits.counted(sites, {"events": of("o_orderstatus = 'F'"), "notices": of("o_orderstatus = 'P'"), "heads": of("o_orderkey % 2 = 0")})
+    return audits.failures(found, table(spark, d, "customer").where("c_custkey % 11 = 0").select(code)).drop("list_url")
+
+
+@query("""SELECT c_custkey AS code, CASE WHEN c_custkey % 5 <> 0 AND (c_custkey % 5 = 1 OR c_nationkey <> 7) THEN 'u' || c_custkey END AS list_url,
+CASE c_custkey % 5 WHEN 0 THEN 'NO_APPT,站点无栏目' WHEN 1 THEN 'old,NO_APPT,栏目无发文' ELSE CASE c_custkey % 3 WHEN 0 THEN 'NO_APPT' ELSE 'old' END || CASE WHEN c_nationkey = 7 THEN CASE c_custkey % 3 WHEN 0 THEN '' ELSE ',NO_APPT' END || ',站点无此项' ELSE '' END END AS notes
+FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey NOT IN (1, 2) AND (c_custkey % 5 > 1 OR c_custkey % 3 = CASE c_custkey % 5 WHEN 0 THEN 0 ELSE 1 END)""")
+def site_registry_pruned(spark, d):
+    """Entries (customers) without link labels; of those without posts, reasons as notes."""
+    c, text = F.col("c_custkey"), lambda n: n.cast("string")
+    rows = table(spark, d, "customer").where("c_custkey % 5 > 1 OR c_custkey % 3 = CASE c_custkey % 5 WHEN 0 THEN 0 ELSE 1 END")
+    name = F.when(c % 7 == 0, "某市通知公告").otherwise(F.concat(F.lit("地"), F.col("c_nationkey").cast("string"), F.lit("市税务局")))
+    entries = rows.select(c.alias("code"), name.alias("name"), F.concat(F.lit("u"), text(c)).alias("list_url"), F.array(F.when(c % 3 == 0, audits.NO_POSTS).otherwise("old")).alias("notes"))
+    empty = rows.where("c_custkey % 5 < 2").select(c.alias("code"), F.when(c % 5 == 0, "站点无栏目").otherwise("栏目无发文").alias("reason"))
+    return audits.pruned(entries, empty, {"地7市": "站点无此项"}, [1, 2]).select("code", "list_url", F.array_join("notes", ",").alias("notes"))
+
+
+@query("""SELECT n_nationkey AS code, n_nationkey < 12 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 40 IN (0, 1, 2)) AS skipped FROM nation""")
+def parents_by_hand(spark, d):
+    k = F.col("s_suppkey") % 40
+    path = F.when(k == 0, "ingest_report.json").when(k == 1, "a.html").when(k == 2, "b/manifest.json").when(k == 3, "b/a.html").when(k == 4, "manifest.json").otherwise("notes.txt")
+    files = table(spark, d, "supplier").select(F.col("s_nationkey").alias("parent"), path.alias("path"))
+    return audits.by_hand(table(spark, d, "nation").select(F.col("n_nationkey").alias("code")), files, list(range(12)))
