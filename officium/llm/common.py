@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +24,17 @@ _P = U64(0x9E3779B97F4A7C15 | 1)
 _PINV = U64(pow(int(_P), -1, 1 << 64))
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of staged tables
 
 
 # ---------------------------------------------------------------- staged tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) /tmp/checkpoints, else the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir; without it /tmp/checkpoints in local mode, an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        base = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     return base.rstrip("/") + "/officium"
 
 
@@ -49,16 +52,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return where
 
 
-def drop_folder(spark: SparkSession, where: str) -> None:
-    path, fs = _path(spark, where)
-    fs.delete(path, True)
-
-
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     where = new_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    _folders[out] = where
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more, neither itself nor to make lost parts again."""
+    for df in staged:
+        path, fs = _path(df.sparkSession, _folders.pop(df))
+        fs.delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -105,7 +112,81 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs as 64-bit chunks: all chunks, where each run's begin, and each chunk's number in its run.
+
+    Bytes go eight to a chunk, the last filled up with zeros; 64-bit values are a chunk each. Runs of the same size (in
+    values) are equal exactly when their chunks are.
+    """
+    wide = values.dtype != np.uint8
+    size = ends - starts
+    n = size if wide else (size + 7) >> 3
+    first = np.cumsum(n) - n
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    if wide:
+        return values[number + np.repeat(starts, n)].astype(U64, copy=False), first, number
+    padded = np.zeros(len(values) + 8, np.uint8)
+    padded[: len(values)] = values
+    eights = np.ndarray((len(values) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = eights[(number << 3) + np.repeat(starts, n)]
+    some = np.flatnonzero(size & 7)
+    last = first[some] + n[some] - 1
+    out[last] &= U64(0xFFFFFFFFFFFFFFFF) >> ((8 - (size[some] & 7)) << 3).astype(U64)
+    return out, first, number
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of values[first[i]:first[i+1]]."""
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum(values, out=total[1:])
+    return total[np.append(first[1:], len(values))] - total[first] if len(first) else np.zeros(0, U64)
+
+
+def chunked_hashes(chunks: tuple[np.ndarray, np.ndarray, np.ndarray], size: np.ndarray) -> np.ndarray:
+    """The hash of each run from its chunks.
+
+    Each chunk is mixed with its number before it is added up, so that no pattern of values cancels out, as it does in
+    polynomials modulo 2**64 (the word of Thue and Morse against its complement); the only clashes are those of chance.
+    """
+    values, first, number = chunks
+    return mix(_sums(mix(mix(values) ^ (number.astype(U64) * _P)), first) + size.astype(U64) * _M2)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[starts:ends] of bytes or 64-bit values; equal for equal runs wherever they stand."""
+    return chunked_hashes(_chunks(values, starts, ends), ends - starts)
+
+
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each h[i:i+k]: hashes of windows of 1, 2, 4, ... values, two and two mixed into the next."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    width, level, out, at = 1, mix(h.astype(U64, copy=False) + U64(k)), None, 0
+    while True:
+        if k & width:
+            part = level[at : at + n]
+            out = part if out is None else mix(out ^ (part * _M1 + _M2))
+            at += width
+        if 2 * width > k:
+            return out
+        level = mix(level[: len(level) - width] ^ (level[width:] * _P + _M1))
+        width *= 2
+
+
+def rolling_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each run, for sharing runs (which may overlap) among buckets of features only.
+
+    It is a polynomial modulo 2**64, which different long runs can share by their pattern: never take it for the run.
+    """
+    power, inverse = _powers_of(len(values) + 1)
+    total = np.zeros(len(values) + 1, U64)
+    np.cumsum((values.astype(U64, copy=False) + U64(1)) * power[: len(values)], out=total[1:])
+    h = (total[ends] - total[starts]) * inverse[starts]
+    return mix(h + (ends - starts).astype(U64) * _M2)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i up to n."""
     size = 1 << max(12, int(n).bit_length())
     if size not in _powers:
@@ -120,24 +201,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run values[starts:ends]; equal for equal runs wherever they stand."""
-    power, inverse = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64, copy=False) + U64(1)) * power[: len(values)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(U64) * _M2)
-
-
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each h[i:i+k]."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    starts = np.arange(n)
-    return run_hashes(h, starts, starts + k)
-
-
 @dataclass
 class Texts:
     """A slice of texts as UTF-8: data, and the offsets of each text in it."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, _P, lower_ascii, mix, run_hashes, slices, stage, text_column, window_hashes, words_of
+from .common import U64, Texts, _P, lower_ascii, mix, run_hashes, slices, stage, text_column, unstage, window_hashes, words_of
 
 WORDS, PERCENT = 5, 80
 FUNCTIONS = 128
@@ -47,7 +47,7 @@ def shingle_sets(t: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     h = run_hashes(t.data, w.starts, w.ends)
     inside = np.flatnonzero(w.doc[: max(0, len(h) - words + 1)] == w.doc[words - 1 :]) if len(h) >= words else np.zeros(0, np.int64)
     few = np.flatnonzero((w.counts > 0) & (w.counts < words))
-    g = np.append(run_hashes(h, inside, inside + words), run_hashes(h, w.first[few], w.first[few + 1]))
+    g = np.append(window_hashes(h, words)[inside], run_hashes(h, w.first[few], w.first[few + 1]))
     doc = np.append(w.doc[inside], few)
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
@@ -265,15 +265,15 @@ def components(edges: DataFrame) -> DataFrame:
     links = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
     label = stage(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "id"), "labels")
     while True:
-        near = links.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        new = stage(new, "labels")
-        jump = new.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        new = stage(new.join(jump, "comp").select("id", F.least("comp", "further").alias("comp"), "was"), "labels")
-        moved = new.where("comp <> was").limit(1).count()
-        label = new.select("id", "comp")
-        if not moved:
-            return label
+        near = links.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        lower = stage(label.join(near, label["id"] == near["a"]).select("id", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "labels")
+        jump = lower.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
+        new = stage(lower.join(jump, "comp").select("id", F.least("comp", "further").alias("comp"), "was"), "labels")
+        unstage(label, lower)
+        label = new
+        if not new.where("comp <> was").limit(1).count():
+            unstage(links)
+            return label.select("id", "comp")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -291,15 +291,17 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
     nodes = stage(reps.mapInArrow(_roots, "node long, rep long, n long"), "nodes")
     shared = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("least")).where("size > 1"), "shared")
-    nodes = stage(nodes.join(shared, "node").select("node", "rep", "n", F.col("least.rep").alias("b"), F.col("least.n").alias("bn")), "members")
+    roots, nodes = nodes, stage(nodes.join(shared, "node").select("node", "rep", "n", F.col("least.rep").alias("b"), F.col("least.n").alias("bn")), "members")
+    unstage(roots, shared)
     involved = first.join(nodes.select("rep").distinct(), "rep").select(*row, "rep")
     texts = stage(docs.join(involved, row).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
     ratio = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
     sketch_of = reps.select("rep", "sketch")
     stars = stage(nodes.where((F.col("rep") != F.col("b")) & ratio).select(F.col("rep").alias("a"), "b").distinct(), "stars")
-    stars = stage(_alike_pairs(stars, sketch_of, percent), "tried")
-    edges = stage(confirm(stars, texts, words, percent), "edges")
+    tried = stage(_alike_pairs(stars, sketch_of, percent), "tried")
+    edges = stage(confirm(tried, texts, words, percent), "edges")
+    unstage(stars, tried)
     nodes = nodes.select("node", "rep", "n", F.col("node").alias("root"))
     mixed, leaves, branched = _mixed(nodes, components(edges)), [], None
     for depth in range(DEPTH, DEEPEST + 1):
@@ -338,7 +340,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(*same, "copies", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     named = stage(named, "named")
     smallest = stage(named.groupBy("comp").agg(F.min("doc_id").alias("c")), "smallest")  # written, so that a hub's join can be split
-    named = stage(named.join(smallest, "comp").select(*same, "copies", "c"), "named")
+    by_comp, named = named, stage(named.join(smallest, "comp").select(*same, "copies", "c"), "named")
+    unstage(by_comp, smallest)
     least = max(1000, sketches.count() // 1000)
     big = F.broadcast(named.where(F.col("copies") >= least).select(*same, F.col("c").alias("c1")))
     rest = named.where(F.col("copies") < least).select(*same, F.col("c").alias("c2"))
@@ -356,7 +359,9 @@ def _mixed(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
     nodes = stage(nodes, "nodes")
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     sizes = stage(sizes.where("lo <> hi").select("node", "size"), "sizes")
-    return stage(nodes.join(sizes, "node"), "mixed")
+    mixed = stage(nodes.join(sizes, "node"), "mixed")
+    unstage(nodes, sizes)
+    return mixed
 
 
 def _with_main(large: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def _parsed(t: Texts, ids: np.ndarray, index: dict[str, np.ndarray], window: int
     none = np.zeros(0, np.int64)
     if not len(inside) or not len(index["keys"]):
         return w, (none,) * 5
-    key = run_hashes(h, inside, inside + window)
+    key = window_hashes(h, window)[inside]
     at = np.minimum(np.searchsorted(index["keys"], key), len(index["keys"]) - 1)
     hit = index["keys"][at] == key
     inside, at = inside[hit], at[hit]
@@ -204,7 +204,7 @@ def _parsed(t: Texts, ids: np.ndarray, index: dict[str, np.ndarray], window: int
 
 def _checks(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """32 more bits of hash of the windows that start there."""
-    return (run_hashes(mix(h ^ CHECK), starts, starts + window) >> U64(32)).astype(np.uint32)
+    return (window_hashes(mix(h ^ CHECK), window)[starts] >> U64(32)).astype(np.uint32)
 
 
 def _id_numbers(ids: pa.Array) -> np.ndarray:
@@ -231,7 +231,7 @@ def _passes(docs: DataFrame, window: int, block: int, last, schema: str) -> Data
             some = inside[_among(least[inside], known_keys)]
             if len(some):
                 doc = w.doc[some]
-                found["keys"].append(run_hashes(h, some, some + window))
+                found["keys"].append(window_hashes(h, window)[some])
                 found["checks"].append(_checks(h, some, window))
                 found["ids"].append(_id_numbers(ids)[doc])
                 found["at"].append((some - w.first[:-1][doc]).astype(np.int32))

@@ -2,8 +2,8 @@
 
 Both tokenizers here split at white space before any merge, so a text's ids are its pieces' ids in a row. A
 piece is a word, with the white space before it where the tokenizer keeps white space. Ids of pieces are kept
-in a table of fixed size (a slot per hash; a newer piece takes the slot), so memory stays bounded. Texts with
-white space outside ``[\\x20\\x09-\\x0D]`` are encoded whole.
+in a table of fixed size (a slot per hash; a newer piece takes the slot), so memory stays bounded. The pieces' bytes are
+kept with them, and ids are used again only for a piece with the same length and bytes. Texts with white space outside ``[\\x20\\x09-\\x0D]`` are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import Texts, U64, is_space, run_hashes, words_of
+from .common import Texts, U64, _chunks, chunked_hashes, is_space, words_of
 
 JOINED = 64
 
@@ -51,6 +51,9 @@ class PieceEncoder:
         self.keys, self.at, self.size = np.zeros(slots, U64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.ids, self.used, self.kept_ids = np.zeros(1 << 16, np.uint16 if small else np.uint32), 0, kept_ids
+        # Of the piece in each slot: its length, and where its bytes begin in ``bytes``, eight to a value.
+        self.length, self.bytes_at = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.bytes, self.bytes_used = np.zeros(1 << 16, U64), 0
 
     def _widths(self) -> np.ndarray | None:
         """The number of a text's bytes that each id stands for, where the tokenizer changes no byte; else None."""
@@ -101,6 +104,24 @@ class PieceEncoder:
         self.used += len(new)
         return at, sizes
 
+    def _keep_bytes(self, chunks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep the chunks, and say where each piece's begin."""
+        while self.bytes_used + len(chunks) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.bytes_used : self.bytes_used + len(chunks)] = chunks
+        at = self.bytes_used + np.cumsum(sizes) - sizes
+        self.bytes_used += len(chunks)
+        return at
+
+    def _others(self, length: np.ndarray, kept_length: np.ndarray, chunks: tuple[np.ndarray, np.ndarray, np.ndarray], kept_at: np.ndarray) -> np.ndarray:
+        """Which pieces differ in length or bytes from what is kept for them."""
+        values, first, number = chunks
+        size = np.diff(np.append(first, len(values)))
+        other = length != kept_length
+        unlike = values != self.bytes[np.minimum(np.repeat(kept_at, size) + number, len(self.bytes) - 1)]
+        other[np.repeat(np.arange(len(size)), size)[unlike]] = True
+        return other
+
     def pieces(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the pieces, and where each text's pieces start."""
         w = words_of(t)
@@ -130,20 +151,27 @@ class PieceEncoder:
         """Ids of all texts, each text's with ``end_id`` after them, and where each text's ids start."""
         if self.used > self.kept_ids:
             self.keys[:] = 0
-            self.used = 0
+            self.used = self.bytes_used = 0
         starts, ends, first = self.pieces(t)
-        h = run_hashes(t.data, starts, ends)
+        length = ends - starts
+        values, chunk, number = chunks = _chunks(t.data, starts, ends)
+        h = chunked_hashes(chunks, length)
         slot = (h & self.mask).astype(np.int64)
-        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != h)
+        at, size, kept_length, kept_at = (x[slot].astype(np.int64) for x in (self.at, self.size, self.length, self.bytes_at))
+        miss, raw = np.flatnonzero(self.keys[slot] != h), None
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[where]
-            new_at, new_size = self._store(t.data.tobytes(), starts[one], ends[one])
-            at[miss], size[miss] = new_at[back], new_size[back]
+            one, raw = miss[where], t.data.tobytes()
+            new_at, new_size = self._store(raw, starts[one], ends[one])
+            n = np.diff(np.append(chunk, len(values)))[one]
+            new_bytes = self._keep_bytes(values[np.arange(int(n.sum())) + np.repeat(chunk[one] - np.cumsum(n) + n, n)], n)
+            at[miss], size[miss], kept_length[miss], kept_at[miss] = new_at[back], new_size[back], length[one][back], new_bytes[back]
             into = (new & self.mask).astype(np.int64)
-            self.keys[into], self.at[into], self.size[into] = new, new_at, new_size
-            # Two new pieces may want one slot: numpy keeps the last of each of the three assignments, so they agree.
+            self.keys[into], self.at[into], self.size[into], self.length[into], self.bytes_at[into] = new, new_at, new_size, length[one], new_bytes
+            # Two new pieces may want one slot: numpy keeps the last of each of the assignments, so they agree.
+        other = np.flatnonzero(self._others(length, kept_length, chunks, kept_at))
+        if len(other):  # hashes that clash
+            at[other], size[other] = self._store(raw or t.data.tobytes(), starts[other], ends[other])
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         ids_first = total[first] + np.arange(t.n + 1)

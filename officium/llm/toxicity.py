@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import U64, fold, label_shares, labelled, lower_ascii, mix, run_hashes, slices, text_column
+from .common import U64, fold, label_shares, labelled, lower_ascii, mix, rolling_hashes, slices, text_column
 
 FOLDS, HELD = 3, 1
 POSITIVES, UNLABELLED = 2000, 4000
@@ -41,7 +41,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[edges] = False
     after[edges - 1] = False
     starts, ends = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
-    bucket, at = run_hashes(low, starts, ends), starts
+    bucket, at = rolling_hashes(low, starts, ends), starts
     if len(low) >= GRAM:
         n = len(low) - GRAM + 1
         code = np.where(letter[:n], low[:n], 32).astype(U64)

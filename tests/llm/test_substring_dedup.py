@@ -60,7 +60,8 @@ def test_factors_copy_what_they_cover(spark):
 def test_keys_that_clash_are_told_apart_by_their_checks(spark, monkeypatch):
     """With keys of a few bits most windows clash; the checks still tell them apart."""
     real = substring_dedup.run_hashes
-    monkeypatch.setattr(substring_dedup, "run_hashes", lambda v, a, b: real(v, a, b) & ~substring_dedup.U64((1 << 58) - 1) if len(a) and (b - a == 10).all() and v.dtype == substring_dedup.U64 else real(v, a, b))
+    windows = substring_dedup.window_hashes
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, k: windows(h, k) & ~substring_dedup.U64((1 << 58) - 1) if k == 10 else windows(h, k))
     monkeypatch.setattr(substring_dedup, "_checks", lambda h, starts, window: (real(h, starts, starts + window) >> substring_dedup.U64(20)).astype("uint32"))
     rng = random.Random(1)
     rows = [(i, " ".join(f"w{rng.randint(0, 9)}" if j % 40 > 30 else f"v{j % 40}" for j in range(100))) for i in range(12)]
@@ -68,7 +69,7 @@ def test_keys_that_clash_are_told_apart_by_their_checks(spark, monkeypatch):
     found = {c: [] for c in substring_dedup.PLACES}
     for t, ids in substring_dedup._texts(texts):
         w, h, inside, _ = substring_dedup._measure(t, 10, 4)
-        cols = {"keys": substring_dedup.run_hashes(h, inside, inside + 10), "checks": substring_dedup._checks(h, inside, 10), "ids": substring_dedup._id_numbers(ids)[w.doc[inside]], "at": (inside - w.first[:-1][w.doc[inside]]).astype("int32")}
+        cols = {"keys": substring_dedup.window_hashes(h, 10)[inside], "checks": substring_dedup._checks(h, inside, 10), "ids": substring_dedup._id_numbers(ids)[w.doc[inside]], "at": (inside - w.first[:-1][w.doc[inside]]).astype("int32")}
         table = substring_dedup.pa.table({"chunk": [1], **{c: [x.tobytes()] for c, x in substring_dedup._first_two(cols)[0].items()}})
         index = substring_dedup._unpacked(substring_dedup._indexed((None,), table), substring_dedup.INDEX)
         assert len(set(index["keys"].tolist())) < len(index["keys"])
