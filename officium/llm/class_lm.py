@@ -5,12 +5,14 @@ from each of a few starts, each unit is moved to the class that gives the traini
 likelihood, in turn, until a round moves few. Its units are the end of a text, every word with at least one in
 ``SHARE`` of the training tokens (so at most ``SHARE`` words, at any corpus size), and the shapes of all rarer words. Then
 each rarer word of the training texts gets the class of its own that suits its neighbours best: its counts of
-(word, neighbour's class) are summed by word hash in ``BUCKETS`` buckets and scored against the exchange's class table.
+(word, neighbour's class) are summed by word hash in buckets, whose number follows the slices, and scored against the exchange's
+class table.
 Only words that no training text has are left with the class of their shape. The class bigrams are counted again with
 the classes of all words; the number of classes follows the training tokens.
 
-Texts are cut into words once, in slices that are written down. A slice sends its distinct words to the buckets and gets
-their classes and counts back, so the rows between them follow the slices, not texts times buckets.
+Texts are cut into words once, in slices that are written down. A slice sends its distinct words to the buckets, at most a row
+for each, and gets their classes and counts back, so the rows between them follow the slices, not texts times buckets. The
+driver gets counts of at most 4 * ``SHARE`` words that may be frequent, then pairs of the at most ``SHARE`` that are.
 
 Training rows are those whose crc32(doc_id as text) modulo 5 is not 1. Texts: A-Z lower-cased, words
 ``[^\\x20\\x09-\\x0D]+``, then one end token. Null text counts as empty: the end alone. Repeated rows and repeated or null
@@ -38,7 +40,8 @@ ROUNDS = 8
 STARTS = 3
 SEED = 5
 SHAPES = 16
-BUCKETS = 512
+BUCKETS, PER_BUCKET = 512, 32  # at least so many buckets; slices a bucket, beyond that
+KEPT = 1_000_000  # words a task counts at once
 SLICE = 2 << 20  # bytes of text; a slice sends each bucket a row
 BLOCK = 16_384  # words whose neighbours are counted at once
 _SALT = U64(0x5851F42D4C957F2D)
@@ -50,7 +53,7 @@ def held_out(doc_id) -> bool:
 
 @dataclass
 class Slice:
-    """A slice of texts as words: distinct keys in the order of their buckets, and each token's place among them."""
+    """A slice of texts as words: distinct keys in the order of ``dealt``, and each token's place among them."""
 
     slice: int
     ids: list
@@ -72,8 +75,18 @@ class Slice:
 _SLICE = "slice long, ids array<long>, trains binary, first binary, keys binary, at binary"
 
 
-def bucket_of(key: np.ndarray) -> np.ndarray:
-    return (mix(key ^ _SALT) % U64(BUCKETS)).astype(np.int64)
+def dealt(key: np.ndarray) -> np.ndarray:
+    """The number by which words are dealt to buckets: ranges of it, whatever the number of buckets."""
+    return mix(key ^ _SALT)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((dealt(key) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def buckets_for(slices: int) -> int:
+    """At most ``PER_BUCKET`` slices' worth of words in each bucket."""
+    return max(BUCKETS, -(-slices // PER_BUCKET))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +99,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = ids[t.lo : t.lo + t.n]
             key = (run_hashes(t.data, w.starts, w.ends) & ~U64(SHAPES - 1)) | shapes(t, w).astype(U64)
             keys, at = np.unique(key, return_inverse=True)
-            order = np.argsort(bucket_of(keys), kind="stable")
+            order = np.argsort(dealt(keys))
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             trains = np.array([not held_out(i) for i in own], bool)
@@ -113,22 +126,29 @@ def shapes(t: Texts, w: Words) -> np.ndarray:
     return band * 4 + ((odd[w.ends] - odd[w.starts]) > 0) * 2 + (~letter[w.ends - 1] if len(size) else np.zeros(0, bool))
 
 
+def _trimmed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts less the first one beyond the ``most`` largest, those above nought kept (a summary as of Misra and Gries).
+
+    Each time, more than ``most`` words lose as much as any word does. So in all no word loses more than one in ``most`` of the
+    tokens that were counted, in whatever order they came.
+    """
+    cut = np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+    return keys[counts > cut], counts[counts > cut] - cut
+
+
 def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with at least one in 2*SHARE of this task's training tokens, and (hash 0) the number of those tokens."""
-    keys, counts, total, since = np.zeros(0, U64), np.zeros(0, np.int64), 0, 0
+    """Words that may have one in 2*SHARE of this task's training tokens, and (hash 0) the number of those tokens."""
+    keys, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
     for batch in batches:
         for s in _slices(batch):
             n = s.n
             k, n = s.keys[n > 0], n[n > 0]
             total += int(n.sum())
-            since += int(n.sum())
             keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
             counts = np.bincount(back, weights=np.concatenate([counts, n])).astype(np.int64)
-            if len(keys) > 1_000_000:  # lossy counting: what is dropped stays below half the share asked for
-                keep = counts * 4 * SHARE >= since
-                if keep.sum() < len(keys) // 2:
-                    keys, counts = keys[keep], counts[keep]
-    keep = counts * 2 * SHARE >= total
+            if len(keys) > KEPT:
+                keys, counts = _trimmed(keys, counts, KEPT)
+    keep = (counts + total // KEPT) * 2 * SHARE >= total
     keys, counts = np.append(keys[keep], U64(0)), np.append(counts[keep], total)
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
@@ -136,8 +156,8 @@ def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def candidates(sliced: DataFrame) -> np.ndarray:
     """A superset, at most 4*SHARE hashes, of the words with one in SHARE of the training tokens.
 
-    A word with that share overall has at least half of its tokens in tasks where it has half the share, so the counts
-    that the tasks report for it add up to half the share at least.
+    A word with that share overall has at least half of its tokens in tasks where it has half the share, and those report it,
+    with at most one in ``KEPT`` of their tokens missing. So the counts reported for it add up to a quarter of the share at least.
     """
     seen = stage(sliced.mapInArrow(_frequent_here, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     total = seen.where("word = 0").agg(F.sum("n")).first()[0] or 0
@@ -145,6 +165,31 @@ def candidates(sliced: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in found], np.int64).view(U64))
 
 
+def _counts(maybe: np.ndarray):
+    """How often this task's training texts have each of the words, and (hash 0) the number of their tokens and ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(len(maybe), np.int64), 0
+        for batch in batches:
+            for s in _slices(batch):
+                n = s.n
+                total += int(n.sum() + s.trains.sum())
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(maybe, s.keys), len(maybe) - 1)
+                    same = maybe[at] == s.keys
+                    np.add.at(count, at[same], n[same])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(maybe[count > 0], U64(0)).view(np.int64)), pa.array(np.append(count[count > 0], total))], names=["word", "n"])
+
+    return run
+
+
+def frequent_words(sliced: DataFrame) -> np.ndarray:
+    """The words with at least one in SHARE of the training tokens, ends among these: at most SHARE, by exact counts."""
+    counted = sliced.mapInArrow(_counts(candidates(sliced)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in counted if r["word"] == 0)
+    return np.sort(np.array([r["word"] for r in counted if r["word"] and r["n"] * SHARE >= total], np.int64).view(U64))
+
+
 def units_of(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     """0: the end, 1..16: shapes, then the frequent words."""
     unit = 1 + (h & U64(SHAPES - 1)).astype(np.int64)
@@ -260,7 +305,7 @@ def _climb(pairs: np.ndarray, of: np.ndarray, order: np.ndarray, classes: int, r
     return float(xlog(table).sum() - xlog(table.sum(axis=1)).sum() - xlog(table.sum(axis=0)).sum())
 
 
-def _neighbours(frequent: np.ndarray, of: np.ndarray, classes: int):
+def _neighbours(frequent: np.ndarray, of: np.ndarray, classes: int, buckets: int):
     """Rows for the buckets: of each slice and bucket the words, and for rarer ones the classes beside them.
 
     A place's column is the class before it, or ``classes`` and the class after it.
@@ -280,7 +325,7 @@ def _neighbours(frequent: np.ndarray, of: np.ndarray, classes: int):
                 code, times = np.unique(np.concatenate([code + before[used], code + classes + after[used]]), return_counts=True)
                 key, col = code // (2 * classes), (code % (2 * classes)).astype(np.uint16)
                 several = np.bincount(key, minlength=len(s.keys)).astype(np.uint16)
-                bucket = bucket_of(s.keys)
+                bucket = bucket_of(s.keys, buckets)
                 some = np.unique(bucket)
                 cut = np.append(np.searchsorted(bucket, some), len(bucket))
                 at = np.searchsorted(key, cut)
@@ -393,20 +438,13 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_perplexity for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sliced = stage(docs.mapInArrow(_sliced, _SLICE), "slices")
-    maybe = candidates(sliced)
-    width = 1 + SHAPES + len(maybe)
-    a, b, n = _summed(sliced.mapInArrow(_bigrams(maybe), "a long, b long, n long"))  # at most (4*SHARE + 17)**2, in practice few
-    count = np.bincount(b, weights=n, minlength=width)
-    total = float(count.sum())
-    # Only now are the counts exact: candidates below the share go back to their shapes.
-    stays = count[1 + SHAPES :] * SHARE >= total
-    frequent = maybe[stays]
-    new = np.concatenate([np.arange(1 + SHAPES), 1 + (maybe & U64(SHAPES - 1)).astype(np.int64)])
-    new[1 + SHAPES :][stays] = 1 + SHAPES + np.arange(len(frequent))
+    frequent = frequent_words(sliced)
     width = 1 + SHAPES + len(frequent)
+    a, b, n = _summed(sliced.mapInArrow(_bigrams(frequent), "a long, b long, n long"))  # at most (SHARE + 17)**2, in practice few
     pairs = np.zeros((width, width))
-    np.add.at(pairs, (new[a], new[b]), n)
+    pairs[a, b] = n
     count = pairs.sum(axis=0)
+    total = float(count.sum())
     ends = int(count[0])
     classes = classes_for(total, width)
     of = exchange(pairs, classes)
@@ -414,7 +452,8 @@ def score(docs: DataFrame) -> DataFrame:
     onehot[np.arange(width), of] = 1
     suit = suits(onehot.T @ pairs @ onehot)
 
-    asked = sliced.mapInArrow(_neighbours(frequent, of, classes), "bucket long, slice long, keys binary, n binary, several binary, cols binary, times binary")
+    buckets = buckets_for(sliced.count())
+    asked = sliced.mapInArrow(_neighbours(frequent, of, classes, buckets), "bucket long, slice long, keys binary, n binary, several binary, cols binary, times binary")
     answers = stage(asked.groupBy("bucket").applyInArrow(_classed(frequent, of, suit), "bucket long, slice long, classes binary, counts binary, vocabulary array<long>"), "answers")
     vocabulary = np.zeros(classes)
     vocabulary[0] = ends > 0
