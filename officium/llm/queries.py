@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, substring_dedup, toxicity
+from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, substring_dedup, toxicity, turn_repair
 
 QUERIES = {
     "op1_content_store": content_store.op1_content_store,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lz_substrings": substring_dedup.op8_lz_substrings,
     "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
 }
 
 ORACLE_SQL = {"op3_block_naming": exact_dedup.OP3_SQL}
