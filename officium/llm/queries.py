@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, substring_dedup, toxicity, turn_repair
+from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, spelling, substring_dedup, toxicity, turn_repair
 
 QUERIES = {
     "op1_content_store": content_store.op1_content_store,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
     "op10_mixing": mixing.op10_mixing,
     "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_spelling": spelling.op12_spelling,
 }
 
 ORACLE_SQL = {"op3_block_naming": exact_dedup.OP3_SQL}
