@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, spelling, substring_dedup, toxicity, turn_repair
+from . import class_lm, content_store, exact_dedup, line_crf, mixing, near_dedup, packing, quality_knn, spelling, substring_dedup, topk_search, toxicity, turn_repair
 
 QUERIES = {
     "op1_content_store": content_store.op1_content_store,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_spelling": spelling.op12_spelling,
+    "op13_topk": topk_search.op13_topk,
 }
 
-ORACLE_SQL = {"op3_block_naming": exact_dedup.OP3_SQL}
+ORACLE_SQL = {"op3_block_naming": exact_dedup.OP3_SQL, "op13_topk": topk_search.OP13_SQL}
