@@ -118,6 +118,7 @@ def normalize_department(raw: Column, level: Column) -> Column:
 
 
 RETIRES, CONFIRMS = "退休|离休|到龄", "试用期(?:已?满|期满)?.*转正|转正任职|期满转正"
+MOVES, RISES = "调任|交流|挂职|兼任", "提任|晋升|提拔"
 
 
 def leaves_post(action: Column, *texts: Column) -> Column:
@@ -130,6 +131,13 @@ def leaves_post(action: Column, *texts: Column) -> Column:
     return blob.rlike(RETIRES) | (~blob.rlike(CONFIRMS) & ((act == "dismiss") | F.substring(blob, 1, 20).contains("免去")))
 
 
+def takes_post(action: Column, *texts: Column) -> Column:
+    """Whether a change gives a post: neither a leave nor of an unknown type."""
+    blob = F.concat(*[F.coalesce(t, F.lit("")) for t in texts])
+    act = F.lower(F.trim(F.coalesce(action, F.lit(""))))
+    return ~leaves_post(action, *texts) & ((act == "appoint") | blob.rlike(f"{CONFIRMS}|{MOVES}|{RISES}"))
+
+
 def classify_change(action: Column, title: Column, dept: Column, notice_title: Column, clause: Column, prev_title: Column, prev_dept: Column) -> Column:
     """retire, probation_confirm, dismiss, transfer, promote, appoint or unknown; the order of the tests counts."""
     text = lambda c: F.coalesce(c, F.lit(""))
@@ -141,8 +149,8 @@ def classify_change(action: Column, title: Column, dept: Column, notice_title: C
         (blob.rlike(RETIRES), "retire"),
         (blob.rlike(CONFIRMS), "probation_confirm"),
         ((act == "dismiss") | F.substring(blob, 1, 20).contains("免去"), "dismiss"),
-        (blob.rlike("调任|交流|挂职|兼任"), "transfer"),
-        (blob.rlike("提任|晋升|提拔"), "promote"),
+        (blob.rlike(MOVES), "transfer"),
+        (blob.rlike(RISES), "promote"),
         (known & (ladder(title) > ladder(prev_title)), "promote"),
         (known & (prev != "") & (cur != "") & (prev != cur), "transfer"),
         (known & (prev_title != text(title)) & (cur != "") & (prev == cur), "promote"),

@@ -10,18 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.titles import leaves_post, title_sort_rank
+from ..functions.titles import leaves_post, normalize_title, takes_post, title_sort_rank
 
 PERSON = ["bureau", "person"]
 POST = ["bureau", "dept", "title"]
 
 
+def title_name(title: Column) -> Column:
+    return F.coalesce(normalize_title(title)["canonical"], title)
+
+
 def is_leave(events: DataFrame) -> Column:
     """Whether a row ends a post: its change type is retire or dismiss, which no earlier row decides."""
     text = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
     return leaves_post(F.col("action"), text("notice_title"), text("clause"), text("title"), text("dept"))
 
 
+def is_appointment(events: DataFrame) -> Column:
+    """Whether a row gives a post; rows of an unknown type neither give nor end one."""
+    text = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    return takes_post(F.col("action"), text("notice_title"), text("clause"), text("title"), text("dept"))
+
+
 def with_previous(events: DataFrame) -> DataFrame:
     """The title and department of the person's last event that was no leave."""
     before = Window.partitionBy(*PERSON).orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,25 +62,55 @@ def _first_leave(rows: DataFrame, after: bool) -> DataFrame:
 
 def spans(events: DataFrame) -> DataFrame:
     """Appointments with ended_on: the day of the first later leave that closes them."""
-    rows = events.withColumns({"n": F.row_number().over(Window.partitionBy(*PERSON).orderBy("day", "id")), "leave": is_leave(events)})
-    return _first_leave(rows, True).where("NOT leave").select(*PERSON, "id", "title", "dept", F.col("day").alias("started_on"), F.col("end.day").alias("ended_on"))
+    rows = events.withColumns({"n": F.row_number().over(Window.partitionBy(*PERSON).orderBy("day", "id")), "leave": is_leave(events), "takes": is_appointment(events)})
+    return _first_leave(rows, True).where("takes").select(*PERSON, "id", "title", "dept", F.col("day").alias("started_on"), F.col("end.day").alias("ended_on"))
 
 
 def shown(events: DataFrame) -> DataFrame:
     """Events with n, their place in a person's history as it is shown: newest day first, on a day the highest title."""
     order = Window.partitionBy(*PERSON).orderBy(F.col("day").desc(), title_sort_rank(F.col("title")), F.col("id").desc())
-    return events.withColumns({"n": F.row_number().over(order), "leave": is_leave(events)})
+    return events.withColumns({"n": F.row_number().over(order), "leave": is_leave(events), "takes": is_appointment(events)})
 
 
 def current_posts(events: DataFrame) -> DataFrame:
     """Per person the first appointment as shown that no newer leave closes."""
-    open_ = _first_leave(shown(events), False).where("NOT leave AND end IS NULL")
+    open_ = _first_leave(shown(events), False).where("takes AND end IS NULL")
     return open_.groupBy(*PERSON).agg(F.min_by(F.struct("title", "dept", "day"), "n").alias("p")).select(*PERSON, "p.title", "p.dept", F.col("p.day").alias("since"))
 
 
 def newest_is_leave(events: DataFrame) -> DataFrame:
-    """Per person whether the first row as shown is a leave."""
-    return shown(events).groupBy(*PERSON).agg(F.min_by("leave", "n").alias("newest_is_leave"))
+    """Per person whether the first row as shown, but for those of unknown types, is a leave."""
+    first = F.min_by("leave", F.when(F.col("leave") | F.col("takes"), F.col("n")))
+    return shown(events).groupBy(*PERSON).agg(F.coalesce(first, F.lit(False)).alias("newest_is_leave"))
+
+
+HEAD_OFFICE = ("国家税务总局", "总局")
+
+
+def people_now(events: DataFrame, duties: DataFrame, head: str | int = "sta") -> DataFrame:
+    """Per person with an event or a duty: title, dept, departments, is_current, since, gender, by events and leaders' pages.
+
+    The first open appointment as shown counts, unless the person's newest duty has a title and the appointment's unit is bare (the head
+    office, in a bureau that isn't the head office itself). Then, and where no appointment is open, the duty counts; it is current if
+    no leave is newer than the newest open appointment, or, without one, none is there that counts. Who has neither is not current. duties: id, bureau,
+    person, title, departments (array); gender if there is one. events: unit if there is one.
+    """
+    leader = F.struct(*[F.col(c) if c in duties.columns else F.lit(None).cast("string").alias(c) for c in ("title", "departments", "gender")])
+    led = duties.groupBy(*PERSON).agg(F.max_by(leader, "id").alias("leader"))
+    unit = F.col("unit") if "unit" in events.columns else F.lit("")
+    rows = _first_leave(shown(events.withColumn("_unit", F.trim(F.coalesce(unit, F.lit(""))))), False)
+    open_ = F.when(F.col("takes") & F.col("end").isNull(), F.col("n"))
+    rows = rows.groupBy(*PERSON).agg(
+        F.min_by(F.struct("title", "dept", "day", "_unit"), open_).alias("post"), F.min(open_).alias("_open"), F.min(F.when(F.col("leave"), F.col("n"))).alias("_leave"))
+    rows = rows.join(led, PERSON, "full")
+    bare = F.col("post._unit").isin(*HEAD_OFFICE) & (F.col("bureau").cast("string") != str(head)) & (F.coalesce("leader.title", F.lit("")) != "")
+    by_post = F.col("post").isNotNull() & ~F.coalesce(bare, F.lit(False))
+    left = F.coalesce(F.col("_leave").isNotNull() & (F.col("_open").isNull() | (F.col("_leave") < F.col("_open"))), F.lit(False))
+    title = F.when(by_post, F.coalesce(F.nullif("post.title", F.lit("")), F.col("leader.title"))).otherwise(F.col("leader.title"))
+    first = F.try_element_at("leader.departments", F.lit(1))
+    return rows.select(
+        *PERSON, title_name(title).alias("title"), F.when(by_post, F.coalesce(F.nullif("post.dept", F.lit("")), first)).otherwise(first).alias("dept"), F.coalesce("leader.departments", F.array().cast("array<string>")).alias("departments"),
+        (by_post | (F.col("leader").isNotNull() & ~left)).alias("is_current"), F.when(by_post, F.col("post.day")).alias("since"), F.col("leader.gender").alias("gender"))
 
 
 def tenures(events: DataFrame, several: Column) -> DataFrame:
