@@ -64,6 +64,30 @@ def since(matches: DataFrame, cursors: DataFrame) -> DataFrame:
     return rows.drop("_user", "_last")
 
 
+def add_watches(watches: DataFrame, new: DataFrame) -> DataFrame:
+    """Watches (user, kind, target, label) with new ones: one that is there stays once and takes the new label if there is one."""
+    keys = ["user", "kind", "target"]
+    new = new.groupBy(*keys).agg(F.max("label").alias("_new"))
+    return watches.join(new, keys, "full").select(*keys, F.coalesce("_new", "label").alias("label"))
+
+
+def remove_watches(watches: DataFrame, gone: DataFrame) -> DataFrame:
+    return watches.join(gone, ["user", "kind", "target"], "left_anti")
+
+
+def seed(cursors: DataFrame, watches: DataFrame, newest: int | DataFrame) -> DataFrame:
+    """Cursors (user, last_id) with one for each user of watches who has none: at the greatest id so far.
+
+    newest: that id, or the events with their id. A user's further watches leave the cursor where it is.
+    """
+    users = watches.select("user").distinct().join(cursors.select("user"), "user", "left_anti")
+    if isinstance(newest, DataFrame):
+        rows = users.withColumn("_one", F.lit(1)).join(F.broadcast(newest.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).withColumn("_one", F.lit(1))), "_one")  # one row
+    else:
+        rows = users.withColumn("last_id", F.lit(newest).cast(cursors.schema["last_id"].dataType))
+    return cursors.unionByName(rows.select("user", "last_id"))
+
+
 def new_heads(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     """Each bureau's rows, newest first, above its baseline (bureau, last_day, last_id); all of a bureau without one."""
     rows = rows.join(F.broadcast(baseline), "bureau", "left")

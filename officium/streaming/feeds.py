@@ -9,7 +9,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.urls import canonical_url
-from ..operators.tables import match_watches, merge, since
+from ..operators import history
+from ..operators.tables import match_watches, merge, seed, since
+from .buckets import Buckets, folder_of
 
 
 def new_notices(landed: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -17,19 +19,6 @@ def new_notices(landed: DataFrame, delay: str = "30 days") -> DataFrame:
     return landed.withColumn("key", canonical_url(F.col("url"))).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-def merge_batches(spark: SparkSession, updates: DataFrame, table: str, keys: list[str], checkpoint: str, longest: tuple[str, ...] = ()):
-    """Upserts a stream into versioned Parquet folders below ``table``: a batch writes the next version whole.
-
-    A batch that runs again writes the same version again, so a restart changes nothing. Returns the running query.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{table}/v={number}") if number else batch.limit(0)
-        merge(old, batch.dropDuplicates(keys), keys, longest).drop("state").write.mode("overwrite").parquet(f"{table}/v={number + 1}")
-
-    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def daily_changes(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Numbers of events per day and kind of a stream: ts, kind."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "kind", "n")
@@ -38,59 +27,52 @@ def daily_changes(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def merge_touched(spark: SparkSession, updates: DataFrame, table: str, keys: list[str], checkpoint: str, longest: tuple[str, ...] = (), buckets: int = 64):
     """Upserts a stream into a table dealt into buckets by key: a batch rewrites only the buckets that its keys touch.
 
-    A bucket's rows lie in ``bucket=b/v=n``, n being one more than the batch that wrote them; the newest counts (``latest``).
-    A batch reads what stood before it, so one that runs again writes the same, and a bucket's versions before the one it
-    read are deleted then: of each bucket at most two stay. Returns the running query.
+    Returns the running query; ``latest`` reads the table.
     """
-    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
+    table_ = Buckets(spark, table, keys, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates(keys).withColumn("bucket", bucket).persist()
+        batch = batch.dropDuplicates(keys).persist()
         try:
-            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most `buckets`
-            if not touched:
-                return
-            path, fs = _folder(spark, table)
-            versions = _versions(spark, table, number) if fs.exists(path) else {}
-            old = _read(spark, table, {b: versions[b] for b in touched if b in versions}, batch.drop("bucket"))
-            rows = merge(old, batch.drop("bucket"), keys, longest).drop("state").withColumns({"bucket": bucket, "v": F.lit(number + 1)})
-            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(table)
-            for b in touched:
-                for status in fs.listStatus(_folder(spark, f"{table}/bucket={b}")[0]):
-                    v = int(status.getPath().getName().split("=")[1])
-                    if v < versions.get(b, 0):
-                        fs.delete(status.getPath(), True)
+            touched = table_.touched(batch)
+            old = table_.read(batch.schema, number, touched)
+            table_.write(merge(old, batch, keys, longest).drop("state"), number, touched)
         finally:
             batch.unpersist()
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, where: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
+def latest(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """The rows of a table of buckets as they are now."""
+    return Buckets(spark, table, []).read(schema)
 
-def _versions(spark: SparkSession, table: str, upto: int | None = None) -> dict[int, int]:
-    """The newest version of each bucket, of those that batches before ``upto`` wrote. Folders are listed, not rows."""
-    path, fs = _folder(spark, table)
-    out: dict[int, int] = {}
-    for status in fs.globStatus(_folder(spark, f"{table}/bucket=*/v=*")[0]) or []:
-        b, v = (int(p.getName().split("=")[1]) for p in (status.getPath().getParent(), status.getPath()))
-        if upto is None or v <= upto:
-            out[b] = max(v, out.get(b, 0))
-    return out
 
+def recompute_touched(spark: SparkSession, updates: DataFrame, duties: DataFrame, folder: str, checkpoint: str, head: str | int = "sta", buckets: int = 64):
+    """Keeps people's current posts up to date with a stream of events: id, bureau, person, action, title, dept, day (and unit).
 
-def _read(spark: SparkSession, table: str, versions: dict[int, int], like: DataFrame) -> DataFrame:
-    if not versions:
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(*[f"{table}/bucket={b}/v={v}" for b, v in sorted(versions.items())])
+    Events lie in ``folder/events``, people in ``folder/people``, both dealt into buckets by person. A batch brings its
+    events in by id (a changed one replaces the stored one), reads the buckets of the people it names, works out these
+    people from all their events and their duties, and rewrites those buckets alone. A batch that runs again gives the same. Returns the running
+    query; ``latest`` reads both tables.
+    """
+    events, people = Buckets(spark, f"{folder}/events", history.PERSON, buckets), Buckets(spark, f"{folder}/people", history.PERSON, buckets)
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.dropDuplicates(["id"]).persist()
+        try:
+            touched = events.touched(batch)
+            stored = events.read(batch.schema, number, touched)
+            events.write(stored.join(batch.select("id"), "id", "left_anti").select(*batch.columns).unionByName(batch), number, touched)
+            names = batch.select(*history.PERSON).distinct()
+            known = events.read(batch.schema, number + 1, touched).join(names, history.PERSON, "left_semi")
+            now = history.people_now(known, duties.join(names, history.PERSON, "left_semi"), head)
+            before = people.read(now.schema, number, touched)
+            people.write(before.join(names, history.PERSON, "left_anti").select(*now.columns).unionByName(now), number, touched)
+        finally:
+            batch.unpersist()
 
-def latest(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
-    """The rows of a table of merge_touched as they are now."""
-    return _read(spark, table, _versions(spark, table), spark.createDataFrame([], schema))
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def new_heads(items: DataFrame) -> DataFrame:
@@ -120,17 +102,22 @@ def new_heads(items: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, events: DataFrame, watches: DataFrame, folder: str, checkpoint: str):
     """A digest for each user and batch of a stream of events: user, n, first_id, last_id, below ``folder/digests``.
 
-    A user's cursor is the id of their last matched event; what is not beyond it is not told again. A batch reads the cursors
-    that the one before left and writes the next, so one that runs again gives the same. watches as in match_watches.
+    A user's cursor is the id of their last matched event; what is not beyond it is not told again. A watch that is new
+    begins at the greatest id of the batches before, so that old events aren't told, whenever they come. A batch reads the cursors
+    that the one before left and writes the next, so one that runs again gives the same; older ones are deleted. watches as in match_watches.
     """
 
     def send(batch: DataFrame, number: int) -> None:
         empty = spark.createDataFrame([], StructType([watches.schema["user"], batch.schema["id"]])).withColumnRenamed("id", "last_id")
-        cursors = spark.read.parquet(f"{folder}/cursors/v={number}") if number else empty
+        stored = spark.read.schema(empty.schema).parquet(f"{folder}/cursors/v={number}") if number else empty
+        cursors = seed(stored.where("user IS NOT NULL"), watches, stored.where("user IS NULL").agg(F.max("last_id")).first()[0] or 0)
         fresh = since(match_watches(batch, watches), cursors).groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         fresh.write.mode("overwrite").parquet(f"{folder}/digests/batch={number}")
         told = spark.read.schema(fresh.schema).parquet(f"{folder}/digests/batch={number}")
+        newest = stored.where("user IS NULL").select("last_id").union(batch.select("id")).agg(F.max("last_id").alias("last_id"))  # the row without a user: the greatest id of all
         rows = cursors.unionByName(told.select("user", "last_id")).groupBy("user").agg(F.max("last_id").alias("last_id"))
-        rows.write.mode("overwrite").parquet(f"{folder}/cursors/v={number + 1}")
+        rows.unionByName(newest.select(F.lit(None).cast(watches.schema["user"].dataType).alias("user"), "last_id")).write.mode("overwrite").parquet(f"{folder}/cursors/v={number + 1}")
+        path, fs = folder_of(spark, f"{folder}/cursors/v={number - 1}")
+        fs.delete(path, True)
 
     return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,7 @@
 
 from pathlib import Path
 
-from officium.operators import extract
+from officium.operators import extract, history
 from officium.sources import notices
 from officium.streaming import feeds
 
@@ -58,3 +58,37 @@ def test_digests_tell_each_event_once(spark, tmp_path):
         feeds.digests(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), watches, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         got.append(sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"out/digests/batch={i}")).collect()))
     assert got == [[("u", 1, 1, 1), ("v", 1, 2, 2)], [("u", 1, 3, 3)], []]
+
+
+def test_a_later_watch_is_not_told_old_events(spark, tmp_path):
+    schema = "id long, bureau string, person string, dept string, title string"
+    shape = "user string, kind string, bureau string, person string, dept string, title string"
+    first, both = [("u", "bureau", "a", None, None, None)], [("u", "bureau", "a", None, None, None), ("v", "bureau", "a", None, None, None)]
+    batches = [([(5, "a", "x", "", "")], first), ([(3, "a", "x", "", ""), (6, "a", "x", "", "")], both), ([(4, "a", "x", "", ""), (7, "a", "y", "", "")], both)]
+    got = []
+    for i, (rows, watches) in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feeds.digests(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), spark.createDataFrame(watches, shape), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got.append(sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"out/digests/batch={i}")).collect()))
+    assert got == [[("u", 1, 5, 5)], [("u", 1, 6, 6), ("v", 1, 6, 6)], [("u", 1, 7, 7), ("v", 1, 7, 7)]]
+    assert sorted(p.name for p in (tmp_path / "out/cursors").glob("v=*")) == ["v=2", "v=3"]
+
+
+def test_people_follow_their_events_bucket_by_bucket(spark, tmp_path):
+    """Only the buckets of people whom a batch names are rewritten, and the table is what a full rebuild gives."""
+    schema = "id long, bureau string, person string, action string, title string, dept string, day string, unit string"
+    duties = spark.createDataFrame([(1, "b", "王九", "局长", ["征管处"], "男"), (2, "a", "王三", "副局长", [], None)], "id long, bureau string, person string, title string, departments array<string>, gender string")
+    row = lambda i, p, action, title, day: (i, "ab"[p % 2], f"王{'一二三四五六七八九'[p]}", action, title, "法制科", day, "国家税务总局" if p == 8 else "")
+    batches = [[row(i, i % 9, "appoint", "科长", f"2020-01-{i + 1:02}") for i in range(18)], [row(30, 2, "dismiss", "科长", "2021-01-01"), row(31, 4, "appoint", "处长", "2021-02-01")], [row(31, 4, "dismiss", "科长", "2021-02-01"), row(5, 5, "appoint", "局长", "2022-01-01")]]
+    events, folder = {}, tmp_path / "people"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        before = {p for p in folder.glob("*/bucket=*/v=*")}
+        feeds.recompute_touched(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), duties, str(folder), str(tmp_path / "cp"), buckets=32).awaitTermination(120)
+        made = {p for p in folder.glob("people/bucket=*/v=*")} - before
+        assert len(made) <= len({(r[1], r[2]) for r in rows})
+        events |= {r[0]: r for r in rows}
+    whole = history.people_now(spark.createDataFrame(list(events.values()), schema), duties)
+    got = feeds.latest(spark, str(folder / "people"), whole.schema).collect()
+    named = {(r[1], r[2]) for r in events.values()}
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in whole.collect() if (r["bureau"], r["person"]) in named) and len(got) == len(named)
