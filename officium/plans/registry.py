@@ -26,13 +26,13 @@ def query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import facades, pages, places, profiles, repairs  # noqa: F401  (add their queries)
+    from . import facades, pages, places, profiles, repairs, scanning  # noqa: F401  (add their queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import facades, pages, places, profiles, repairs  # noqa: F401
+    from . import facades, pages, places, profiles, repairs, scanning  # noqa: F401
 
     return dict(_SQL)
 

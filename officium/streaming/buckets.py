@@ -54,7 +54,9 @@ class Buckets:
         rows = rows.withColumns({"bucket": self._bucket(), "v": F.lit(number + 1)})
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(self.table)
         for b in touched:
-            where, fs = folder_of(self.spark, f"{self.table}/bucket={b}")
-            for status in fs.listStatus(where) if fs.exists(where) else []:
+            made, fs = folder_of(self.spark, f"{self.table}/bucket={b}/v={number + 1}")
+            fs.mkdirs(made)  # a bucket that is empty now
+            where = made.getParent()
+            for status in fs.listStatus(where):
                 if int(status.getPath().getName().split("=")[1]) < before.get(b, 0):
                     fs.delete(status.getPath(), True)
