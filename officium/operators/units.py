@@ -175,3 +175,13 @@ def profile_history(events: DataFrame) -> DataFrame:
     rows = rows.join(closed, "id", "left")
     first = F.min(F.when(F.col("open"), F.col("n"))).over(Window.partitionBy(*history.PERSON))
     return rows.withColumn("current", F.coalesce(F.col("n") == first, F.lit(False))).drop("open")
+
+
+def tree(links: DataFrame) -> DataFrame:
+    """root, path, depth and code of units (code, parent, name); one without a parent, or whose parent isn't there, is a root.
+
+    Units on a circle have no root, and no row.
+    """
+    return links.sparkSession.sql("""WITH RECURSIVE tops AS (SELECT l.code, l.name FROM {links} l LEFT ANTI JOIN {links} p ON p.code = l.parent),
+    t(code, root, path, depth) AS (SELECT code, name, name, 0 FROM tops UNION ALL SELECT l.code, t.root, concat(t.path, ' / ', l.name), t.depth + 1 FROM t JOIN {links} l ON l.parent = t.code)
+    SELECT code, root, path, depth FROM t""", links=links)

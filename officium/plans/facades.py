@@ -42,6 +42,16 @@ def notice_events_extracted(spark, d):
     return extract.appointment_events(notices).drop("clause")
 
 
+@query(f"""WITH {ZH} SELECT id AS notice_id, person, action, CASE WHEN action = 'appoint' THEN '甲市税务局' ELSE '乙区税务局' END AS unit, CASE WHEN title = '科员' THEN dept || title ELSE dept END AS dept, CASE WHEN title <> '科员' THEN title END AS title FROM zh""")
+def notice_events_of_all(spark, d):
+    """The same of all events: 科员 is no known title, so it stays at the end of the department, and the event has none."""
+    ev = zh_events(spark, d)
+    named = F.concat(F.lit("经研究决定：任命"), "person", F.lit("为甲市税务局"), "dept", "title", F.lit("；"))
+    left = F.concat(F.lit("经研究决定：免去"), "person", F.lit("同志的乙区税务局"), "dept", "title", F.lit("职务。"))
+    notices = ev.select(F.col("id").alias("notice_id"), F.when(F.col("action") == "appoint", named).otherwise(left).alias("text"))
+    return extract.appointment_events(notices).select("notice_id", "person", "action", "unit", "dept", "title")
+
+
 # ---------------------------------------------------------------- changes and people
 _LADDER = "CASE {} WHEN '局长' THEN 10 WHEN '副局长' THEN 10 WHEN '处长' THEN 6 WHEN '科长' THEN 2 WHEN '科员' THEN 0 END"
 _CHANGES = f"""{ZH}, p AS (SELECT *, last_value(CASE WHEN action <> 'dismiss' THEN title END IGNORE NULLS) OVER w AS prev_title, last_value(CASE WHEN action <> 'dismiss' THEN dept END IGNORE NULLS) OVER w AS prev_dept FROM zh
@@ -154,6 +164,15 @@ def event_conflicts(spark, d):
     return repair.conflicts(zh_events(spark, d).withColumn("day", F.substring("day", 1, 7)))
 
 
+@query(f"""WITH {ZH} SELECT bureau, person, day, min(id) AS first_id, count(*) AS n FROM (SELECT bureau, person, substr(day, 1, 7) || '-01' AS day, id, action, title, dept FROM zh) GROUP BY 1, 2, 3
+HAVING bool_or(action = 'appoint') AND bool_or(action = 'dismiss') AND count(DISTINCT (title, dept)) <= 2""")
+def event_conflicts_on_days(spark, d):
+    """Events of a month on its first day, with times after some days, and some without a day."""
+    day = F.concat(F.substring("day", 1, 7), F.lit("-01"), F.when(F.col("id") % 2 == 0, " 08:00").otherwise(""))
+    rows = zh_events(spark, d).withColumn("day", day)
+    return repair.conflicts(rows.unionByName(rows.withColumn("day", F.when(F.col("id") % 2 == 0, ""))))
+
+
 @query(f"""WITH {ZH}, s AS (SELECT id, bureau, person, action, dept, title, substr(day, 1, 4) AS day, CASE WHEN id % 4 = 1 THEN 'unit' || id % 8 ELSE ' ' END AS unit, repeat('x', CAST(id % 9 AS INTEGER)) AS clause FROM zh),
 n AS (SELECT *, row_number() OVER (k ORDER BY trim(unit) <> '' DESC, length(clause) DESC, id) AS n, arg_min(CASE WHEN trim(unit) <> '' THEN unit END, CASE WHEN trim(unit) <> '' THEN id END) OVER (k) AS first_unit FROM s WINDOW k AS (PARTITION BY bureau, person, action, dept, title, day))
 SELECT id, bureau, person, action, dept, title, day, CASE WHEN trim(unit) <> '' THEN unit ELSE first_unit END AS unit, clause FROM n WHERE n = 1""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import titles, urls
-from ..operators import history, tables
+from ..operators import history, tables, units
 from ..sources import notices
 from .bindings import EV, appointments, table
 
@@ -419,12 +419,18 @@ def due_sites(spark, d):
 
 @query("SELECT r_name AS root, r_name || ' / ' || n_name AS path, 1 AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name, 0 FROM region")
 def region_tree(spark, d):
-    region, nation = table(spark, d, "region"), table(spark, d, "nation")
-    for name, frame in (("tree_region", region), ("tree_nation", nation)):
-        frame.createOrReplaceTempView(name)
-    return spark.sql("""WITH RECURSIVE links AS (SELECT concat('r', r_regionkey) AS code, CAST(NULL AS STRING) AS parent, r_name AS name FROM tree_region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM tree_nation),
-    t(code, root, path, depth) AS (SELECT code, name, name, 0 FROM links WHERE parent IS NULL UNION ALL SELECT l.code, t.root, concat(t.path, ' / ', l.name), t.depth + 1 FROM t JOIN links l ON l.parent = t.code)
-    SELECT root, path, depth FROM t""")
+    return units.tree(_regions(spark, d, table(spark, d, "region"))).select("root", "path", "depth")
+
+
+@query("""WITH r AS (SELECT * FROM region WHERE r_name <> 'ASIA') SELECT coalesce(r_name, n_name) AS root, coalesce(r_name || ' / ', '') || n_name AS path, CASE WHEN r_name IS NULL THEN 0 ELSE 1 END AS depth FROM nation LEFT JOIN r ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name, 0 FROM r""")
+def region_tree_with_orphans(spark, d):
+    """Units whose parent the registry lacks are roots."""
+    return units.tree(_regions(spark, d, table(spark, d, "region").where("r_name <> 'ASIA'"))).select("root", "path", "depth")
+
+
+def _regions(spark, d, regions):
+    top = regions.select(F.concat(F.lit("r"), "r_regionkey").alias("code"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    return top.unionByName(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("code"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
 
 
 @query(f"WITH {EV} SELECT person, bureau, arg_max(title, (day, id)) AS title, arg_max(dept, (day, id)) AS dept, max(day) AS latest, count(*) AS n_events FROM ev GROUP BY 1, 2")
@@ -477,21 +483,28 @@ def _literal(v) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(_literal(v) for v in row)})" for i, row in enumerate(_EXPECT)) + ") v(i, canonical, rank_hint, rank, step, several)")
+@query("SELECT i, canonical, rank_hint, rank, step, several, count(*) AS n, min(o_orderkey) AS first_id FROM orders JOIN (VALUES " + ", ".join(f"({i}, {', '.join(_literal(v) for v in row)})" for i, row in enumerate(_EXPECT)) + ") v(i, canonical, rank_hint, rank, step, several) ON i = o_orderkey % 8 GROUP BY ALL")
 def title_functions(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_TITLES)), "i int, t string")
+    """Titles of orders, dealt by key, and what the functions say of them."""
+    i = (F.col("o_orderkey") % len(_TITLES)).cast("int")
+    rows = table(spark, d, "orders").select("o_orderkey", i.alias("i"), F.get(F.array(*[F.lit(t) for t in _TITLES]), i).alias("t"))
     t = F.col("t")
-    return rows.select("i", titles.normalize_title(t)["canonical"].alias("canonical"), titles.normalize_title(t)["rank_hint"].alias("rank_hint"), titles.title_sort_rank(t).alias("rank"), titles.ladder(t).alias("step"), titles.several_holders(t).alias("several"))
+    rows = rows.select("o_orderkey", "i", titles.normalize_title(t)["canonical"].alias("canonical"), titles.normalize_title(t)["rank_hint"].alias("rank_hint"), titles.title_sort_rank(t).alias("rank"), titles.ladder(t).alias("step"), titles.several_holders(t).alias("several"))
+    return rows.groupBy("i", "canonical", "rank_hint", "rank", "step", "several").agg(_n(), F.min("o_orderkey").alias("first_id"))
 
 
 _DEPTS = [("政策法规处、货物和劳务税处", "province"), ("征管", "province"), ("征管", "district"), ("试用期一年处", "city"), ("收入核算处；联系单位某局", "city"), ("", "district")]
 
 
-@query("""SELECT * FROM (VALUES (0, '政策法规处,货物和劳务税处', '政策法规处、货物和劳务税处', 'chu'), (1, '征收管理', '征收管理处', 'chu'), (2, '征收管理', '征收管理科', 'ke'), (3, '', NULL, NULL), (4, '收入核算处', '收入核算处；联系单位某局', 'chu'), (5, '', NULL, NULL)) v(i, parts, name, kind)""")
+@query("""SELECT i, parts, name, kind, count(*) AS n, min(o_orderkey) AS first_id FROM orders JOIN (VALUES (0, '政策法规处,货物和劳务税处', '政策法规处、货物和劳务税处', 'chu'), (1, '征收管理', '征收管理处', 'chu'), (2, '征收管理', '征收管理科', 'ke'), (3, '', NULL, NULL), (4, '收入核算处', '收入核算处；联系单位某局', 'chu'), (5, '', NULL, NULL)) v(i, parts, name, kind) ON i = o_orderkey % 6 GROUP BY ALL""")
 def department_functions(spark, d):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_DEPTS)], "i int, raw string, level string")
+    """Departments of orders, dealt by key, and what the functions say of them."""
+    i = (F.col("o_orderkey") % len(_DEPTS)).cast("int")
+    told = F.get(F.array(*[F.struct(F.lit(a).alias("raw"), F.lit(b).alias("level")) for a, b in _DEPTS]), i)
+    rows = table(spark, d, "orders").select("o_orderkey", i.alias("i"), told.alias("x")).select("o_orderkey", "i", "x.*")
     full = titles.normalize_department(F.col("raw"), F.col("level"))
-    return rows.select("i", F.array_join(titles.split_departments(F.col("raw")), ",").alias("parts"), full["name"].alias("name"), full["kind"].alias("kind"))
+    rows = rows.select("o_orderkey", "i", F.array_join(titles.split_departments(F.col("raw")), ",").alias("parts"), full["name"].alias("name"), full["kind"].alias("kind"))
+    return rows.groupBy("i", "parts", "name", "kind").agg(_n(), F.min("o_orderkey").alias("first_id"))
 
 
 @query("SELECT o_orderkey, substr(sha1(o_orderpriority || '|' || o_orderstatus || '|' || o_custkey), 1, 16) AS post_id, o_custkey || ':' || o_orderstatus AS person_id FROM orders")

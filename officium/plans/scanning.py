@@ -46,6 +46,21 @@ def updates_ready(spark, d):
 
 
 # ---------------------------------------------------------------- discovery
+@query("""WITH o AS (SELECT o_custkey AS path, o_orderkey AS n, o_orderstatus AS st, o_orderdate + INTERVAL 10 YEAR AS t FROM orders)
+SELECT path, 'https://a.org/rsrm/' || CASE n % 3 WHEN 0 THEN 't' || strftime(t, '%Y%m%d') || '_' || n || '.html' WHEN 1 THEN 'x' || n || '.html' ELSE 'art/' || year(t) || '/' || month(t) || '/' || day(t) || '/art_' || n || '.html' END AS url,
+CASE WHEN n % 4 = 0 THEN '人事任免' ELSE '关于任免的通知' || n END AS title, strftime(t, '%Y-%m-%d') AS day FROM o WHERE CASE WHEN n % 4 = 0 THEN n % 3 = 0 ELSE st <> 'P' END""")
+def list_rows_read(spark, d):
+    """Rows of lists of appointments: titles tested, addresses resolved, days out of the address or the text beside."""
+    n, day = F.col("o_orderkey"), F.expr("o_orderdate + INTERVAL 10 YEAR")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    href = F.when(n % 3 == 0, say("/rsrm/t", F.date_format(day, "yyyyMMdd"), "_", n, ".html")).when(n % 3 == 1, say("x", n, ".html")).otherwise(say("./art/", F.year(day), "/", F.month(day), "/", F.dayofmonth(day), "/art_", n, ".html"))
+    title = F.when(n % 4 == 0, "人事 任免").when(F.col("o_orderstatus") == "P", say("任职前公示", n)).otherwise(say("<i>关于</i>任免的通知", n))
+    beside = F.when(n % 3 == 1, F.when(n % 2 == 0, F.date_format(day, " yyyy-MM-dd")).otherwise(F.concat(F.lit("<span>"), F.date_format(day, "yyyy年M月d日"), F.lit("</span>")))).otherwise("")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.concat(F.lit('<li><a class="x" href="'), href, F.lit('">'), title, F.lit("</a>"), beside, F.lit("</li>")).alias("item"))
+    pages = rows.groupBy("path").agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list("item"), ""), F.lit("</ul>")).alias("html"), F.lit("https://a.org/rsrm/index.html").alias("base"))
+    return discovery.appointment_rows(pages).select("path", "url", "title", "day")
+
+
 _LINKS = """a AS (SELECT page_id AS page, unnest(regexp_extract_all(html, '<li><a href="/([^"]*)">', 1)) AS word FROM pages), f AS (SELECT page_id AS page, regexp_extract(html, '<li><a href="/([^"]*)">', 1) AS word FROM pages),
 e AS (SELECT DISTINCT a.page, f.page AS target FROM a JOIN f ON f.word = a.word AND f.word <> '' AND f.page <> a.page)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import guessed_level, guessed_name
+from .notices import list_items
 from .staging import staged
 
 # Paths of bureaus' sections, what names a list of appointments or of leaders, parts that are no bureau.
@@ -52,6 +53,16 @@ def list_text(titles: Column) -> Column:
     return (F.size(F.filter(titles, lambda t: t.contains("任免"))) >= 5) & ~F.exists(titles, lambda t: t.rlike("任命|免去"))
 
 
+def appointment_rows(pages: DataFrame) -> DataFrame:
+    """path, url, title, day of the rows of lists of appointments: pages (path, base, html), base being the page's address.
+
+    Rows that the title test drops are left out; addresses are the pages' own.
+    """
+    rows = list_items(pages).join(pages.select("path", "base"), "path")
+    rows = rows.where(F.coalesce(appointment_title(F.col("title"), F.col("url")), F.lit(False)))
+    return rows.select("path", resolved(F.col("base"), F.col("url")).alias("url"), "title", "day", "at")
+
+
 def child_sites(links: DataFrame) -> DataFrame:
     """Bureaus that a page's links lead to: code, name, level, home_url, list_url, leader_url, list_found, leader_found, notes.
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html as _html
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,22 +62,24 @@ def visible_text(page: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), "[ \\t\\u3000]+", " "))
 
 
+_ITEM = r"(?is)<a [^>]*href=\"([^\"#]+)\"[^>]*>(.*?)</a>([^<]*(?:<span[^>]*>[^<]*</span>)?)"
+
+
+def item_day(url: Column, text: Column) -> Column:
+    """A list row's day: as its address has it, else an ISO or a Chinese one in the text beside it; null for none or an impossible one."""
+    part = lambda c, p, i: F.regexp_extract(c, p, i)
+    art, file, iso, zh = r"/art/(20\d{2})/(\d{1,2})/(\d{1,2})/", r"(?i)/t(20\d{2})(\d{2})(\d{2})_\d+\.(?:s?html?|htm)\b", r"(20\d{2})-(\d{2})-(\d{2})", r"(20\d{2})年(\d{1,2})月(\d{1,2})日"
+    day = lambda c, p: F.when(c.rlike(p), F.concat_ws("-", part(c, p, 1), F.lpad(part(c, p, 2), 2, "0"), F.lpad(part(c, p, 3), 2, "0"))).try_cast("date").cast("string")
+    return F.coalesce(day(url, art), day(url, file), day(text, iso), day(text, zh), day(url, iso))
+
+
 def list_items(pages: DataFrame) -> DataFrame:
     """title, url and day of the anchors of list pages (path, html), once per page and url, in page order."""
-    pattern = re.compile(r"<a [^>]*href=\"([^\"#]+)\"[^>]*>(.*?)</a>([^<]*(?:<span[^>]*>[^<]*</span>)?)", re.I | re.S)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for path, page in zip(f["path"], f["html"]):
-                for at, (url, title, rest) in enumerate(pattern.findall(page or "")):
-                    day = re.search(r"\d{4}-\d{2}-\d{2}", rest) or re.search(r"\d{4}-\d{2}-\d{2}", url)
-                    out.append((path, at, url, re.sub(r"<[^>]+>|\s+", "", _html.unescape(title)), day[0] if day else None))
-            yield pd.DataFrame(out, columns=["path", "at", "url", "title", "day"])
-
-    rows = pages.mapInPandas(run, "path string, at int, url string, title string, day string")
-    first = rows.groupBy("path", "url").agg(F.min(F.struct("at", "title", "day")).alias("x"))
-    return first.select("path", "url", "x.at", "x.title", "x.day")
+    got = lambda m, i: F.regexp_extract(m, _ITEM, i)
+    found = F.transform(F.regexp_extract_all("html", F.lit(_ITEM), F.lit(0)), lambda m, i: F.struct(got(m, 1).alias("url"), i.alias("at"), got(m, 2).alias("title"), got(m, 3).alias("rest")))
+    rows = pages.select("path", F.explode(found).alias("x")).select("path", "x.*")
+    first = rows.groupBy("path", "url").agg(F.min(F.struct("at", "title", "rest")).alias("x")).select("path", "url", "x.*")
+    return first.select("path", "url", "at", F.regexp_replace(unescape(F.col("title")), r"(?U)<[^>]+>|\s+", "").alias("title"), item_day(F.col("url"), F.col("rest")).alias("day"))
 
 
 def _labelled(text: Column, label: str) -> Column:

@@ -19,6 +19,20 @@ def new_notices(landed: DataFrame, delay: str = "30 days") -> DataFrame:
     return landed.withColumn("key", canonical_url(F.col("url"))).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
+def merge_batches(spark: SparkSession, updates: DataFrame, table: str, keys: list[str], checkpoint: str, longest: tuple[str, ...] = ()):
+    """Upserts a stream into versioned Parquet folders below ``table``: a batch writes the next version whole, so small tables only.
+
+    A batch that runs again writes the same version again, so a restart changes nothing. ``merge_touched`` rewrites only
+    what a batch touches. Returns the running query.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        old = spark.read.parquet(f"{table}/v={number}") if number else batch.limit(0)
+        merge(old, batch.dropDuplicates(keys), keys, longest).drop("state").write.mode("overwrite").parquet(f"{table}/v={number + 1}")
+
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_changes(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Numbers of events per day and kind of a stream: ts, kind."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "kind", "n")
