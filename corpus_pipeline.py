@@ -20,10 +20,18 @@ from officium.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from officium.llm.common import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH, BATCH_BYTES, USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", 64 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few MB, so that workers stay small whatever the texts; a session's own setting stays."""
+    if spark.conf.get(BATCH) == f"{USUAL}b":
+        spark.conf.set(BATCH, BATCH_BYTES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold by the classifier trained on this input and the labels."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where(~F.col("_toxic")).select(*COLUMNS)
@@ -55,6 +63,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies (five words, similarity 0.8): one with the smallest doc_id."""
+    _small_batches(spark)
     docs = _numbered(docs, "near_copies")
     found = near_dedup.near_dedup(_as_documents(docs))
     return _one_of_each(docs, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
@@ -70,6 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 2048 tokens."""
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -41,7 +41,7 @@ def _odd_space(data: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, keeps_space: bool, slots: int = 1 << 21, kept_ids: int = 10_000_000):
+    def __init__(self, path: str, keeps_space: bool, slots: int = 1 << 20, kept_ids: int = 3_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
