@@ -53,12 +53,20 @@ def normalize_title(raw: Column) -> Column:
 
 def title_sort_rank(raw: Column) -> Column:
     """Rank of the first of concurrent titles by its longest known ending; 800 unknown, 900 missing."""
-    text = _bare(raw)
-    head = F.regexp_replace(F.split_part(text, F.lit("、"), F.lit(1)), "^[，,；; ]+|[，,；; ]+$", "")
-    head = F.when(head != "", head).otherwise(text)
-    ending = F.regexp_extract(head, f"(?:{'|'.join(TITLE_RANKS)})$", 0)  # the leftmost match is the longest ending
     ranks = F.create_map(*[F.lit(x) for kv in TITLE_RANKS.items() for x in kv])
-    return F.when(F.coalesce(raw, F.lit("")) == "", 900).otherwise(F.coalesce(F.try_element_at(ranks, ending), F.lit(800)))
+    lasts = sorted({t[-1] for t in TITLE_RANKS})
+
+    def rank(head: Column) -> Column:
+        ending = F.regexp_extract(head, f"(?:{'|'.join(TITLE_RANKS)})$", 0)  # the leftmost match is the longest ending
+        return F.when(F.substring(head, -1, 1).isin(*lasts), F.coalesce(F.try_element_at(ranks, ending), F.lit(800))).otherwise(800)
+
+    def first(text: Column) -> Column:
+        head = F.regexp_replace(F.split_part(text, F.lit("、"), F.lit(1)), "^[，,；; ]+|[，,；; ]+$", "")
+        return F.coalesce(F.nullif(head, F.lit("")), text)
+
+    plain = ~raw.rlike(r"(?U)[\s、，,；;]|级|主持")  # most titles: nothing to take out, and one title alone
+    known = F.when(plain, rank(raw)).otherwise(once(_bare(raw), lambda text: once(first(text), rank)))
+    return F.when(F.coalesce(raw, F.lit("")) == "", 900).otherwise(known)
 
 
 def level_rank(level: Column) -> Column:
