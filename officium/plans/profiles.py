@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, search
+from ..operators import archive, history, search
 from .bindings import table
 from .facades import _BAD, _LADDER, _LETTERS, _RANK, _UNITS, ZH, _bad, _units, zh_events
 from .registry import query
@@ -126,3 +126,27 @@ def people_browsed(spark, d):
     """Everyone of some bureaus, without texts to look for."""
     rows = search.people_found(zh_events(spark, d), zh_duties(spark, d), _units(spark, d), bureaus=[1, 5, 7, 9, 13])
     return search.people_page(rows, 0, None).select("bureau", "person", "title", "is_current", "unit", "level", "total", "current_count")
+
+
+# ---------------------------------------------------------------- archives
+_TERMS = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bureau, dept, person, action, title, day ORDER BY id) AS again FROM {rows}) WHERE again = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY day, id) AS n FROM d),
+w AS (SELECT *, lead(n) OVER p AS own, lead(day) OVER p AS own_day, lead(action) OVER p AS own_act, CASE WHEN NOT contains(title, '副') THEN min(CASE WHEN action = 'appoint' THEN n END) OVER (PARTITION BY {keys}, dept, title ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS nxt
+  FROM n WINDOW p AS (PARTITION BY {keys}, person ORDER BY n)),
+t AS (SELECT w.bureau, w.dept AS post_dept, w.person, w.title, w.id, w.day AS since, CASE WHEN nxt < coalesce(own, 9223372036854775807) THEN x.day ELSE own_day END AS ended_on,
+  CASE WHEN nxt < coalesce(own, 9223372036854775807) THEN 'succeeded' WHEN own_act = 'dismiss' THEN 'dismiss' WHEN own IS NOT NULL THEN 'replaced' END AS end_change_type, nxt IS NULL AND own IS NULL AS is_current,
+  coalesce(own < coalesce(nxt, 9223372036854775807) OR own = nxt, false) AND own_act = 'appoint' AND own_day = w.day AS hidden FROM w LEFT JOIN n x ON {same} AND x.n = w.nxt WHERE w.action = 'appoint')"""
+_ALL_TERMS = _TERMS.format(rows="zh", keys="bureau, dept", same="x.bureau = w.bureau AND x.dept = w.dept")
+_ONE = _TERMS.format(rows="(SELECT * FROM zh WHERE bureau = 7 AND contains(title, '局长') AND dept = '法制科')", keys="bureau", same="x.bureau = w.bureau")
+
+
+@query(f"WITH {ZH}, {_ALL_TERMS} SELECT * EXCLUDE (hidden) FROM t WHERE NOT hidden")
+def post_archives(spark, d):
+    """The terms of every bureau's every department, straight from events."""
+    return archive.archives(zh_events(spark, d))
+
+
+@query(f"WITH {ZH}, {_ONE} SELECT * EXCLUDE (hidden) FROM t WHERE NOT hidden")
+def post_archive_of_department(spark, d):
+    """One bureau's department, its chiefs and their deputies; the name is written with blanks."""
+    return archive.post_archive(zh_events(spark, d), 7, "法 制科", "局长")
