@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import elements, trees
+from ..sources import elements, leaders, trees
 from .bindings import table
 from .facades import _LETTERS
 from .registry import query
@@ -67,6 +67,20 @@ def leader_links_to_follow(spark, d):
     return rows.select(F.col("path").cast("long").alias("path"), "href")
 
 
+@query(f"""WITH p AS (SELECT c_custkey AS path, c_custkey % 3 AS k, {_A} AS a FROM customer)
+SELECT path, a AS person, '党委书记、局长' AS title, CASE WHEN k = 0 THEN '男' END AS gender, CASE WHEN k = 0 THEN '汉族' END AS people, CASE WHEN k = 2 THEN '主持全面工作' END AS duty_summary, '' AS departments FROM p
+UNION ALL SELECT path, '李敏', CASE k WHEN 1 THEN '副局长' ELSE '党委委员、副局长' END, CASE WHEN k = 0 THEN '女' END, CASE WHEN k = 0 THEN '满族' END, CASE WHEN k = 2 THEN '分管工作' END, CASE WHEN k = 2 THEN '法制科,征管科' ELSE '' END FROM p""")
+def leaders_read_in_prose(spark, d):
+    """Leaders of texts: name, title and gender; name, bureau and title; title, name and duty in a sentence."""
+    k = F.col("c_custkey") % 3
+    a = F.concat(F.lit("王"), F.substring(F.lit(_LETTERS), (F.col("c_custkey") % 10 + 1).cast("int"), F.lit(1)), F.lit("健"))
+    html = (F.when(k == 0, _say("<p>", a, "（党委书记、局长）男，汉族，1970年生。</p><p>李敏（党委委员、副局长） 女，满族。</p>"))
+            .when(k == 1, _say("<p>", a, " 国家税务总局甲市税务局党委书记、局长</p><p>李敏 国家税务总局乙市税务局副局长</p>"))
+            .otherwise(_say("<p>党委书记、局长", a, "主持全面工作。党委委员、副局长李敏分管法制科、征管科，联系甲县税务局。</p>")))
+    rows = leaders.leaders(table(spark, d, "customer").select(F.col("c_custkey").alias("path"), html.alias("html")))
+    return rows.select("path", "person", "title", "gender", "people", "duty_summary", F.array_join("departments", ",").alias("departments"))
+
+
 # ---------------------------------------------------------------- shells
 def _shell_pages(spark, d):
     i = F.col("s_suppkey").cast("string")

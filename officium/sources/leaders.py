@@ -17,12 +17,17 @@ _NAME = r"[一-龥·](?: ?[一-龥·]){1,3}"
 _TITLE = f"(?:{'|'.join(TITLES)})"
 _POST = f"(?:[一-龥]{{0,6}}、)*?[一-龥]{{0,4}}?{_TITLE}(?:、{_TITLE})*"
 _PEOPLE = "[一-龥]{1,5}族"
+# Titles that prose puts before a name.
+_ROLES = "党委书记、局长|党委副书记、局长|党委委员、(?:纪检组组长|总会计师|总经济师|总审计师|副局长|副书记)|(?:[一二三]级)?高级主办"
 # Layouts by order of trust: pattern, numbers of its groups of name, title, gender, people and text, and how many a page needs.
 LAYOUTS = {
     "bio": (rf"(?s)(?<![一-龥])({_NAME})[，,]\s*(男|女)[，,]\s*({_PEOPLE})(.*?)(?=(?<![一-龥]){_NAME}[，,]\s*[男女][，,]|$)", (1, 0, 2, 3, 4), 1),
     "bracketed bio": (rf"(?s)(?<![一-龥])({_NAME})\s*[（(](男|女)[，,]\s*({_PEOPLE})(.*?)(?=(?<![一-龥]){_NAME}\s*[（(][男女][，,]|$)", (1, 0, 2, 3, 4), 1),
     "name and title": (rf"(?m)^\s*({_NAME})\s*(?:[（(]|[ \t]+)({_POST})[）)]?\s*$", (1, 2, 0, 0, 0), 2),
     "title: name": (rf"(?m)^\s*({_POST})\s*[：:]\s*({_NAME})\s*$", (2, 1, 0, 0, 0), 1),
+    "name, title, gender": (rf"(?<![一-龥])({_NAME})\s*[（(]({_POST})[）)]\s*(男|女)[，,]\s*({_PEOPLE})", (1, 2, 3, 4, 0), 1),
+    "name and bureau": (rf"(?<![一-龥·])({_NAME})[ \t]+国家税务总局[一-龥]{{2,20}}?税务局({_POST})", (1, 2, 0, 0, 0), 1),
+    "prose": (rf"({_ROLES})([一-龥·]{{2,4}}?)((?:主持|分管|负责|协助)[^。\n]*)", (2, 1, 0, 0, 3), 1),
     "lines in turn": (rf"(?m)^\s*({_NAME})\s*\n\s*({_POST})\s*$", (1, 2, 0, 0, 0), 2),
 }
 _EDGES = r"^[\s：:，,。；;]+|[\s：:，,。；;]+$"
