@@ -32,6 +32,7 @@ from .tokens import encoder
 
 WINDOW = 8
 FANOUT = 1024
+PIECES = 1 << 21  # pieces whose ids a worker keeps: more than in packing, since the store works with nothing else in memory
 RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>, root binary, place long"
 MANIFEST = "level int, node long, documents long, root binary"
 BLOCKS = "digest binary, payload binary, n_ids int, doc_id long, n_tokens long, digests array<binary>, after array<long>, root binary, kind string"
@@ -66,7 +67,7 @@ def chunk_ends(ids: np.ndarray, first: np.ndarray, mean: int) -> list[list[int]]
 
 def _chunks(path: str, keeps_space: bool, end_id: int, mean: int, id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(path, keeps_space), set()
+        enc, seen = encoder(path, keeps_space, PIECES), set()
         for batch in batches:
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for t in slices(text_column(batch)):

@@ -18,14 +18,15 @@ from .common import Texts, U64, _chunks, chunked_hashes, is_space, words_of
 
 JOINED = 64
 
-_encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
+_encoders: dict[tuple[str, bool, int], "PieceEncoder"] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> "PieceEncoder":
-    """This worker's encoder for a tokenizer file."""
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+def encoder(path: str, keeps_space: bool, slots: int = 1 << 20) -> "PieceEncoder":
+    """This worker's encoder for a tokenizer file, with a table of so many pieces."""
+    key = (path, keeps_space, slots)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, keeps_space, slots, 5 * slots)
+    return _encoders[key]
 
 
 def _odd_space(data: np.ndarray) -> np.ndarray:
