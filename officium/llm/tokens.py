@@ -57,35 +57,51 @@ class PieceEncoder:
         self.bytes, self.bytes_used = np.zeros(1 << 16, U64), 0
 
     def _widths(self) -> np.ndarray | None:
-        """The number of a text's bytes that each id stands for, where the tokenizer changes no byte; else None."""
+        """The number of a text's bytes that each id stands for, where tokens are bytes of the text; else None.
+
+        So it is where the tokenizer changes no byte, and, for pieces of ASCII and the letters from U+00C0 to U+00FF, where it
+        composes characters, makes them lower-case (of as many bytes) and leaves out white space.
+        """
         kind = json.loads(self.tokenizer.to_str())
-        if not self.keeps_space or kind["normalizer"] or kind["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        suffix = kind["model"].get("end_of_word_suffix") or ""
+        if self.keeps_space:
+            known = not kind["normalizer"] and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        else:
+            steps = lambda part, names: [x["type"] for x in (part or {}).get(names, [])]
+            known = steps(kind["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and steps(kind["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"]
+            known = known and not kind["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+        if not known:
             return None
         widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
-            widths[i] = len(token)  # a character for each byte; special tokens are ASCII
+            widths[i] = len(token.removesuffix(suffix))  # a character for each byte; special tokens are ASCII
         return widths
 
     def _encoded(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and how many each has.
 
-        Where ids tell their widths, pieces that begin with white space and end without are encoded ``JOINED`` at a time: no
-        token reaches from one into the next, and the widths tell where each ends.
+        Where ids tell their widths, short pieces are encoded ``JOINED`` at a time: such as begin with white space and end without, or
+        with a blank between; no token reaches from one into the next, and the widths tell where each ends.
         """
         texts, sizes = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], np.zeros(len(starts), np.int64)
         if self.widths is None:
             return self._one_by_one(texts)
         bytes_ = np.frombuffer(raw, np.uint8)
-        joins = is_space(bytes_[starts]) & ~is_space(bytes_[ends - 1]) & (ends - starts < 64)
+        if self.keeps_space:
+            fits, between = is_space(bytes_[starts]) & ~is_space(bytes_[ends - 1]), b""
+        else:
+            other = np.append(0, np.cumsum((bytes_ >= 0xC4) | (bytes_ == 0xC2)))
+            fits, between = other[ends] == other[starts], b" "
+        joins = fits & (ends - starts < 64)
         some, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
         groups = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
-        made, sizes_alone = self._one_by_one([b"".join([texts[k] for k in g]) for g in groups] + [texts[k] for k in alone])
+        made, sizes_alone = self._one_by_one([between.join([texts[k] for k in g]) for g in groups] + [texts[k] for k in alone])
         cut = int(sizes_alone[: len(groups)].sum())
-        ends_of = np.cumsum(self.widths[made[:cut]])
-        if cut and ends_of[-1] != (ends - starts)[some].sum():  # bytes that are no UTF-8 were replaced
+        ends_of, wanted = np.cumsum(self.widths[made[:cut]]), np.cumsum((ends - starts)[some])
+        upto = np.searchsorted(ends_of, wanted, side="left")
+        if len(some) and (not cut or ends_of[-1] != wanted[-1] or (ends_of[upto] != wanted).any()):  # bytes that are no UTF-8 were replaced
             return self._one_by_one(texts)
-        upto = np.searchsorted(ends_of, np.cumsum((ends - starts)[some]), side="left") + 1
-        sizes[some], sizes[alone] = np.diff(np.append(0, upto)), sizes_alone[len(groups) :]
+        sizes[some], sizes[alone] = np.diff(np.append(0, upto + 1)), sizes_alone[len(groups) :]
         if len(alone):  # back in the order of the pieces
             order = np.argsort(np.concatenate([np.repeat(some, sizes[some]), np.repeat(alone, sizes[alone])]), kind="stable")
             made = made[order]
