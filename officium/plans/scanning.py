@@ -105,6 +105,9 @@ def best_address_by_score(spark, d):
 
 
 # ---------------------------------------------------------------- the report
+_NAMES = ", ".join(f"('{c}')" for c in report.COUNTERS[:-1])
+
+
 @query(f"""WITH {_BAD}, e AS (SELECT *, CASE WHEN id % 29 = 0 THEN NULL ELSE id // 3 END AS notice_id FROM b), u AS (SELECT s_suppkey AS id, s_nationkey + CASE WHEN s_suppkey % 10 = 0 THEN 100 ELSE 0 END AS bureau, CASE WHEN s_suppkey % 9 = 0 THEN '通知' ELSE '王' || substr('{_LETTERS}', s_suppkey % 10 + 1, 1) || '甲' END AS person,
   CASE s_suppkey % 3 WHEN 0 THEN '["a"]' WHEN 1 THEN '[broken' ELSE '' END AS js FROM supplier), p AS (SELECT c_custkey AS id, c_nationkey AS bureau, '王' || substr('{_LETTERS}', c_custkey % 10 + 1, 1) || substr('{_LETTERS}', c_custkey // 10 % 10 + 1, 1) AS person FROM customer WHERE c_custkey % 2 = 0),
 n AS (SELECT o_orderkey AS id, 'https://h.org/' || o_orderkey // 2 AS url FROM orders WHERE o_orderkey % 5 > 0), s AS (SELECT n_nationkey AS code FROM nation WHERE n_nationkey <> 4),
@@ -115,7 +118,7 @@ f AS (SELECT 1 AS i, 'events: implausible name' AS counter, id FROM e WHERE pers
   UNION ALL SELECT 13, 'people: no source', id FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.bureau = p.bureau AND e.person = p.person) AND NOT EXISTS (SELECT 1 FROM u WHERE u.bureau = p.bureau AND u.person = p.person) UNION ALL SELECT 14, 'people: unregistered code', id FROM p WHERE bureau = 4
   UNION ALL SELECT 15, 'notices: no events', id FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.notice_id = n.id)),
 d AS (SELECT url, count(*) AS k FROM n GROUP BY 1 HAVING count(*) > 1), r AS (SELECT counter, count(*) AS n, array_to_string(list_sort(list_filter([min(id) FILTER (id % 3 = 0), min(id) FILTER (id % 3 = 1), min(id) FILTER (id % 3 = 2)], lambda x: x IS NOT NULL)), ',') AS samples FROM f GROUP BY 1)
-SELECT * FROM r UNION ALL SELECT 'notices: address again', CAST(coalesce(sum(k - 1), 0) AS BIGINT), (SELECT array_to_string(list_sort(list_filter([min(id) FILTER (id % 3 = 0), min(id) FILTER (id % 3 = 1), min(id) FILTER (id % 3 = 2)], lambda x: x IS NOT NULL)), ',') FROM n JOIN d USING (url)) FROM d""")
+SELECT name AS counter, coalesce(n, 0) AS n, coalesce(samples, '') AS samples FROM (VALUES {_NAMES}) v(name) LEFT JOIN r ON counter = name UNION ALL SELECT 'notices: address again', CAST(coalesce(sum(k - 1), 0) AS BIGINT), (SELECT array_to_string(list_sort(list_filter([min(id) FILTER (id % 3 = 0), min(id) FILTER (id % 3 = 1), min(id) FILTER (id % 3 = 2)], lambda x: x IS NOT NULL)), ',') FROM n JOIN d USING (url)) FROM d""")
 def integrity_report(spark, d):
     """Sixteen counters with samples over four tables, each read once."""
     letter = lambda c: F.substring(F.lit(_LETTERS), (c % 10 + 1).cast("int"), F.lit(1))
