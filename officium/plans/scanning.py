@@ -9,7 +9,7 @@ from ..sources import discovery
 from ..streaming import scans
 from .bindings import table
 from .facades import _BAD, _LETTERS, _bad
-from .registry import query
+from .registry import _CANON, query
 
 # Scans out of orders: customers' lists scanned once a month of a year (the run); half of the scans fail.
 _SCANS = """sc AS (SELECT o_custkey AS bureau, CAST(year(o_orderdate) AS BIGINT) AS run, o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS "at", o_orderstatus <> 'F' AS ok FROM orders),
@@ -31,7 +31,7 @@ def scan_failures_open(spark, d):
     return scans.open_failures(scans.outcomes_of_table(_scans(spark, d)))
 
 
-@query("""WITH w AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?', 'https'), '\\?utm_source=feed$', '') AS key FROM pages),
+@query(f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '\\?utm_source=feed$', ''), '#.*$', '') AS u FROM pages), w AS (SELECT page_id, {_CANON} AS key FROM c),
 k AS (SELECT key, min(page_id) AS page_id FROM w GROUP BY 1) SELECT page_id, page_id % 3 = 0 AS landed FROM k WHERE key NOT IN (SELECT key FROM w WHERE page_id % 7 = 0)""")
 def updates_ready(spark, d):
     """Waiting updates whose pages have landed, and those that wait on; addresses that are known neither."""
