@@ -48,11 +48,11 @@ def _first_leave(rows: DataFrame, after: bool) -> DataFrame:
     """
     title, dept = F.coalesce("title", F.lit("")), F.coalesce("dept", F.lit(""))
     rows = rows.withColumns({"_title": title, "_dept": dept})
-    frame = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    order = F.desc("n") if after else F.asc("n")  # a frame that only grows: one to the end is read anew for each row
     event, pick = F.struct("n", "day"), F.min if after else F.max
 
     def within(keys: list[str], closes: Column) -> Column:
-        return pick(F.when(F.col("leave") & closes, event)).over(Window.partitionBy(*PERSON, *keys).orderBy("n").rowsBetween(*frame))
+        return pick(F.when(F.col("leave") & closes, event)).over(Window.partitionBy(*PERSON, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
 
     blank = (F.col("_title") == "") & (F.col("_dept") == "")
     rows = rows.withColumns({"_own": within(["_title", "_dept"], F.lit(True)), "_same": within(["_title"], (F.col("_dept") == "") & ~blank), "_any": within([], blank)})
@@ -122,8 +122,9 @@ def tenures(events: DataFrame, several: Column) -> DataFrame:
     first = Window.partitionBy(*POST, "person", "action", "day").orderBy("id")
     rows = events.withColumn("again", F.row_number().over(first)).where("again = 1 OR action = 'dismiss'").drop("again")
     rows = rows.withColumns({"several": several, "n": F.row_number().over(Window.partitionBy(*POST).orderBy("day", "id"))})
-    post = Window.partitionBy(*POST).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    own = Window.partitionBy(*POST, "person").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    # From the last event back, so that frames only grow: one to the end is read anew for each row of a post.
+    post = Window.partitionBy(*POST).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*POST, "person").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     stays = F.col("action") != "dismiss"
     event = F.struct("n", "day", "person", "action")
     pick = lambda cond, w: F.min(F.when(cond, event)).over(w)
