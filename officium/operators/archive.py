@@ -56,7 +56,8 @@ def terms(events: DataFrame, archive: list[str]) -> DataFrame:
     kind = classify_change(F.col("action"), F.col("title"), F.col("dept"), text("notice_title"), text("clause"), none, none)
     event = F.struct("n", "day", F.col("_leave").alias("leave"), "person", kind.alias("kind"))
     own = F.lead(event).over(Window.partitionBy(*archive, "person").orderBy("n"))
-    post = Window.partitionBy(*archive, "post_dept", "_title").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    # From the last event back, so that the frame only grows: one to the end is read anew for each row.
+    post = Window.partitionBy(*archive, "post_dept", "_title").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"_own": own, "_next": F.min(F.when(~F.col("_leave"), event)).over(post)}).where("NOT _leave")
     end = F.when(several_holders(F.col("title")), F.col("_own")).otherwise(F.least("_own", "_next"))
     rows = rows.withColumn("_end", end)

@@ -7,7 +7,7 @@ from officium.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["post_tenures", "post_incumbents", "post_multi_incumbent_audit", "zero_day_audit", "multi_current_people", "person_history_spans"])
+@pytest.mark.parametrize("name", ["post_tenures", "post_incumbents", "post_multi_incumbent_audit", "zero_day_audit", "multi_current_people", "person_history_spans", "post_archives", "post_archive_of_department"])
 def test_no_frame_is_read_anew_for_each_row(spark, name):
     """A frame from a row to its group's end costs the square of the group."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
