@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corrections, reextract, tables
-from .bindings import table
+from ..operators import corrections, reextract, tables, watching
+from .bindings import appointments, table
 from .facades import _LETTERS, ZH, zh_events
-from .registry import _WATCH_ALL, _watched, query
+from .registry import _WATCH_ALL, _watches, query
 
 # Renames out of nations: in each bureau chains, a cycle, a name that can't be one, and one onto itself.
 _PAIRS = [("王甲甲", "王乙甲"), ("王乙甲", "王丙甲"), ("王丙甲", "李明甲"), ("王丁甲", "王戊甲"), ("王戊甲", "王丁甲"), ("王己甲", "通知"), ("王庚甲", "王庚甲"), ("王辛甲", "王甲甲"), ("李明甲", "赵明")]
@@ -109,11 +109,11 @@ def units_from_clauses(spark, d):
 SELECT m."user" AS "user", count(DISTINCT id) AS n, min(id) AS first_id FROM m LEFT JOIN c ON c."user" = m."user", s WHERE id > coalesce(last_id, newest) GROUP BY 1""")
 def notify_digest_seeded(spark, d):
     """Users without a cursor begin at the greatest id that was there when their watch was made, not at the beginning."""
-    matches = _watched(spark, d, "true")
-    cursors = matches.where("id < 2 * user AND user % 3 = 0").groupBy("user").agg(F.max("id").alias("last_id"))
+    ev, watches = appointments(spark, d), _watches(spark, d, "true")
+    cursors = watching.last_before(ev, watches, watches.where("user % 3 = 0").select("user", (2 * F.col("user")).alias("bound")))
     there = table(spark, d, "orders").where("o_orderkey < 5 * o_custkey").select(F.col("o_orderkey").alias("id"))
     seeded = tables.seed(cursors, table(spark, d, "customer").select(F.col("c_custkey").alias("user")), there)
-    return tables.since(matches, seeded).groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"))
+    return watching.digests(ev, watches, seeded).drop("last_id")
 
 
 @query("""WITH w AS (SELECT c_nationkey AS "user", 'person' AS kind, CAST(c_custkey % 50 AS VARCHAR) AS target, max(CASE WHEN c_acctbal > 0 THEN c_mktsegment END) AS label FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2, 3),

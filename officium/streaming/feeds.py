@@ -9,8 +9,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.urls import canonical_url
-from ..operators import history
-from ..operators.tables import match_watches, merge, seed, since
+from ..operators import history, watching
+from ..operators.tables import merge, seed
 from .buckets import Buckets, folder_of
 
 
@@ -125,7 +125,7 @@ def digests(spark: SparkSession, events: DataFrame, watches: DataFrame, folder:
         empty = spark.createDataFrame([], StructType([watches.schema["user"], batch.schema["id"]])).withColumnRenamed("id", "last_id")
         stored = spark.read.schema(empty.schema).parquet(f"{folder}/cursors/v={number}") if number else empty
         cursors = seed(stored.where("user IS NOT NULL"), watches, stored.where("user IS NULL").agg(F.max("last_id")).first()[0] or 0)
-        fresh = since(match_watches(batch, watches), cursors).groupBy("user").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        fresh = watching.digests(batch, watches, cursors)
         fresh.write.mode("overwrite").parquet(f"{folder}/digests/batch={number}")
         told = spark.read.schema(fresh.schema).parquet(f"{folder}/digests/batch={number}")
         newest = stored.where("user IS NULL").select("last_id").union(batch.select("id")).agg(F.max("last_id").alias("last_id"))  # the row without a user: the greatest id of all

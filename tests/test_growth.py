@@ -1,7 +1,11 @@
 """Steps whose work must not grow faster than their input."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from officium.operators import tables, watching
 from officium.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +16,44 @@ def test_no_frame_is_read_anew_for_each_row(spark, name):
     """A frame from a row to its group's end costs the square of the group."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
+def most_joined(df):
+    """The most rows that a join of an executed query made."""
+    def rows(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return rows(node.executedPlan())
+        below = [node.plan()] if hasattr(node, "plan") and "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in name and node.metrics().contains("numOutputRows") else 0
+        return max([own, *map(rows, below)])
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+SHAPE = "user long, kind string, bureau long, person long, dept string, title string"
+
+
+@pytest.mark.parametrize("name", ["totals", "digests", "last_before"])
+def test_watchers_and_events_make_no_pairs(spark, name):
+    """600 users who watch one bureau and its 500 events: no join makes more rows than there are users and events."""
+    events = spark.range(500).select("id", F.lit(1).cast("long").alias("bureau"), F.col("id").alias("person"), F.lit("d").alias("dept"), F.lit("t").alias("title"))
+    watches = spark.range(600).select(F.col("id").alias("user"), F.lit("bureau").alias("kind"), F.lit(1).cast("long").alias("bureau"), F.lit(None).cast("long").alias("person"), F.lit("").alias("dept"), F.lit("").alias("title"))
+    more = {"totals": [], "digests": [watches.select("user", F.lit(7).alias("last_id"))], "last_before": [watches.select("user", F.lit(7).alias("bound"))]}[name]
+    found = getattr(watching, name)(events, watches, *more)
+    assert len(found.collect()) == 600 and most_joined(found) <= 1100
+
+
+def test_watchers_without_pairs_are_told_what_pairs_tell(spark):
+    """Several watches a user, over one another and alike, ids on both sides of blocks' bounds, cursors on, between and beyond ids."""
+    r = random.Random(5)
+    ids = r.sample([i + k * 2**watching.BLOCK for k in range(4) for i in (-3, -2, -1, 0, 1, 2, 9)], 26)
+    events = spark.createDataFrame([(i, r.randrange(3), r.randrange(4), r.choice(["ab", "a", None]), r.choice(["x1", "2", ""])) for i in ids], "id long, bureau long, person long, dept string, title string")
+    watches = spark.createDataFrame([(u % 40, r.choice(["bureau", "person", "department", "post"]), r.choice([0, 1, 2, None]), r.randrange(4), r.choice(["a", "b", "", None]), r.choice(["1", "2", ""])) for u in range(75)], SHAPE)
+    cursors = spark.createDataFrame([(u, r.choice(ids) + r.randrange(-1, 2)) for u in range(0, 40, 2)], "user long, last_id long")
+    pairs = tables.match_watches(events, watches)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) != []
+    assert same(watching.totals(events, watches), pairs.groupBy("user", "kind").agg(F.count("*"), F.max("id")))
+    assert same(watching.digests(events, watches, cursors), tables.since(pairs, cursors).groupBy("user").agg(F.count_distinct("id"), F.min("id"), F.max("id")))
+    bounds = cursors.withColumnRenamed("last_id", "bound")
+    assert same(watching.last_before(events, watches, bounds), pairs.join(bounds, "user").where("id < bound").groupBy("user").agg(F.max("id")))
