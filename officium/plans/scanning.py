@@ -66,10 +66,10 @@ e AS (SELECT DISTINCT a.page, f.page AS target FROM a JOIN f ON f.word = a.word
 
 
 def _links(spark, d):
-    """Links between pages: a page goes by its first link's word, and leads to all pages whose words it links to."""
+    """Links between pages by words: page to word, and word to target. A page goes by its first link's word, and leads to all pages whose words it links to."""
     pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)">'), F.lit(1)).alias("words"))
     named = pages.select(F.col("page").alias("target"), F.get("words", F.lit(0)).alias("word")).where("word <> ''")
-    return pages.select("page", F.explode(F.array_distinct("words")).alias("word")).join(named, "word").where("page <> target").select("page", "target").distinct()
+    return pages.select("page", F.explode(F.array_distinct("words")).alias("word")), named
 
 
 @query(f"""WITH RECURSIVE {_LINKS}, r AS (SELECT page_id AS page, 0 AS depth FROM pages WHERE page_id < 2 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.page = r.page WHERE r.depth < 40)
@@ -77,7 +77,7 @@ SELECT page, min(depth) AS depth FROM r GROUP BY 1""")
 def pages_discovered(spark, d):
     """Pages that two seeds lead to, and by how many steps."""
     seeds = table(spark, d, "pages").where("page_id < 2").select(F.col("page_id").alias("page"))
-    return discovery.discovered(_links(spark, d), seeds)
+    return discovery.discovered_by_words(*_links(spark, d), seeds)
 
 
 @query("""WITH c AS (SELECT c_custkey AS n, 'c' || c_custkey % 400 AS code FROM customer WHERE c_custkey % 5 < 3 AND c_custkey % 400 > 0), g AS (SELECT code, arg_min(n % 5, n) = 0 AS named, bool_or(n % 5 < 2) AS list_found, bool_or(n % 5 = 2) AS leader_found FROM c GROUP BY 1)

@@ -97,6 +97,27 @@ def discovered(links: DataFrame, seeds: DataFrame) -> DataFrame:
         known = known.unionByName(fresh)
 
 
+def discovered_by_words(words: DataFrame, named: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same where a page leads to all pages of its words: words (page, word), named (target, word).
+
+    A word that is reached gives its pages once, in the round that reaches it, so pages that link to it and pages that it names
+    are never paired.
+    """
+    words, named = staged(words.distinct(), "words"), staged(named.distinct(), "named")
+    fresh = known = staged(seeds.select("page").distinct().withColumn("depth", F.lit(0)), "reached")
+    said, depth = None, 0
+    while True:
+        depth += 1
+        step = words.join(fresh.select("page"), "page", "left_semi").select("word").distinct()
+        new = staged(step if said is None else step.join(said, "word", "left_anti"), "said")
+        said = new if said is None else said.unionByName(new)
+        step = named.join(new, "word", "left_semi").select(F.col("target").alias("page")).distinct()
+        fresh = staged(step.join(known.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if not fresh.limit(1).count():
+            return known
+        known = known.unionByName(fresh)
+
+
 def best_address(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """Per code the address whose page has most rows of a list, the first (by place) of equal ones; null if none has any.
 

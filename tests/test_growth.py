@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from officium.operators import tables, watching
 from officium.plans import registry
+from officium.sources import discovery
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,19 @@ def test_watchers_without_pairs_are_told_what_pairs_tell(spark):
     assert same(watching.digests(events, watches, cursors), tables.since(pairs, cursors).groupBy("user").agg(F.count_distinct("id"), F.min("id"), F.max("id")))
     bounds = cursors.withColumnRenamed("last_id", "bound")
     assert same(watching.last_before(events, watches, bounds), pairs.join(bounds, "user").where("id < bound").groupBy("user").agg(F.max("id")))
+
+
+def test_pages_of_a_common_word_are_not_paired(spark, tmp_path):
+    """300 pages that link to one word, which 300 pages go by: a round writes what it finds, not 90,000 links."""
+    words = spark.createDataFrame([(p, "w") for p in range(300)] + [(300, "v")], "page long, word string")
+    named = spark.createDataFrame([(p, "w") for p in range(1, 301)] + [(400, "v")], "target long, word string")
+    written, plain = [], discovery.staged
+    discovery.staged = lambda rows, name: written.append(plain(rows, name)) or written[-1]
+    try:
+        found = sorted(map(tuple, discovery.discovered_by_words(words, named, spark.createDataFrame([(0,)], "page long")).collect()))
+    finally:
+        discovery.staged = plain
+    assert found == [(0, 0), *[(p, 1) for p in range(1, 301)], (400, 2)]
+    assert max(w.count() for w in written) <= 301
+    links = words.join(named, "word").where("page <> target").select("page", "target")
+    assert found == sorted(map(tuple, discovery.discovered(links, spark.createDataFrame([(0,)], "page long")).collect()))
