@@ -2,7 +2,7 @@
 
 A text is cut at the decision and into clauses; each pattern gives its matches of a clause; matches become rows, which are
 cleaned, tested and split into unit, department and title. Only the last step, which keeps a notice's first event of each
-kind, shuffles: once, on the notice.
+kind, needs a notice's rows together: so notices are dealt out first, and what is made of them is not shuffled again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.persons import clean_name, plausible_name
+from ..functions.titles import once
+from ..sources.staging import dealt
 
 # Endings that are titles, longest of a kind first.
 TITLES = (
@@ -106,7 +108,7 @@ def appointment_events(notices: DataFrame) -> DataFrame:
 
     n numbers a notice's events in the order of its text. Null text has none. notice_id must be unique.
     """
-    bodies = notices.select("notice_id", decision(join_cjk(F.coalesce("text", F.lit("")))).alias("body"))
+    bodies = dealt(notices, "notice_id").select("notice_id", once(join_cjk(F.coalesce("text", F.lit(""))), decision).alias("body"))  # looked at for each marker
     rows = bodies.select("notice_id", "body", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), clauses(F.col("body")))).alias("clause_no", "clause"))
     patterns = [*[(p, "dismiss") for p in DISMISS], *[(p, "appoint") for p in APPOINT], (BARE, "appoint")]
     bare, roster = len(patterns) - 1, len(patterns)
@@ -121,13 +123,16 @@ def appointment_events(notices: DataFrame) -> DataFrame:
     # What fails a test is only marked until the end: a filter here would be moved below the steps and repeat them all.
     rows = split_posts(rows.withColumn("ok", plausible_name(F.col("person")) & (dismissed | good)), "post")
     rows = rows.withColumn("ok", F.col("ok") & (dismissed | F.coalesce("title", "dept").isNotNull()))
+    years = F.when(~dismissed, probation_years(F.when(is_listed, F.expr("substring(body, locate(match, body) + length(match), 24)")).otherwise(F.col("clause"))))
+    said = F.substring(F.when(is_listed, F.col("match")).otherwise(F.col("clause")), 1, 500)
+    # Texts stay behind: the windows sort and hold the rest.
+    order = ["clause_no", "trial", "at"]
+    rows = rows.select("notice_id", *order, "person", "action", "unit", "dept", "title", years.alias("probation_years"), said.alias("clause"), "ok")
     clause, notice = Window.partitionBy("notice_id", "clause_no"), Window.partitionBy("notice_id")
     rows = rows.withColumn("sure", F.max(F.col("ok") & ~dismissed & ~is_bare & ~is_listed).over(clause))
     rows = rows.withColumn("ok", F.col("ok") & ~(is_bare & F.col("sure")))
     rows = rows.withColumn("read", F.max(F.col("ok") & ~is_listed).over(notice))
     rows = rows.withColumn("ok", F.col("ok") & ~(is_listed & F.col("read")))
     key = ["notice_id", "person", "action", F.coalesce("title", F.lit("")), F.coalesce("dept", F.lit(""))]
-    order = ["clause_no", "trial", "at"]
     rows = rows.withColumn("again", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ok"), *order))).where("again = 1 AND ok")
-    years = F.when(~dismissed, probation_years(F.when(is_listed, F.expr("substring(body, locate(match, body) + length(match), 24)")).otherwise(F.col("clause"))))
-    return rows.select("notice_id", F.row_number().over(notice.orderBy(*order)).cast("long").alias("n"), "person", "action", "unit", "dept", "title", years.alias("probation_years"), F.substring(F.when(is_listed, F.col("match")).otherwise(F.col("clause")), 1, 500).alias("clause"))
+    return rows.select("notice_id", F.row_number().over(notice.orderBy(*order)).cast("long").alias("n"), "person", "action", "unit", "dept", "title", "probation_years", "clause")

@@ -25,3 +25,8 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     rows.write.parquet(where)
     return spark.read.schema(rows.schema).parquet(where)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all cores by key: by size alone, small rows would be few tasks, however long the work on each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
