@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import elements, leaders, trees
+from ..sources.staging import dealt
 from .bindings import table
 from .facades import _LETTERS
 from .registry import query
@@ -44,7 +45,7 @@ def _leader_pages(spark, d):
         .when(k == 3, _say("<ul class='list_lefnavLdjj'><li><a href='/ldjj/", i, ".html'><span>", a, "</span><p>党委书记、局长</p></a></li><li><a href='/ldjj/2.html'><span>李 敏</span><p>副局长</p></a><li><a href='/'><span>首页</span></a></ul>"))
         .when(k == 4, _say("<a href='/x/", i, "'>局长：</a><p><a href='/y/2'>李敏</a><br><a href='/x/", i, "'>", a, "</a><a href='/y/2'>副局长</a> <a href='/y/3'>政策法规</a><a href='javascript:x()'>局长</a>"))
         .otherwise(_say("<div><div><h3>领导专栏</h3></div><p><a href='/ldjj/", i, ".html'>", a, "</a> <a href='/ldjj/2.html?t=1'>李　敏</a> <a href='/ldjj/2.html?t=2'>李敏</a><a href='/zcfg/1.html'>王东健</a></p></div>")))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("path"), html.alias("html"))
+    return dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("path"), html.alias("html"))
 
 
 @query(f"""WITH p AS (SELECT c_custkey AS path, c_custkey % 6 AS k, {_A} AS a FROM customer), n AS (SELECT ['written', 'pane', 'cards', 'span and p', 'paired', 'side'] AS names)
@@ -77,7 +78,7 @@ def leaders_read_in_prose(spark, d):
     html = (F.when(k == 0, _say("<p>", a, "（党委书记、局长）男，汉族，1970年生。</p><p>李敏（党委委员、副局长） 女，满族。</p>"))
             .when(k == 1, _say("<p>", a, " 国家税务总局甲市税务局党委书记、局长</p><p>李敏 国家税务总局乙市税务局副局长</p>"))
             .otherwise(_say("<p>党委书记、局长", a, "主持全面工作。党委委员、副局长李敏分管法制科、征管科，联系甲县税务局。</p>")))
-    rows = leaders.leaders(table(spark, d, "customer").select(F.col("c_custkey").alias("path"), html.alias("html")))
+    rows = leaders.leaders(dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("path"), html.alias("html")))
     return rows.select("path", "person", "title", "gender", "people", "duty_summary", F.array_join("departments", ",").alias("departments"))
 
 

@@ -288,13 +288,16 @@ def link_targets(rows: DataFrame) -> DataFrame:
     Links in a page's side count if they are named like a person or lead to leaders' paths, others if they do both, or lead to
     an article below such a path.
     """
-    links = rows.where("tag = 'a' AND href <> '' AND href NOT LIKE 'javascript:%'").select("path", "element", "href", bare(F.col("text")).alias("label"), bare(F.col("title")).alias("hint"))
-    boxes = rows.where(has_class(*SIDES)).select("path", "element", "last")
+    link = F.coalesce((F.col("tag") == "a") & (F.col("href") != "") & ~F.col("href").like("javascript:%"), F.lit(False))
+    person = lambda c: F.when(link, _person(bare(F.col(c))).isNotNull()).alias(f"by_{c}")
+    # Pages are read once: what counts of them is written down, with the tests of names.
+    rows = staged(rows.where(link | has_class(*SIDES)).select("path", "element", "last", F.when(link, F.col("href")).alias("href"), has_class(*SIDES).alias("box"), person("text"), person("title")), "links").hint("merge")
+    links, boxes = rows.where("href IS NOT NULL"), rows.where("box").select("path", "element", "last")
     beside = within(links.select("path", "element"), boxes, "box").select("path", "element").distinct().withColumn("side", F.lit(True))
     links = links.join(beside, ["path", "element"], "left")
-    named = _person(F.col("label")).isNotNull() | _person(F.col("hint")).isNotNull()
+    named = F.col("by_text") | F.col("by_title")
     detail = F.col("href").rlike(r"(?i)/(?:ldzl|ldjj|ldjs)/.+/content_")
-    by_side = F.coalesce("side", F.lit(False)) & (_person(F.col("label")).isNotNull() | F.col("href").rlike("ldjj|ldjs|ldjianjie|010002"))
+    by_side = F.coalesce("side", F.lit(False)) & (F.col("by_text") | F.col("href").rlike("ldjj|ldjs|ldjianjie|010002"))
     found = links.where(by_side | detail | (named & F.col("href").rlike(f"{LEADERISH}|{COLUMN}")))
     key = F.regexp_replace(F.split_part("href", F.lit("?"), F.lit(1)), "/+$", "")
     return found.groupBy("path", key.alias("_key")).agg(F.min_by(F.struct("href", F.col("element").alias("at")), F.struct(~by_side, F.col("element"))).alias("x")).select("path", "x.href", "x.at")

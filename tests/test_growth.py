@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from officium.operators import tables, watching
+from officium.operators import extract, tables, watching
 from officium.plans import registry
-from officium.sources import discovery
+from officium.sources import discovery, elements
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,15 @@ def test_pages_of_a_common_word_are_not_paired(spark, tmp_path):
     assert max(w.count() for w in written) <= 301
     links = words.join(named, "word").where("page <> target").select("page", "target")
     assert found == sorted(map(tuple, discovery.discovered(links, spark.createDataFrame([(0,)], "page long")).collect()))
+
+
+def test_notices_are_shuffled_once_over_all_cores(spark):
+    """By its size alone a shuffle of short texts would be read by one task, and windows over what is found would shuffle it again."""
+    notices = spark.range(50).select(F.col("id").alias("notice_id"), F.lit("经研究决定：任命王明为甲市税务局法制科科长；").alias("text"))
+    plan = extract.appointment_events(notices)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_links_to_follow_read_pages_once(spark):
+    plan = elements.link_targets(elements.elements(spark.createDataFrame([("p", "<a href='/ldjj/1.html'>王明健</a>")], "path string, html string")))._jdf.queryExecution()
+    assert "MapInArrow" not in plan.optimizedPlan().toString()  # it ran before, and what counts was written down
