@@ -129,14 +129,14 @@ def within(inner: DataFrame, outer: DataFrame, name: str) -> DataFrame:
     """inner's rows with the place (``name``) of each of outer's elements that they stand in."""
     o = outer.select(F.col("path").alias("_path"), F.col("element").alias(name), F.col("last").alias("_last"))
     on = (F.col("path") == F.col("_path")) & (F.col("element") > F.col(name)) & (F.col("element") <= F.col("_last"))
-    return inner.join(o, on).drop("_path", "_last")
+    return inner.join(o.hint("merge"), on).drop("_path", "_last")
 
 
 def whole_text(rows: DataFrame, of: DataFrame) -> DataFrame:
     """path, element and whole: the texts within each of the elements, in order, with blanks between."""
     texts = within(rows.where("tag = '#text'").select("path", "element", "text"), of, "outer")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("element", "text"))), lambda x: F.trim(x["text"])), " ")
-    return texts.where(F.trim("text") != "").groupBy("path", F.col("outer").alias("element")).agg(spaced(joined).alias("whole"))
+    return texts.where(F.trim("text") != "").groupBy("path", F.col("outer").alias("element")).agg(spaced(joined).alias("whole")).hint("merge")
 
 
 def _person(label: Column) -> Column:
@@ -162,7 +162,7 @@ def _groups(rows: DataFrame, roots: DataFrame, group: str) -> DataFrame:
     heads = within(rows.where("tag = 'h2'").select("path", "element", "text"), groups, "group").groupBy("path", "group").agg(F.min_by(spaced(F.col("text")), "element").alias("head"))
     blocks = within(rows.where(has_class("jj")).select("path", "element", "last"), groups, "group")
     said = blocks.join(whole_text(rows, blocks.select("path", "element", "last").distinct()), ["path", "element"]).groupBy("path", "group").agg(F.min_by("whole", "element").alias("body"))
-    told = groups.select("path", "root", F.col("element").alias("group")).join(heads, ["path", "group"]).join(said, ["path", "group"])
+    told = groups.select("path", "root", F.col("element").alias("group")).join(heads.hint("merge"), ["path", "group"]).join(said.hint("merge"), ["path", "group"])
     all_ = F.col("head").contains("主持") | (F.col("body").contains("主持") & F.col("body").contains("全面")) | F.col("body").contains("负责全面工作")
     liaison = ~all_ & F.col("head").contains("联系")
     listed = duty(F.concat(F.lit("分管工作："), F.col("body")))["departments"]
@@ -187,7 +187,7 @@ def side_links(rows: DataFrame) -> DataFrame:
     boxes = rows.where(has_class(*SIDES)).select("path", "element", "last").unionByName(around.join(rows.select("path", "element", "last"), ["path", "element"])).distinct()
     inside = within(links, boxes, "box").groupBy("path", "box", "person").agg(F.min_by(F.struct("element", "href"), "element").alias("x"))
     best = inside.groupBy("path", "box").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("path").agg(F.max_by("box", F.struct("n", -F.col("box"))).alias("box"))
-    found = inside.join(best, ["path", "box"]).select("path", "person", "x.*")
+    found = inside.join(best.hint("merge"), ["path", "box"]).select("path", "person", "x.*")
     return _leader(found, "side", person=F.col("person"), href=F.col("href"))
 
 
@@ -200,7 +200,7 @@ def written(rows: DataFrame) -> DataFrame:
     items = rows.where("tag = 'li'").join(lists, ["path", "parent"]).select("path", "element", "last")
     of_item = within(scripts.select("path", "element"), items, "item")
     told = _groups(rows, items, "group1").withColumnRenamed("element", "item")
-    found = scripts.join(of_item, ["path", "element"], "left").join(told, ["path", "item"], "left")
+    found = scripts.join(of_item, ["path", "element"], "left").join(told.hint("merge"), ["path", "item"], "left")
     by_title = F.when(F.col("title").contains("书记") & F.col("title").contains("局长"), "主持全面工作").when(F.col("title").rlike("副局长|总会计师|总审计师|总经济师|纪检|副书记|巡视员"), "分管工作")
     return _leader(found, "written", **{c: F.col(c) for c in profile}, duty_summary=F.coalesce("duty_summary", by_title), departments=F.coalesce("departments", F.array().cast("array<string>")))
 
@@ -209,7 +209,7 @@ def name_and_title_in_link(rows: DataFrame) -> DataFrame:
     """Links of a list that hold the name in a span and the title in a p."""
     lists = rows.where((F.col("tag") == "ul") & has_class("list_lefnavLdjj"))
     links = within(rows.where("tag = 'a'").select("path", "element", "last", "href"), lists, "list").drop("list").distinct()
-    part = lambda tag, name: within(rows.where(F.col("tag") == tag).select("path", "element", "text"), links, "link").groupBy("path", F.col("link").alias("element")).agg(F.min_by(bare(F.col("text")), "element").alias(name))
+    part = lambda tag, name: within(rows.where(F.col("tag") == tag).select("path", "element", "text"), links, "link").groupBy("path", F.col("link").alias("element")).agg(F.min_by(bare(F.col("text")), "element").alias(name)).hint("merge")
     found = links.join(part("span", "name"), ["path", "element"]).join(part("p", "post"), ["path", "element"]).withColumn("name", clean_name(F.col("name")))
     found = found.where(plausible_name(F.col("name")) & F.col("post").rlike(LEADERS_WORDS))
     return _leader(found, "span and p", person=F.col("name"), title=F.col("post"), href=F.col("href"))
@@ -223,7 +223,7 @@ def cards(rows: DataFrame) -> DataFrame:
     abouts = rows.where((F.col("tag") == "div") & has_class("zhaiyao")).select("path", "element", "last", F.coalesce("parent", F.lit(-1)).alias("parent"))
     following = abouts.select("path", "parent", F.col("element").alias("about")).join(tits.select("path", "parent", "element"), ["path", "parent"]).where("about > element").groupBy("path", "element").agg(F.min("about").alias("about"))
     texts = whole_text(rows, abouts).withColumnRenamed("element", "about")
-    found = links.join(following, ["path", "element"], "left").join(texts, ["path", "about"], "left")
+    found = links.join(following.hint("merge"), ["path", "element"], "left").join(texts, ["path", "about"], "left")
     label = rf"^({_NAME})\s*(?:[（(]\s*|\s)([^（()）]+?)[）)]?$"
     # In a summary the name stands before gender and people.
     found = found.withColumns({
@@ -258,7 +258,7 @@ def profile_pane(rows: DataFrame) -> DataFrame:
     found = texts.withColumns(profile).where(plausible_name(F.col("person")) & F.col("gender").isNotNull())
     roots = rows.where("parent IS NULL AND tag <> '#text'").select("path", "element", "last")
     told = _groups(rows, roots, "ldjjgroup").groupBy("path").agg(F.min_by(F.struct("duty_summary", "departments"), "element").alias("d"))
-    found = found.join(told, "path", "left")
+    found = found.join(told.hint("merge"), "path", "left")
     by_title = F.when(F.col("title").contains("书记") & F.col("title").contains("局长"), "主持全面工作")
     return _leader(found, "pane", **{c: F.col(c) for c in profile}, duty_summary=F.coalesce("d.duty_summary", by_title), departments=F.coalesce("d.departments", F.array().cast("array<string>")))
 
@@ -269,9 +269,10 @@ LAYOUTS = (written, profile_pane, cards, name_and_title_in_link, paired_links, s
 def leaders_in_elements(rows: DataFrame) -> DataFrame:
     """The leaders that the layouts find, a row for each name of a page: of what several say, the first of LAYOUTS counts.
 
-    Every layout reads the elements several times, so they are written down first.
+    Every layout reads the elements several times, so they are written down first. Joins within pages are merged: the driver
+    would hold the smaller sides of all of them at once if they were sent to it.
     """
-    rows, found = staged(rows, "elements"), None
+    rows, found = staged(rows, "elements").hint("merge"), None
     for place, layout in enumerate(LAYOUTS):
         part = layout(rows).withColumn("place", F.lit(place))
         found = part if found is None else found.unionByName(part)

@@ -86,3 +86,11 @@ def test_notices_are_shuffled_once_over_all_cores(spark):
 def test_links_to_follow_read_pages_once(spark):
     plan = elements.link_targets(elements.elements(spark.createDataFrame([("p", "<a href='/ldjj/1.html'>王明健</a>")], "path string, html string")))._jdf.queryExecution()
     assert "MapInArrow" not in plan.optimizedPlan().toString()  # it ran before, and what counts was written down
+
+
+def test_layouts_send_few_rows_to_the_driver(spark):
+    """Small sides of joins within pages grow with the pages; dozens of them, sent at once, fill the driver."""
+    rows = elements.elements(spark.createDataFrame([("p", "<a href='/ldjj/1.html'>王明健</a>")], "path string, html string"))
+    plan = elements.leaders_in_elements(rows)._jdf.queryExecution().executedPlan().toString()
+    sent, merged = plan.count("BroadcastExchange"), plan.count("SortMergeJoin")
+    assert (sent, merged > 20) == (0, True), (sent, merged)
