@@ -119,18 +119,18 @@ def tenures(events: DataFrame, several: Column) -> DataFrame:
     A post one person holds ends with anybody's next appointment, one that several hold with the holder's own; a leave
     ends its person's. Appointments repeated on a day count once.
     """
+    # Both windows over a holder's own events come first, dealt by holder; what is dealt by post alone is sorted once.
     first = Window.partitionBy(*POST, "person", "action", "day").orderBy("id")
-    rows = events.withColumn("again", F.row_number().over(first)).where("again = 1 OR action = 'dismiss'").drop("again")
-    rows = rows.withColumns({"several": several, "n": F.row_number().over(Window.partitionBy(*POST).orderBy("day", "id"))})
+    rows = events.select(*POST, "person", "action", "day", "id", several.alias("several")).repartition(*POST, "person")
+    rows = rows.withColumn("again", F.row_number().over(first)).where("again = 1 OR action = 'dismiss'").drop("again")
     # From the last event back, so that frames only grow: one to the end is read anew for each row of a post.
-    post = Window.partitionBy(*POST).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy(*POST, "person").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    stays = F.col("action") != "dismiss"
-    event = F.struct("n", "day", "person", "action")
-    pick = lambda cond, w: F.min(F.when(cond, event)).over(w)
-    rows = rows.withColumns({"any": pick(stays, post), "next": pick(stays, own), "leave": pick(~stays, own)})
-    end = F.when(F.col("several"), F.least("next", "leave")).otherwise(F.least("any", "leave"))
-    rows = rows.where(stays).withColumn("end", end)
+    back = lambda *keys: Window.partitionBy(*POST, *keys).orderBy(F.desc("day"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    stays, event = F.col("action") != "dismiss", F.struct("day", "id", "person", "action")
+    nearest = lambda cond, w: F.last(F.when(cond, event), ignorenulls=True).over(w)
+    rows = rows.withColumn("own", nearest((F.col("several") | ~stays) & F.col("action").isNotNull(), back("person")))
+    rows = rows.withColumn("_whose", F.when(F.col("several"), F.col("person")))  # a post that several hold is dealt by its holders
+    rows = rows.withColumn("any", nearest(stays, back("_whose"))).where(stays)
+    rows = rows.withColumn("end", F.when(F.col("several"), F.col("own")).otherwise(F.least("any", "own")))
     why = F.when(F.col("end").isNull(), None).when(F.col("end.action") == "dismiss", "dismiss").when(F.col("end.person") == F.col("person"), "replaced").otherwise("succeeded")
     return rows.select(*POST, "person", "id", F.col("day").alias("started_on"), F.col("end.day").alias("ended_on"), F.col("end").isNull().alias("is_current"), why.alias("end_change_type"))
 

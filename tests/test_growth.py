@@ -1,6 +1,7 @@
 """Steps whose work must not grow faster than their input."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def test_no_frame_is_read_anew_for_each_row(spark, name):
     assert "Window" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
 
 
+@pytest.mark.parametrize("name", ["post_tenures", "post_multi_incumbent_audit"])
+def test_posts_are_sorted_once(spark, name):
+    """Each sort of a post's events in one task holds them all in memory; what a holder's own events tell is dealt by holder."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    sorts = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Sort \[bureau[^]]*", plan)]
+    assert len([x for x in sorts if ", person ASC" not in x]) == 1, sorts
+
+
 def most_joined(df):
     """The most rows that a join of an executed query made."""
     def rows(node):
