@@ -72,16 +72,36 @@ def shown(events: DataFrame) -> DataFrame:
     return events.withColumns({"n": F.row_number().over(order), "leave": is_leave(events), "takes": is_appointment(events)})
 
 
+def _posts(events: DataFrame, *shown_too: str) -> DataFrame:
+    """Per person and post (title, dept as texts): its newest leave and its newest appointment as shown, and whether that is open.
+
+    A place as shown is day, rank and id, the newest the greatest, so a person's rows are neither numbered nor sorted: of a post's
+    appointments none is open if the newest is not. The rank is the title's, so it is looked up once a post. leave, taken: their places;
+    post: title, dept, day and shown_too of the appointment.
+    """
+    title, dept = F.coalesce("title", F.lit("")).alias("_title"), F.coalesce("dept", F.lit("")).alias("_dept")
+    newest = lambda cond, *more: F.max(F.when(cond, F.struct("day", "id", *more)))
+    posts = events.groupBy(*PERSON, title, dept).agg(newest(is_leave(events)).alias("_left"), newest(is_appointment(events), "title", "dept", *shown_too).alias("post"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.day", "_rank", f"{c}.id"))
+    posts = posts.withColumn("_rank", -title_sort_rank(F.col("_title")))
+    posts = posts.withColumns({"leave": place("_left"), "taken": place("post")})
+    blank = (F.col("_title") == "") & (F.col("_dept") == "")
+    same = F.max(F.when((F.col("_dept") == "") & ~blank, F.col("leave"))).over(Window.partitionBy(*PERSON, "_title"))
+    any_ = F.max(F.when(blank, F.col("leave"))).over(Window.partitionBy(*PERSON))
+    posts = posts.withColumn("_closed", F.greatest("leave", same, any_))
+    return posts.withColumn("open", F.col("taken").isNotNull() & (F.col("_closed").isNull() | (F.col("taken") > F.col("_closed"))))
+
+
 def current_posts(events: DataFrame) -> DataFrame:
     """Per person the first appointment as shown that no newer leave closes."""
-    open_ = _first_leave(shown(events), False).where("takes AND end IS NULL")
-    return open_.groupBy(*PERSON).agg(F.min_by(F.struct("title", "dept", "day"), "n").alias("p")).select(*PERSON, "p.title", "p.dept", F.col("p.day").alias("since"))
+    open_ = _posts(events).where("open").groupBy(*PERSON).agg(F.max_by("post", "taken").alias("p"))
+    return open_.select(*PERSON, "p.title", "p.dept", F.col("p.day").alias("since"))
 
 
 def newest_is_leave(events: DataFrame) -> DataFrame:
     """Per person whether the first row as shown, but for those of unknown types, is a leave."""
-    first = F.min_by("leave", F.when(F.col("leave") | F.col("takes"), F.col("n")))
-    return shown(events).groupBy(*PERSON).agg(F.coalesce(first, F.lit(False)).alias("newest_is_leave"))
+    posts = _posts(events).groupBy(*PERSON).agg(F.max("leave").alias("leave"), F.max("taken").alias("taken"))
+    return posts.select(*PERSON, (F.col("leave").isNotNull() & (F.col("taken").isNull() | (F.col("leave") > F.col("taken")))).alias("newest_is_leave"))
 
 
 HEAD_OFFICE = ("国家税务总局", "总局")
@@ -98,14 +118,12 @@ def people_now(events: DataFrame, duties: DataFrame, head: str | int = "sta") ->
     leader = F.struct(*[F.col(c) if c in duties.columns else F.lit(None).cast("string").alias(c) for c in ("title", "departments", "gender")])
     led = duties.groupBy(*PERSON).agg(F.max_by(leader, "id").alias("leader"))
     unit = F.col("unit") if "unit" in events.columns else F.lit("")
-    rows = _first_leave(shown(events.withColumn("_unit", F.trim(F.coalesce(unit, F.lit(""))))), False)
-    open_ = F.when(F.col("takes") & F.col("end").isNull(), F.col("n"))
-    rows = rows.groupBy(*PERSON).agg(
-        F.min_by(F.struct("title", "dept", "day", "_unit"), open_).alias("post"), F.min(open_).alias("_open"), F.min(F.when(F.col("leave"), F.col("n"))).alias("_leave"))
+    posts = _posts(events.withColumn("_unit", F.trim(F.coalesce(unit, F.lit("")))), "_unit")
+    rows = posts.groupBy(*PERSON).agg(F.max_by("post", F.when(F.col("open"), F.col("taken"))).alias("post"), F.max(F.when(F.col("open"), F.col("taken"))).alias("_open"), F.max("leave").alias("_leave"))
     rows = rows.join(led, PERSON, "full")
     bare = F.col("post._unit").isin(*HEAD_OFFICE) & (F.col("bureau").cast("string") != str(head)) & (F.coalesce("leader.title", F.lit("")) != "")
     by_post = F.col("post").isNotNull() & ~F.coalesce(bare, F.lit(False))
-    left = F.coalesce(F.col("_leave").isNotNull() & (F.col("_open").isNull() | (F.col("_leave") < F.col("_open"))), F.lit(False))
+    left = F.coalesce(F.col("_leave").isNotNull() & (F.col("_open").isNull() | (F.col("_leave") > F.col("_open"))), F.lit(False))
     title = F.when(by_post, F.coalesce(F.nullif("post.title", F.lit("")), F.col("leader.title"))).otherwise(F.col("leader.title"))
     first = F.try_element_at("leader.departments", F.lit(1))
     return rows.select(

@@ -28,6 +28,13 @@ def test_posts_are_sorted_once(spark, name):
     assert len([x for x in sorts if ", person ASC" not in x]) == 1, sorts
 
 
+@pytest.mark.parametrize("name", ["people_now_by_leader", "person_current", "people_current_known", "people_newest_known_is_leave"])
+def test_people_now_are_told_without_sorting_their_histories(spark, name):
+    """Windows over people's events hold a person's whole history, sorted four times in one task; posts are folded before they meet."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "RowFrame" not in plan.replace("RowFrame, unboundedpreceding$(), unboundedfollowing$()", "")
+
+
 def most_joined(df):
     """The most rows that a join of an executed query made."""
     def rows(node):
