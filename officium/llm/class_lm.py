@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, Words, lower_ascii, mix, per_text, run_hashes, slices, stage, text_column, words_of
+from .common import U64, Texts, Words, lower_ascii, mix, per_text, run_hashes, slices, stage, text_column, unstage, words_of
 
 FOLDS, HELD = 5, 1
 SHARE = 4000
@@ -75,6 +75,16 @@ class Slice:
 _SLICE = "slice long, ids array<long>, trains binary, first binary, keys binary, at binary"
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from nought on in as few bytes each as the largest needs; what is written and sent holds millions of small ones."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
+def wide(data: bytes, n: int, kind) -> np.ndarray:
+    """The n numbers that ``narrow`` made these bytes of."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(kind) if n else np.zeros(0, kind)
+
+
 def dealt(key: np.ndarray) -> np.ndarray:
     """The number by which words are dealt to buckets: ranges of it, whatever the number of buckets."""
     return mix(key ^ _SALT)
@@ -103,18 +113,17 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             trains = np.array([not held_out(i) for i in own], bool)
-            values = [trains, w.first.astype(np.int64), keys[order], place[at]]
+            values = [trains, w.first.astype(np.int64), keys[order], narrow(place[at])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([own], pa.list_(pa.int64())), *[pa.array([v.tobytes()], pa.binary()) for v in values]],
                 names=["slice", "ids", "trains", "first", "keys", "at"])
 
 
 def _slices(rows) -> Iterator[Slice]:
-    """The slices in a batch or table of them."""
-    cols = [rows.column(c) for c in ("slice", "ids", "trains", "first", "keys", "at")]
-    for i in range(rows.num_rows):
-        k, ids, trains, first, keys, at = (c[i].as_py() for c in cols)
-        yield Slice(k, ids, np.frombuffer(trains, bool), np.frombuffer(first, np.int64), np.frombuffer(keys, U64), np.frombuffer(at, np.int32))
+    """The slices in a batch or table of them; where the column of keys is left out, they have none."""
+    for row in (dict(zip(rows.column_names if isinstance(rows, pa.Table) else rows.schema.names, (c[i].as_py() for c in rows.columns))) for i in range(rows.num_rows)):
+        first = np.frombuffer(row["first"], np.int64)
+        yield Slice(row["slice"], row["ids"], np.frombuffer(row["trains"], bool), first, np.frombuffer(row.get("keys", b""), U64), wide(row["at"], int(first[-1]), np.int32))
 
 
 def shapes(t: Texts, w: Words) -> np.ndarray:
@@ -323,15 +332,15 @@ def _neighbours(frequent: np.ndarray, of: np.ndarray, classes: int, buckets: int
                 used = s.trains[s.doc] & (unit[s.at] <= SHAPES)
                 code = s.at[used].astype(np.int64) * (2 * classes)
                 code, times = np.unique(np.concatenate([code + before[used], code + classes + after[used]]), return_counts=True)
-                key, col = code // (2 * classes), (code % (2 * classes)).astype(np.uint16)
-                several = np.bincount(key, minlength=len(s.keys)).astype(np.uint16)
+                key, col = code // (2 * classes), code % (2 * classes)
+                several = np.bincount(key, minlength=len(s.keys))
                 bucket = bucket_of(s.keys, buckets)
                 some = np.unique(bucket)
                 cut = np.append(np.searchsorted(bucket, some), len(bucket))
                 at = np.searchsorted(key, cut)
-                part = lambda x, cut: pa.array([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
+                part = lambda x, cut: pa.array([x[i:j].tobytes() if x is s.keys else narrow(x[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(np.full(len(some), s.slice)), part(s.keys, cut), part(s.n.astype(np.uint32), cut), part(several, cut), part(col, at), part(times.astype(np.uint32), at)],
+                    [pa.array(some), pa.array(np.full(len(some), s.slice)), part(s.keys, cut), part(s.n, cut), part(several, cut), part(col, at), part(times, at)],
                     names=["bucket", "slice", "keys", "n", "several", "cols", "times"])
 
     return run
@@ -362,8 +371,10 @@ def _classed(frequent: np.ndarray, of: np.ndarray, suit: np.ndarray):
     """One bucket: each word's count in all training rows and its class, sent back to the slices that asked."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kinds = {"keys": U64, "n": np.uint32, "several": np.uint16, "cols": np.uint16, "times": np.uint32}
-        got = {c: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in kinds.items()}
+        got = {"keys": [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]}
+        for kinds, of_each in (({"n": np.uint32, "several": np.uint16}, "keys"), ({"cols": np.uint16, "times": np.uint32}, "several")):
+            sizes = [len(x) if of_each == "keys" else int(x.sum()) for x in got[of_each]]
+            got |= {c: [wide(x, size, kind) for x, size in zip(table.column(c).to_pylist(), sizes)] for c, kind in kinds.items()}
         words, back = np.unique(np.concatenate(got["keys"]), return_inverse=True)
         count = np.zeros(len(words), np.int64)
         np.add.at(count, back, np.concatenate(got["n"]))
@@ -374,11 +385,11 @@ def _classed(frequent: np.ndarray, of: np.ndarray, suit: np.ndarray):
         word = place[np.repeat(back, np.concatenate(got["several"]))]
         c[own] = best_classes(word, np.concatenate(got["cols"]), np.concatenate(got["times"]), int(own.sum()), suit)
         at = np.append(0, np.cumsum([len(k) for k in got["keys"]]))
-        part = lambda x: pa.array([x[back[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])] + [None], pa.binary())
+        part = lambda x: pa.array([narrow(x[back[i:j]]).tobytes() for i, j in zip(at[:-1], at[1:])] + [None], pa.binary())
         size = np.bincount(c[count > 0], minlength=suit.shape[1])
         return pa.table({
             "bucket": pa.array([key[0].as_py()] * len(at), pa.int64()), "slice": pa.array(table.column("slice").to_pylist() + [None], pa.int64()),
-            "classes": part(c.astype(np.uint16)), "counts": part(count), "vocabulary": pa.array([None] * (len(at) - 1) + [size], pa.list_(pa.int64()))})
+            "words": pa.array([len(k) for k in got["keys"]] + [None], pa.int64()), "classes": part(c), "counts": part(count), "vocabulary": pa.array([None] * (len(at) - 1) + [size], pa.list_(pa.int64()))})
 
     return run
 
@@ -389,22 +400,24 @@ def _answered(ends: int):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         (s,) = _slices(own)
         answers = answers.sort_by("bucket")
-        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in answers.column(c).to_pylist()]])
+        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *[wide(x, n, kind) for x, n in zip(answers.column(c).to_pylist(), answers.column("words").to_pylist())]])
         classes, count = joined("classes", np.uint16), joined("counts", np.int64)
         c, _ = sequence(classes[s.at], s.first)
         logs = per_text(np.log10(count + 0.5)[s.at], s.first) + np.log10(ends + 0.5)
         known = per_text((count > 0)[s.at].astype(np.int64), s.first) + int(ends > 0)
         return pa.table({
             "ids": pa.array([s.ids], pa.list_(pa.int64())), "trains": pa.array([s.trains.tobytes()], pa.binary()), "first": pa.array([s.first.tobytes()], pa.binary()),
-            "classes": pa.array([c.astype(np.uint16).tobytes()], pa.binary()), "logs": pa.array([logs.astype(np.float64).tobytes()], pa.binary()), "known": pa.array([known.astype(np.int64).tobytes()], pa.binary())})
+            "classes": pa.array([narrow(c).tobytes()], pa.binary()), "logs": pa.array([logs.astype(np.float64).tobytes()], pa.binary()), "known": pa.array([known.astype(np.int64).tobytes()], pa.binary())})
 
     return run
 
 
 def _scored_slices(batch: pa.RecordBatch) -> Iterator[tuple]:
-    kinds = {"trains": bool, "first": np.int64, "classes": np.uint16, "logs": np.float64, "known": np.int64}
     for i in range(batch.num_rows):
-        yield batch.column("ids")[i].as_py(), *[np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in kinds.items()]
+        get = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023  (used up in its round)
+        trains, first = np.frombuffer(get("trains"), bool), np.frombuffer(get("first"), np.int64)
+        classes = wide(get("classes"), int(first[-1]) + len(trains), np.int64)  # of the tokens and the ends
+        yield get("ids"), trains, first, classes, np.frombuffer(get("logs"), np.float64), np.frombuffer(get("known"), np.int64)
 
 
 def _class_bigrams(classes: int):
@@ -412,7 +425,7 @@ def _class_bigrams(classes: int):
         pairs = _Pairs(classes)
         for batch in batches:
             for _, trains, first, c, *_ in _scored_slices(batch):
-                pairs.add(c.astype(np.int64), np.repeat(trains, np.diff(first) + 1))
+                pairs.add(c, np.repeat(trains, np.diff(first) + 1))
         yield pairs.rows()
 
     return run
@@ -422,7 +435,6 @@ def _scores(step: np.ndarray, spread: np.ndarray, floor: float, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, trains, first, c, logs, known in _scored_slices(batch):
-                c = c.astype(np.int64)
                 value = step[np.append(0, c[:-1]), c] - spread[c]
                 score = per_text(value, first + np.arange(len(first))) + logs
                 n = np.diff(first) + 1
@@ -454,13 +466,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     buckets = buckets_for(sliced.count())
     asked = sliced.mapInArrow(_neighbours(frequent, of, classes, buckets), "bucket long, slice long, keys binary, n binary, several binary, cols binary, times binary")
-    answers = stage(asked.groupBy("bucket").applyInArrow(_classed(frequent, of, suit), "bucket long, slice long, classes binary, counts binary, vocabulary array<long>"), "answers")
+    answers = stage(asked.groupBy("bucket").applyInArrow(_classed(frequent, of, suit), "bucket long, slice long, words long, classes binary, counts binary, vocabulary array<long>"), "answers")
     vocabulary = np.zeros(classes)
     vocabulary[0] = ends > 0
     for r in answers.where("vocabulary IS NOT NULL").select(F.posexplode("vocabulary")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         vocabulary[r["pos"]] += r["n"]
-    back = answers.where("vocabulary IS NULL").select("slice", "bucket", "classes", "counts")
-    found = stage(sliced.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_answered(ends), "ids array<long>, trains binary, first binary, classes binary, logs binary, known binary"), "classes")
+    back = answers.where("vocabulary IS NULL").select("slice", "bucket", "words", "classes", "counts")
+    found = stage(sliced.drop("keys").groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_answered(ends), "ids array<long>, trains binary, first binary, classes binary, logs binary, known binary"), "classes")
+
+    unstage(sliced, answers)
 
     a, b, n = _summed(found.mapInArrow(_class_bigrams(classes), "a long, b long, n long"))
     table = np.zeros((classes, classes))

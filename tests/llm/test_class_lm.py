@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from officium.llm import class_lm, common
@@ -125,3 +126,26 @@ def test_buckets_follow_the_slices():
     for buckets in (512, 1_562_500):
         b = class_lm.bucket_of(ordered, buckets)
         assert (np.diff(b) >= 0).all() and 0 <= b[0] and b[-1] < buckets
+
+
+def test_slices_and_what_they_send_are_narrow():
+    """Small numbers take a byte each, whether they are kept or sent; eight or four took 4 times the input of disk."""
+    rng = random.Random(6)
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": [" ".join(f"w{rng.randrange(200)}" for _ in range(30)) for _ in range(50)]})
+    (batch,) = class_lm._sliced([texts])
+    (s,) = class_lm._slices(batch)
+    assert len(s.at) == 1500 and len(batch.column("at")[0].as_py()) == 1500
+    of = np.append(0, 1 + np.arange(class_lm.SHAPES) % 31)
+    (sent,) = class_lm._neighbours(np.zeros(0, np.uint64), of, 32, 512)([batch])
+    for row in sent.to_pylist():
+        words = len(row["keys"]) // 8
+        entries = sum(row["several"])
+        assert (len(row["n"]), len(row["several"]), len(row["cols"]), len(row["times"])) == (words, words, entries, entries)
+    assert sum(len(r["keys"]) for r in sent.to_pylist()) == 8 * len(s.keys)
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65_535, 65_536, 2**32, 2**40])
+def test_narrow_numbers_are_the_same(most):
+    values = np.array([most, 0, most // 2, most])
+    assert class_lm.wide(class_lm.narrow(values).tobytes(), 4, np.int64).tolist() == values.tolist()
+    assert len(class_lm.wide(class_lm.narrow(values[:0]).tobytes(), 0, np.int64)) == 0
