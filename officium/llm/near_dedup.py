@@ -10,7 +10,7 @@ outside their main component too, in tiles; others branch on, twice at each node
 0.8**DEPTH at least, so TREES trees miss one in 10**7; the test of sketches below misses one in 10**5 at the threshold.
 
 Links are confirmed on full sets (100 * intersection >= percent * union). First each node's members are tried against
-its smallest document and joined to components. Then only pairs across components are compared: by sketch, each pair in
+its smallest document, which then leaves the node, and joined to components. Then only pairs across components are compared: by sketch, each pair in
 the first tree in which it meets; the documents of pairs that are alike are sent with their texts to their node, which
 compares the full sets and gives links between components only. A large group of near copies costs a few rows a
 document instead of all pairs, and no link between components is lost.
@@ -293,7 +293,7 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     shared = stage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n")).alias("least")).where("size > 1"), "shared")
     roots, nodes = nodes, stage(nodes.join(shared, "node").select("node", "rep", "n", F.col("least.rep").alias("b"), F.col("least.n").alias("bn")), "members")
     unstage(roots, shared)
-    involved = first.join(nodes.select("rep").distinct(), "rep").select(*row, "rep")
+    involved = first.join(nodes.select("rep"), "rep", "left_semi").select(*row, "rep")
     texts = stage(docs.join(involved, row).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
 
     ratio = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
@@ -302,14 +302,15 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     tried = stage(_alike_pairs(stars, sketch_of, percent), "tried")
     edges = stage(confirm(tried, texts, words, percent), "edges")
     unstage(stars, tried)
-    nodes = nodes.select("node", "rep", "n", F.col("node").alias("root"))
+    nodes = nodes.where(F.col("rep") != F.col("b")).select("node", "rep", "n", F.col("node").alias("root"))
     mixed, leaves, branched = _mixed(nodes, components(edges)), [], None
     for depth in range(DEPTH, DEEPEST + 1):
-        leaves.append(mixed.where(F.col("size") <= SMALL).select(*ROW, F.lit(-1).cast("long").alias("tile")))
+        whole = F.array(F.struct("node", F.lit(-1).cast("long").alias("tile")))
+        leaves.append(mixed.where(F.col("size") <= SMALL).select(*ROW, whole.alias("places")))
         large = mixed.where(F.col("size") > SMALL)
         if not large.limit(1).count():
             break
-        large = stage(_with_main(large), "large")
+        large = stage(large, "large")
         ends = F.lit(True) if depth == DEEPEST else F.col("rest") <= REST
         leaves.append(_tiles(large.where(ends)))
         large = large.where(~ends).select(*ROW)
@@ -323,7 +324,8 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         rows = rows.unionByName(more)
     if branched is not None:
         rows = rows.join(branched, "rep", "left").withColumn("root", F.when(F.col("deep"), F.lit(0)).otherwise(F.col("root"))).drop("deep")
-    rows = rows.join(sketch_of, "rep").select(*ROW, "tile", "sketch").repartition("node").sortWithinPartitions("node")
+    rows = rows.join(sketch_of, "rep").select("rep", "n", "root", "comp", "sketch", F.inline("places"))  # sketches are looked up by node, not by tile
+    rows = rows.select(*ROW, "tile", "sketch").repartition("node").sortWithinPartitions("node")
     rows = stage(rows.mapInArrow(_candidates(percent), "node long, rep long, n long, root long, comp long, tile long, sketch binary"), "candidates")
     if rows.limit(1).count():
         full = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*rows.columns, "text").repartition("node").sortWithinPartitions("node")
@@ -353,41 +355,33 @@ def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def _mixed(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members of the nodes that hold more than one component: ROW and size."""
+    """Members of the nodes that hold more than one component: ROW, size, main (the component with most members), rest (the members outside it)."""
     if label is not None:
         nodes = nodes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", "n", "root", F.coalesce("comp", "rep").alias("comp"))
     nodes = stage(nodes, "nodes")
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = stage(sizes.where("lo <> hi").select("node", "size"), "sizes")
+    counts = nodes.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.groupBy("node").agg(F.sum("k").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1")
+    sizes = stage(sizes.select("node", "size", F.col("m.comp").alias("main"), (F.col("size") - F.col("m.k")).alias("rest")), "sizes")
     mixed = stage(nodes.join(sizes, "node"), "mixed")
     unstage(nodes, sizes)
     return mixed
 
 
-def _with_main(large: DataFrame) -> DataFrame:
-    """Adds main, the component with most members of the node, and rest, the number of members outside it."""
-    counts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
-    main = counts.groupBy("node").agg(F.max(F.struct("k", F.col("comp").alias("main"))).alias("m"), F.first("size").alias("size"))
-    return large.join(main.select("node", "m.main", (F.col("size") - F.col("m.k")).alias("rest")), "node")
-
-
 def _tiles(large: DataFrame) -> DataFrame:
-    """Every pair of members of different components meets in one tile of blocks, which is a node of its own.
+    """ROW and places (node, tile): every pair of members of different components meets in one tile of blocks, which is a node of its own.
 
     Pairs within the main component need no look, so its blocks meet only blocks of the rest, and those each other.
     """
-    is_main = F.col("comp") == F.col("main")
     blocks = lambda n: F.ceil(n / SMALL).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
-    rows = large.withColumns({"is_main": is_main, "mains": blocks(F.col("size") - F.col("rest")), "rests": blocks(F.col("rest"))})
-    rows = rows.withColumn("own", own(F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
-    other = lambda df, n: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    main, rest = rows.where("is_main"), rows.where("NOT is_main")
-    out = lambda df, node, tile: df.select(node.alias("node"), "rep", "n", "root", "comp", tile.cast("long").alias("tile"))
-    made = out(other(main, "rests"), F.xxhash64("node", F.lit(1), "own", "other"), F.lit(1))
-    made = made.unionByName(out(other(rest, "mains"), F.xxhash64("node", F.lit(1), "other", "own"), F.lit(0)))
-    within = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
-    return made.unionByName(out(other(rest, "rests"), F.xxhash64("node", F.lit(2), F.least("own", "other"), F.greatest("own", "other")), within))
+    is_main, own = F.col("comp") == F.col("main"), F.col("own")
+    rows = large.withColumns({"mains": blocks(F.col("size") - F.col("rest")), "rests": blocks(F.col("rest"))})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(is_main, F.col("mains")).otherwise(F.col("rests")).cast("long")).cast("int"))
+    place = lambda node, tile: F.struct(node.alias("node"), tile.cast("long").alias("tile"))
+    others = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    of_main = others("rests", lambda other: place(F.xxhash64("node", F.lit(1), own, other), F.lit(1)))
+    of_rest = others("mains", lambda other: place(F.xxhash64("node", F.lit(1), other, own), F.lit(0)))
+    within = others("rests", lambda other: place(F.xxhash64("node", F.lit(2), F.least(own, other), F.greatest(own, other)), F.when(own == other, F.lit(-1)).otherwise(own)))
+    return rows.select(*ROW, F.when(is_main, of_main).otherwise(F.concat(of_rest, within)).alias("places"))
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
